@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricetrace.catalog.registry import cte
 from pricetrace.keyword_sets import Keywords
 from pricetrace.schemas import ARTICLE_COLUMNS
+from pricetrace.sources.tables import read_table, read_texts
 
 WORDS: Keywords = {
     1: ["that", "was", "with", "of the"],
@@ -21,7 +22,7 @@ MONTHS = 83
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = read_texts(spark, f"{sf}/documents.parquet", "doc_id bigint, text string, lang string, source string")
     day = F.add_months(F.lit("1995-01-01").cast("date"), (F.col("doc_id") % MONTHS).cast("int"))
     nothing = F.lit(None).cast("string")
     return docs.select(
@@ -41,7 +42,8 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trades(spark: SparkSession, sf: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf}/lineitem.parquet")
+    columns = "l_extendedprice double, l_quantity double, l_shipdate timestamp_ntz, l_returnflag string"
+    items = read_table(spark, f"{sf}/lineitem.parquet", columns)
     return items.select(
         F.col("l_extendedprice").alias("amount"),
         F.col("l_quantity").alias("area"),
@@ -51,7 +53,7 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    return read_texts(spark, f"{sf}/pages.parquet", "page_id bigint, url string, html string")
 
 
 def lexicon(spark: SparkSession, sf: str) -> DataFrame:

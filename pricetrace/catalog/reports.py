@@ -10,6 +10,7 @@ from pricetrace.operators import ranking, tfidf
 from pricetrace.scratch import new_path, stage
 from pricetrace.sinks import reports as sink
 from pricetrace.sources import reports as source
+from pricetrace.sources.tables import read_table
 
 _RULE = sink.RULE
 
@@ -71,7 +72,7 @@ def distinct_sorted_words(spark, sf):
   SELECT CAST(p_partkey AS INTEGER) AS ordinal, p_name AS word, CAST(p_partkey % 4 AS INTEGER) AS label FROM part WHERE p_partkey % 4 <> 0""")
 def labelled_words(spark, sf):
     path = new_path(spark, "labelled-words")
-    part = spark.read.parquet(f"{sf}/part.parquet")
+    part = read_table(spark, f"{sf}/part.parquet", "p_partkey bigint, p_name string")
     label = (F.col("p_partkey") % 4).cast("string")
     part.select(F.concat(F.col("p_partkey").cast("string"), F.lit(". "), F.col("p_name"), F.lit(" "), label)).write.text(path)
     return source.parse_labelled_words(source.read_lines(spark, path))

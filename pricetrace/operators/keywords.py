@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricetrace.functions.columns import let
 from pricetrace.functions.text import is_single_word, keep_words, tokens
 from pricetrace.keyword_sets import Keywords, all_words, keywords_df
+from pricetrace.scratch import sized
 
 TITLE_WEIGHT, BODY_WEIGHT = 2, 1  # fixed values
 
@@ -32,15 +33,18 @@ def count_array(text: Column, keywords: Keywords) -> Column:
 
 
 def article_counts(articles: DataFrame, keywords: Keywords) -> DataFrame:
-    """(month, article_id, title_counts, body_counts): one pass over the texts serves every counting operator.
+    """(month, article_id, has_title, has_body, title_counts, body_counts): one pass over the texts for all counting.
 
-    A null title or body gives a null array, which is how consumers choose their null rule.
+    Consumers choose their null rule by the two flags. The flags are plain null tests on the source
+    columns, so a filter on them reaches the scan; one on the count arrays would count everything twice.
     """
     return articles.select(
         "month",
         "article_id",
-        F.when(F.col("title").isNotNull(), count_array(F.col("title"), keywords)).alias("title_counts"),
-        F.when(F.col("content_text").isNotNull(), count_array(F.col("content_text"), keywords)).alias("body_counts"),
+        F.col("title").isNotNull().alias("has_title"),
+        F.col("content_text").isNotNull().alias("has_body"),
+        count_array(F.col("title"), keywords).alias("title_counts"),
+        count_array(F.col("content_text"), keywords).alias("body_counts"),
     )
 
 
@@ -68,13 +72,10 @@ def weighted_counts(counts: DataFrame, null_rule: str = "any", weights: tuple[in
     `null_rule="any"` ignores an article when title or body is missing; `independent` counts what there is.
     """
     if null_rule == "any":
-        counts = counts.where(F.col("title_counts").isNotNull() & F.col("body_counts").isNotNull())
-    none = F.array().cast(_PAIR)
+        counts = counts.where(F.col("has_title") & F.col("has_body"))
 
     def scaled(column: str, weight: int) -> Column:
-        return F.transform(
-            F.coalesce(F.col(column), none), lambda p: F.struct(p.policy.alias("policy"), (p.cnt * weight).alias("cnt"))
-        )
+        return F.transform(column, lambda p: F.struct(p.policy.alias("policy"), (p.cnt * weight).alias("cnt")))
 
     parts = F.concat(scaled("title_counts", weights[0]), scaled("body_counts", weights[1]))
     return counts.select("month", F.inline(parts)).groupBy("month", "policy").agg(F.sum("cnt").alias("cnt"))
@@ -87,7 +88,8 @@ def body_counts(counts: DataFrame) -> DataFrame:
 
 def article_policy_counts(counts: DataFrame) -> DataFrame:
     """(month, article_id, policy, cnt), zeros included; articles without a body or id are left out."""
-    return counts.where(F.col("article_id").isNotNull()).select("month", "article_id", F.inline("body_counts"))
+    rows = counts.where(F.col("article_id").isNotNull() & F.col("has_body"))
+    return rows.select("month", "article_id", F.inline("body_counts"))
 
 
 def label_articles(counts: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def label_articles(counts: DataFrame) -> DataFrame:
     Ties go to the lowest policy number; an article without any keyword gets a null policy.
     """
     best = F.array_max(F.transform("body_counts", lambda p: F.struct(p.cnt.alias("cnt"), (-p.policy).alias("neg"))))
-    rows = counts.where(F.col("article_id").isNotNull() & F.col("body_counts").isNotNull())
+    rows = counts.where(F.col("article_id").isNotNull() & F.col("has_body"))
     return rows.select("month", "article_id", best.alias("best")).select(
         "month",
         "article_id",
@@ -109,18 +111,19 @@ def tag_filter(articles: DataFrame, lexicon: DataFrame, tags: list[str], column:
     """(month, article_id, tokens): tokens whose lexicon tag is wanted, in text order; articles without any keep an empty list.
 
     A word with several tags passes once if one of them is wanted. Tokens meet the lexicon in a join,
-    so it may be of any size; only the matches travel back to their article.
+    so it may be of any size. Rows are put together by a row number, because ids may repeat; each task
+    does so for its own rows first, and one short list per article is shuffled.
     """
-    known = articles.where(F.col("article_id").isNotNull())
-    words = known.select("month", "article_id", F.posexplode(tokens(F.col(column))).alias("pos", "word"))
-    wanted = lexicon.where(F.col("tag").isin(tags)).select("word").distinct()
-    kept = words.join(wanted, "word", "left_semi").groupBy("month", "article_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("found")
+    row = F.monotonically_increasing_id().alias("_row")
+    words = articles.select("month", "article_id", row, tokens(F.col(column)).alias("_t")).select(
+        "month", "article_id", "_row", F.posexplode_outer("_t").alias("pos", "word")
     )
-    empty = F.array().cast("array<string>")
-    return known.select("month", "article_id").join(kept, ["month", "article_id"], "left").select(
-        "month", "article_id", F.coalesce(F.col("found.word"), empty).alias("tokens")
+    wanted = lexicon.where(F.col("tag").isin(tags)).select("word").distinct().withColumn("_keep", F.lit(True))
+    kept = F.when(F.col("_keep"), F.struct("pos", "word"))
+    grouped = words.join(sized(wanted, "lexicon"), "word", "left").groupBy("_row", "month", "article_id").agg(
+        F.sort_array(F.collect_list(kept)).alias("found")
     )
+    return grouped.select("month", "article_id", F.col("found.word").alias("tokens"))
 
 
 def inert_words(keywords: Keywords) -> list[str]:

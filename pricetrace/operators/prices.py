@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from pricetrace.functions.columns import month_index, parse_number
@@ -19,54 +19,82 @@ def with_unit_price(trades: DataFrame) -> DataFrame:
     return priced.withColumn("unit_price", F.try_divide(F.col("amount"), F.col("area")))
 
 
+def _log_bucket(v: Column) -> Column:
+    """Order-preserving bucket number: about one per 0.2 % of magnitude, whatever the range of values."""
+    size = F.floor(F.log1p(F.least(F.abs(v), F.lit(1e300))) * 512)
+    return F.when(v >= 0, size).otherwise(-1 - size)
+
+
 def exact_quantiles(
-    df: DataFrame, column: str, probabilities: list[float], exact_rows: int = 2_000_000, accuracy: int = 10_000
+    df: DataFrame, column: str, probabilities: list[float], exact_rows: int = 2_000_000
 ) -> list[float | None]:
     """Linearly interpolated quantiles over all rows; only these few numbers reach the driver.
 
-    Up to `exact_rows` values Spark's `percentile` does it in one pass. It keeps every distinct value
-    in one buffer, so larger inputs are narrowed first: a fixed-size sketch brackets the wanted rank,
-    rows below the bracket are counted, and the search goes on inside it until few rows are left.
-    The result is exact either way.
+    Spark's `percentile` would keep every distinct value in one buffer. Here the rows are counted per
+    bucket of an order-preserving numbering, which shuffles only the counts; then the values inside the
+    one or two buckets that hold the wanted ranks are counted themselves. A bucket with more than
+    `exact_rows` rows is divided further first. The result is exact.
     """
     number = F.col(column).cast("double")
     values = df.select(number.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    rows = values.count()
-    if rows == 0:
+    buckets = _bucket_counts(values, _log_bucket(F.col("v")))
+    positions = [F.lit(p) * (F.col("total") - 1) for p in probabilities]
+    rows = buckets.withColumn("total", F.sum("n").over(Window.partitionBy()))
+    needed = [(F.col("upto") > F.floor(x)) & (F.col("upto") - F.col("n") <= F.floor(x) + 1) for x in positions]
+    found = rows.where(_any(needed)).collect()
+    if not found:
         return [None] * len(probabilities)
-    if rows <= exact_rows:
-        wanted = F.array(*[F.lit(p) for p in probabilities])
-        return list(values.agg(F.percentile("v", wanted).alias("q")).first()["q"])
-    result = []
-    for p in probabilities:
-        position = p * (rows - 1)
-        first = math.floor(position)
-        low, high = _values_at(values, rows, first, min(first + 1, rows - 1), exact_rows, accuracy)
-        result.append(low + (high - low) * (position - first))
+    total = found[0]["total"]
+    first = [math.floor(p * (total - 1)) for p in probabilities]
+    ranks = {r for f in first for r in (f, min(f + 1, total - 1))}
+    at = _values_at(values, found, ranks, exact_rows)
+    share = [p * (total - 1) - f for p, f in zip(probabilities, first, strict=True)]
+    return [at[f] + (at[min(f + 1, total - 1)] - at[f]) * s for f, s in zip(first, share, strict=True)]
+
+
+def _any(conditions: list[Column]) -> Column:
+    result = F.lit(False)
+    for condition in conditions:
+        result = result | condition
     return result
 
 
-def _values_at(values: DataFrame, rows: int, first: int, last: int, exact_rows: int, accuracy: int) -> tuple[float, float]:
-    """Values at the neighbouring 0-based ranks `first` and `last` in ascending order."""
-    margin = 2 / accuracy
-    while rows > exact_rows:
-        edges = F.array(F.lit(max(0.0, first / rows - margin)), F.lit(min(1.0, (last + 1) / rows + margin)))
-        low, high = values.agg(F.percentile_approx("v", edges, accuracy).alias("e")).first()["e"]
+def _bucket_counts(values: DataFrame, bucket: Column) -> DataFrame:
+    """(b, n, low, high, upto): rows per bucket and up to its end, in ascending order."""
+    counts = values.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return counts.withColumn("upto", F.sum("n").over(Window.orderBy("b")))
+
+
+def _values_at(values: DataFrame, buckets: list[Row], ranks: set[int], exact_rows: int) -> dict[int, float]:
+    """Values at 0-based ranks, given the buckets that hold them."""
+    result: dict[int, float] = {}
+    wanted: list[tuple[int, Column, int]] = []
+    for bucket in buckets:
+        before = bucket["upto"] - bucket["n"]
+        mine = {r for r in ranks if before <= r < bucket["upto"]}
+        low, high = bucket["low"], bucket["high"]
         inside = F.col("v").between(low, high)
-        below, kept = values.agg(F.count_if(F.col("v") < low), F.count_if(inside)).first()
-        if not below <= first <= last < below + kept:
-            margin *= 4
-            continue
         if low == high:
-            return low, high
-        if kept == rows:
-            break
-        values, rows, first, last = values.where(inside), kept, first - below, last - below
-    # What is left holds few distinct values: ties collapse before anything is ordered.
-    counts = values.groupBy("v").agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
-    at = [F.min(F.when(F.col("upto") > rank, F.col("v"))) for rank in (first, last)]
-    return tuple(upto.agg(*at).first())
+            result |= dict.fromkeys(mine, low)
+        elif bucket["n"] <= exact_rows or high - low <= abs(high) * 1e-12:
+            wanted += [(r, inside, r - before) for r in mine]
+        elif mine:
+            part = values.where(inside)
+            finer = F.floor((F.col("v") - low) / (high - low) * 4096)
+            local = {r - before for r in mine}
+            hits = [(F.col("upto") > r) & (F.col("upto") - F.col("n") <= r) for r in local]
+            found = _bucket_counts(part, finer).where(_any(hits)).collect()
+            result |= {r + before: v for r, v in _values_at(part, found, local, exact_rows).items()}
+    if wanted:
+        kept = values.where(_any([inside for _, inside, _ in wanted]))
+        group = F.coalesce(*[F.when(inside, i) for i, (_, inside, _) in enumerate(wanted)])
+        counts = kept.groupBy(group.alias("g"), "v").agg(F.count("*").alias("n"))
+        upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("g").orderBy("v")))
+        # Ranks of one bucket share the group of the first condition that fits.
+        owner = {str(inside): i for i, (_, inside, _) in reversed(list(enumerate(wanted)))}
+        at = [F.min(F.when((F.col("g") == owner[str(c)]) & (F.col("upto") > r), F.col("v"))) for _, c, r in wanted]
+        result |= dict(zip([rank for rank, _, _ in wanted], upto.agg(*at).first(), strict=True))
+    return result
 
 
 def trim_quantiles(

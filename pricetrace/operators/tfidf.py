@@ -20,7 +20,7 @@ from pricetrace.functions.columns import let, round_key
 from pricetrace.functions.text import is_single_word, joined, keep_words, term_counts, tokens, word_ngrams
 from pricetrace.keyword_sets import Keywords, all_words
 from pricetrace.operators.ranking import top_rows
-from pricetrace.scratch import stage
+from pricetrace.scratch import sized, stage
 
 MAX_TERMS, TOP_TERMS, HASH_BUCKETS = 1000, 50, 1000  # fixed values
 PLACEHOLDER = "없음"  # fixed value: stands in for a document without policy words
@@ -60,13 +60,17 @@ def _vectors(articles: DataFrame, text: Column, vocabulary: list[Entry], keep: l
     return stage(articles.select("month", *keep, terms.alias("terms")), "vectors")
 
 
-def idf_by_month(vectors: DataFrame, size: int, smooth: bool = True) -> DataFrame:
-    """(month, idf): one array of `size` values per month.
+def _marks(vectors: DataFrame) -> DataFrame:
+    """(month, i): one row per article and term present, and one with i = -1 per article."""
+    return vectors.select("month", F.explode(F.concat(F.array(F.lit(-1)), F.col("terms.i"))).alias("i"))
 
-    `smooth` gives ln((1+n)/(1+df)) + 1, otherwise ln((n+1)/(df+1)). Entry -1 counts the documents.
+
+def idf_by_month(marks: DataFrame, size: int, smooth: bool = True) -> DataFrame:
+    """(month, idf): one array of `size` values per month, from (month, i) rows as `_marks` gives them.
+
+    `smooth` gives ln((1+n)/(1+df)) + 1, otherwise ln((n+1)/(df+1)).
     """
-    marks = F.concat(F.array(F.lit(-1)), F.col("terms.i"))
-    counts = vectors.select("month", F.explode(marks).alias("i")).groupBy("month", "i").agg(F.count("*").alias("n"))
+    counts = marks.groupBy("month", "i").agg(F.count("*").alias("n"))
     by_month = counts.groupBy("month").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("df"))
 
     def weight(i: Column) -> Column:
@@ -74,7 +78,7 @@ def idf_by_month(vectors: DataFrame, size: int, smooth: bool = True) -> DataFram
         return F.log((n + 1) / (F.coalesce(F.try_element_at("df", i), F.lit(0)) + 1)) + (1 if smooth else 0)
 
     positions = F.sequence(F.lit(0), F.lit(size - 1)) if size else F.array().cast("array<int>")
-    return stage(by_month.select("month", F.transform(positions, weight).alias("idf")), "idf")
+    return sized(by_month.select("month", F.transform(positions, weight).alias("idf")), "idf")
 
 
 def _weights(terms: str = "terms", idf: str = "idf") -> Column:
@@ -108,7 +112,7 @@ def fixed_vocab_weights(articles: DataFrame, keywords: Keywords) -> DataFrame:
     vocabulary = [Entry(0, w, (w,)) for w in fixed_vocabulary(keywords)]
     bodies = articles.where(F.col("content_text").isNotNull())
     vectors = _vectors(bodies, F.lower("content_text"), vocabulary, ["article_id"])
-    weighted = vectors.join(idf_by_month(vectors, len(vocabulary)), "month")
+    weighted = vectors.join(idf_by_month(_marks(vectors), len(vocabulary)), "month")
     return weighted.select("month", "article_id", let(_weights(), _unit).alias("weights"))
 
 
@@ -154,7 +158,7 @@ def article_policy_tfidf(articles: DataFrame, keywords: Keywords, placeholder: s
     vocabulary = policy_vocabulary(keywords)
     whole = articles.dropna(subset=["article_id", "title", "content_text"])
     vectors = _vectors(whole, F.col("content_text"), vocabulary, ["article_id", "title"])
-    weighted = vectors.join(idf_by_month(vectors, len(vocabulary)), "month").withColumn("weights", _weights())
+    weighted = vectors.join(idf_by_month(_marks(vectors), len(vocabulary)), "month").withColumn("weights", _weights())
 
     def score(policy: int) -> Column:
         mine = [i for i, e in enumerate(vocabulary) if e.policy == policy]
@@ -213,7 +217,7 @@ def top_terms_month(grams: DataFrame, max_terms: int = MAX_TERMS, top: int = TOP
     """(month, rank, term, score): mean unit-vector TF-IDF of a term over all documents of the month."""
     vocabulary = vocab_cap(grams, max_terms).join(_documents(grams), "month")
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
-    vocabulary = stage(vocabulary.select("month", "term", "n", idf.alias("idf")), "vocabulary")
+    vocabulary = sized(vocabulary.select("month", "term", "n", idf.alias("idf")), "vocabulary")
     rows = grams.select("month", "doc", F.inline("grams")).join(vocabulary, ["month", "term"])
     weighted = rows.withColumn("w", F.col("tf") * F.col("idf"))
     # One shuffle by document: its few capped terms travel together and leave divided by its norm.
@@ -234,7 +238,7 @@ def top_words(grams: DataFrame, top: int = TOP_TERMS) -> DataFrame:
     """
     rows = grams.select("month", F.inline("grams"))
     totals = rows.groupBy("month", "term").agg(F.max("tf").alias("tf"), F.count("*").alias("df"))
-    scored = totals.join(stage(_documents(grams), "documents"), "month").withColumn(
+    scored = totals.join(sized(_documents(grams), "documents"), "month").withColumn(
         "score", round_key(F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1)))
     )
     return top_rows(scored, ["month"], [F.desc("score"), F.asc("term")], top).select("month", "rank", "term", "score")
@@ -249,15 +253,13 @@ def hashed_tfidf(articles: DataFrame, buckets: int = HASH_BUCKETS, column: str =
         HashingTF(inputCol="ngrams", outputCol="raw_features", numFeatures=buckets),
     ]
     hashed = Pipeline(stages=stages).fit(texts).transform(texts)
-    dense = vector_to_array("raw_features")
-    sparse = F.filter(
-        F.transform(dense, lambda v, i: F.struct(i.cast("int").alias("i"), v.cast("long").alias("tf"))), lambda e: e.tf > 0
-    )
-    vectors = stage(hashed.select("month", "article_id", sparse.alias("terms")), "hashed")
-    weighted = vectors.join(idf_by_month(vectors, buckets, smooth=False), "month").select(
-        "month", "article_id", F.inline(_weights())
-    )
-    return weighted.select("month", "article_id", F.col("i").alias("bucket"), F.col("w").alias("tfidf"))
+    # A leading entry that is always present becomes the article's mark -1.
+    cells = F.concat(F.array(F.lit(1.0)), vector_to_array("raw_features"))
+    rows = hashed.select("month", "article_id", F.posexplode(cells).alias("pos", "tf")).where(F.col("tf") > 0)
+    rows = stage(rows.select("month", "article_id", (F.col("pos") - 1).alias("i"), "tf"), "hashed")
+    weighted = rows.where(F.col("i") >= 0).join(idf_by_month(rows.select("month", "i"), buckets, smooth=False), "month")
+    value = F.col("tf") * F.get("idf", F.col("i"))
+    return weighted.select("month", "article_id", F.col("i").alias("bucket"), value.alias("tfidf"))
 
 
 def term_month_frequency(terms: DataFrame) -> DataFrame:

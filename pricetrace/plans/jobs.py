@@ -86,8 +86,10 @@ def trace_articles(
     winners = stage(winners, "winners")
     # Labels are needed only in the months and policies that won.
     labelled = keywords.label_articles(counts).join(winners.select("month", "policy").distinct(), ["month", "policy"], "left_semi")
-    ranked = ranking.rank_articles(stage(labelled, "labels"), top)
-    picks = stage(winners.join(ranked, ["month", "policy"]), "picks")
+    ranked = ranking.rank_articles(labelled, top)
+    # An id may stand for several article rows; each of them is met once per target month.
+    picks = winners.join(ranked, ["month", "policy"]).groupBy("target_month", "month", "policy", "article_id")
+    picks = stage(picks.agg(F.min("rank").alias("rank"), F.max("cnt").alias("cnt")), "picks")
     url = article_url(F.col("newspaper_id"), F.col("article_id"))
     return articles.join(picks, ["month", "article_id"]).select(
         "target_month", "month", "policy", "rank", "cnt", *ARTICLE_COLUMNS, url.alias("article_url")

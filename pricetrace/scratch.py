@@ -39,3 +39,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's own size estimate; for a file scan this is the size of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def sized(df: DataFrame, label: str) -> DataFrame:
+    """`df` with a size the planner can trust, for a join side that is expected to be small.
+
+    An estimate below the broadcast threshold is an upper bound and good as it is. Above it, estimates
+    of aggregates say little, so the table is staged: the join then goes by its true size.
+    """
+    threshold = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    limit = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(threshold))
+    return df if estimated_bytes(df) <= limit else stage(df, label)

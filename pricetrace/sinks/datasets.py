@@ -50,9 +50,9 @@ def compact_by_month(
 ) -> DataFrame:
     """Many small daily article files to one dataset per month, both end months included.
 
-    Months come from the file names, so files outside the range are never opened. Rows are range
-    partitioned by month and file in descending name order, then by position in the scan: the output
-    keeps the file order, and a large month is spread over as many tasks as its size needs.
+    Months come from the file names, so files outside the range are never opened. The rows are
+    shuffled once: small months end up in one file and a large month in as many as its size needs.
+    Inside a file, rows keep the order of the source files (names descending) and of their lines.
     """
     if start > end:
         raise ValueError(f"start month {start} lies after end month {end}")
@@ -65,7 +65,7 @@ def compact_by_month(
         F.monotonically_increasing_id().alias("_position"),
     )
     order = [F.asc("month"), F.desc("_file"), F.asc("_position")]
-    ordered = wanted.repartitionByRange(*order).sortWithinPartitions(*order).drop("_file", "_position")
+    ordered = wanted.hint("rebalance", "month").sortWithinPartitions(*order).drop("_file", "_position")
     writer = csv_writer(ordered) if fmt == "csv" else ordered.write.mode("overwrite")
     writer.partitionBy("month").format(fmt).save(target)
     return read_months(spark, target, fmt)

@@ -20,23 +20,26 @@ MONTH_PATTERNS = {
 _OVERFLOW = "_overflow"
 
 
-def csv_reader(spark: SparkSession, schema: T.StructType, header: bool = True):
+def csv_reader(spark: SparkSession, schema: T.StructType, header: bool = True, multi_line: bool = True):
     """Reader for quoted CSV with embedded line breaks and doubled quotes.
 
     A file with embedded line breaks is streamed by one task, so `pricetrace.sinks` bounds the rows
-    per file; directories are read in one scan however many files they hold.
+    per file; directories are read in one scan however many files they hold. `multi_line=False` splits
+    large files that are known to hold one record per line.
     """
     return (
         spark.read.schema(schema)
         .option("header", header)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("recursiveFileLookup", True)
     )
 
 
-def read_articles(spark: SparkSession, path: str | list[str], on_bad: str = "keep", header: bool = True) -> DataFrame:
+def read_articles(
+    spark: SparkSession, path: str | list[str], on_bad: str = "keep", header: bool = True, multi_line: bool = True
+) -> DataFrame:
     """All article files below `path` in one scan.
 
     `on_bad` says what happens to lines with more fields than the header: `keep` cuts them to the
@@ -46,9 +49,9 @@ def read_articles(spark: SparkSession, path: str | list[str], on_bad: str = "kee
     if on_bad not in ("keep", "drop", "quarantine"):
         raise ValueError(f"unknown on_bad mode: {on_bad}")
     if on_bad == "keep":
-        return csv_reader(spark, schemas.ARTICLES, header).csv(path)
+        return csv_reader(spark, schemas.ARTICLES, header, multi_line).csv(path)
     wide = T.StructType([*schemas.ARTICLES.fields, T.StructField(_OVERFLOW, T.StringType())])
-    reader = csv_reader(spark, wide, header).option("ignoreCorruptFiles", True)
+    reader = csv_reader(spark, wide, header, multi_line).option("ignoreCorruptFiles", True)
     # All columns are parsed, so that a line is judged the same whichever of them a query selects.
     rows = reader.option("columnPruning", False).csv(path)
     if on_bad == "drop":
