@@ -47,7 +47,7 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
     return items.select(
         F.col("l_extendedprice").alias("amount"),
         F.col("l_quantity").alias("area"),
-        F.date_format("l_shipdate", "yyyyMM").alias("month"),
+        (F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("string").alias("month"),
         F.col("l_returnflag").alias("series"),
     )
 

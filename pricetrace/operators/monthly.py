@@ -65,11 +65,16 @@ def assign_policy_type(
     Labels are merged after the choice.
     """
     sums = month_policy_sum(counts, value)
-    limits = policy_median(sums if approx else counts, value, approx).join(topn_threshold(sums, n, value), "policy")
+    medians = policy_median(sums if approx else counts, value, approx)
+    of_policy = Window.partitionBy("policy")
+    place = F.row_number().over(of_policy.orderBy(F.desc(value), F.asc("month")))
+    ranked = sums.withColumn("_place", place).withColumn(
+        "threshold", F.min(F.when(F.col("_place") <= n, F.col(value))).over(of_policy)
+    )
     passed = (F.col(value) > F.col("median")) & (F.col(value) >= F.col("threshold"))
-    winners = sums.join(limits, "policy").where(passed).groupBy("month").agg(_largest(value).alias("policy_type"))
-    merged = winners.select("month", merge_labels(F.col("policy_type"), merge).cast("int").alias("policy_type"))
-    return sums.select("month").distinct().join(merged, "month", "left")
+    candidate = F.when(passed, F.struct(F.col(value), (-F.col("policy")).alias("neg")))
+    winners = ranked.join(medians, "policy").groupBy("month").agg((-F.max(candidate)["neg"]).alias("policy_type"))
+    return winners.select("month", merge_labels(F.col("policy_type"), merge).cast("int").alias("policy_type"))
 
 
 def month_argmax(counts: DataFrame, value: str = "cnt") -> DataFrame:

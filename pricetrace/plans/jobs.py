@@ -61,9 +61,8 @@ def price_change_range(trades: DataFrame, start: str, end: str) -> DataFrame:
     return prices.month_range(prices.monthly_price_change(trades), start, end)
 
 
-def target_winners(changes: DataFrame, policy_map: DataFrame, as_of: bool = False) -> DataFrame:
+def target_winners(labelled: DataFrame, as_of: bool = False) -> DataFrame:
     """(target_month, month, policy, avg_change) for all target months that have a candidate."""
-    labelled = effects.join_change_policy(changes, policy_map)
     candidates = effects.join_lag_effect(labelled, effects.policy_effect(labelled), as_of=as_of)
     return effects.effect_winner(candidates)
 
@@ -77,10 +76,10 @@ def trace_articles(
     month's top-ranked articles on the policy. Only narrow counts of the texts are kept between the
     steps; the article rows themselves are met once, by a table of the picked ids.
     """
-    changes = stage(prices.monthly_price_change(trades), "changes")
     counts = stage(keywords.article_counts(articles, words), "article-counts")
-    month_counts = stage(keywords.weighted_counts(counts), "month-counts")
-    winners = target_winners(changes, monthly.assign_policy_type(month_counts), as_of)
+    types = monthly.assign_policy_type(keywords.weighted_counts(counts))
+    changes = effects.join_change_policy(prices.monthly_price_change(trades), types)
+    winners = target_winners(stage(changes, "changes"), as_of)
     if target_month is not None:
         winners = winners.where(F.col("target_month") == target_month)
     winners = stage(winners, "winners")
