@@ -60,22 +60,18 @@ def _vectors(articles: DataFrame, text: Column, vocabulary: list[Entry], keep: l
     return stage(articles.select("month", *keep, terms.alias("terms")), "vectors")
 
 
-def _marks(vectors: DataFrame) -> DataFrame:
-    """(month, i): one row per article and term present, and one with i = -1 per article."""
-    return vectors.select("month", F.explode(F.concat(F.array(F.lit(-1)), F.col("terms.i"))).alias("i"))
+def idf_by_month(vectors: DataFrame, size: int) -> DataFrame:
+    """(month, idf): ln((1+n)/(1+df)) + 1 of every vocabulary position, one array of `size` values per month.
 
-
-def idf_by_month(marks: DataFrame, size: int, smooth: bool = True) -> DataFrame:
-    """(month, idf): one array of `size` values per month, from (month, i) rows as `_marks` gives them.
-
-    `smooth` gives ln((1+n)/(1+df)) + 1, otherwise ln((n+1)/(df+1)).
+    One aggregation serves both counts: position -1 is marked once per article.
     """
+    marks = vectors.select("month", F.explode(F.concat(F.array(F.lit(-1)), F.col("terms.i"))).alias("i"))
     counts = marks.groupBy("month", "i").agg(F.count("*").alias("n"))
     by_month = counts.groupBy("month").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("df"))
 
     def weight(i: Column) -> Column:
         n = F.try_element_at("df", F.lit(-1))
-        return F.log((n + 1) / (F.coalesce(F.try_element_at("df", i), F.lit(0)) + 1)) + (1 if smooth else 0)
+        return F.log((n + 1) / (F.coalesce(F.try_element_at("df", i), F.lit(0)) + 1)) + 1
 
     positions = F.sequence(F.lit(0), F.lit(size - 1)) if size else F.array().cast("array<int>")
     return sized(by_month.select("month", F.transform(positions, weight).alias("idf")), "idf")
@@ -112,14 +108,16 @@ def fixed_vocab_weights(articles: DataFrame, keywords: Keywords) -> DataFrame:
     vocabulary = [Entry(0, w, (w,)) for w in fixed_vocabulary(keywords)]
     bodies = articles.where(F.col("content_text").isNotNull())
     vectors = _vectors(bodies, F.lower("content_text"), vocabulary, ["article_id"])
-    weighted = vectors.join(idf_by_month(_marks(vectors), len(vocabulary)), "month")
+    weighted = vectors.join(idf_by_month(vectors, len(vocabulary)), "month")
     return weighted.select("month", "article_id", let(_weights(), _unit).alias("weights"))
 
 
 def tfidf_fixed_vocab(articles: DataFrame, keywords: Keywords) -> DataFrame:
     """(month, article_id, term, weight) of the terms present."""
     terms = F.array(*[F.lit(w) for w in fixed_vocabulary(keywords)])
-    rows = fixed_vocab_weights(articles, keywords).select("month", "article_id", F.inline("weights"))
+    weights = fixed_vocab_weights(articles, keywords)
+    # The outer form keeps the optimizer from computing all weights a second time to test their number.
+    rows = weights.select("month", "article_id", F.inline_outer("weights")).where(F.col("i").isNotNull())
     return rows.select("month", "article_id", F.get(terms, F.col("i")).alias("term"), F.col("w").alias("weight"))
 
 
@@ -133,7 +131,7 @@ def tfidf_policy_totals(articles: DataFrame, keywords: Keywords) -> DataFrame:
         return F.struct(F.lit(policy).alias("policy"), score.alias("score"))
 
     scores = F.array(*[total(p) for p in sorted(keywords)])
-    rows = fixed_vocab_weights(articles, keywords).select("month", F.inline(scores))
+    rows = fixed_vocab_weights(articles, keywords).select("month", F.inline_outer(scores))
     return rows.groupBy("month", "policy").agg(F.sum("score").alias("score"))
 
 
@@ -158,7 +156,7 @@ def article_policy_tfidf(articles: DataFrame, keywords: Keywords, placeholder: s
     vocabulary = policy_vocabulary(keywords)
     whole = articles.dropna(subset=["article_id", "title", "content_text"])
     vectors = _vectors(whole, F.col("content_text"), vocabulary, ["article_id", "title"])
-    weighted = vectors.join(idf_by_month(_marks(vectors), len(vocabulary)), "month").withColumn("weights", _weights())
+    weighted = vectors.join(idf_by_month(vectors, len(vocabulary)), "month").withColumn("weights", _weights())
 
     def score(policy: int) -> Column:
         mine = [i for i, e in enumerate(vocabulary) if e.policy == policy]
@@ -177,12 +175,12 @@ def article_policy_tfidf(articles: DataFrame, keywords: Keywords, placeholder: s
 
 def long_scores(scored: DataFrame) -> DataFrame:
     """(month, article_id, title, policy, score) from `article_policy_tfidf`."""
-    return scored.select("month", "article_id", "title", F.inline("scores"))
+    return scored.select("month", "article_id", "title", F.inline_outer("scores"))
 
 
 def article_tfidf_totals(scored: DataFrame) -> DataFrame:
     """(month, policy, score): article scores added up."""
-    return scored.select("month", F.inline("scores")).groupBy("month", "policy").agg(F.sum("score").alias("score"))
+    return scored.select("month", F.inline_outer("scores")).groupBy("month", "policy").agg(F.sum("score").alias("score"))
 
 
 def title_tokens(articles: DataFrame, column: str = "title") -> DataFrame:
@@ -256,10 +254,13 @@ def hashed_tfidf(articles: DataFrame, buckets: int = HASH_BUCKETS, column: str =
     # A leading entry that is always present becomes the article's mark -1.
     cells = F.concat(F.array(F.lit(1.0)), vector_to_array("raw_features"))
     rows = hashed.select("month", "article_id", F.posexplode(cells).alias("pos", "tf")).where(F.col("tf") > 0)
-    rows = stage(rows.select("month", "article_id", (F.col("pos") - 1).alias("i"), "tf"), "hashed")
-    weighted = rows.where(F.col("i") >= 0).join(idf_by_month(rows.select("month", "i"), buckets, smooth=False), "month")
-    value = F.col("tf") * F.get("idf", F.col("i"))
-    return weighted.select("month", "article_id", F.col("i").alias("bucket"), value.alias("tfidf"))
+    rows = stage(rows.select("month", "article_id", (F.col("pos") - 1).alias("bucket"), "tf"), "hashed")
+    counts = rows.groupBy("month", "bucket").agg(F.count("*").alias("df"))
+    totals = counts.where(F.col("bucket") == -1).select("month", F.col("df").alias("n"))
+    idf = F.log((F.col("n") + 1) / (F.col("df") + 1))
+    weights = counts.where(F.col("bucket") >= 0).join(totals, "month").select("month", "bucket", idf.alias("idf"))
+    weighted = rows.where(F.col("bucket") >= 0).join(sized(weights, "idf"), ["month", "bucket"])
+    return weighted.select("month", "article_id", "bucket", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
 def term_month_frequency(terms: DataFrame) -> DataFrame:
