@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricetrace.catalog.registry import cte
 from pricetrace.keyword_sets import Keywords
 from pricetrace.schemas import ARTICLE_COLUMNS
-from pricetrace.sources.tables import read_table, read_texts
+from pricetrace.sources.tables import read_table
 
 WORDS: Keywords = {
     1: ["that", "was", "with", "of the"],
@@ -22,7 +22,7 @@ MONTHS = 83
 
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_texts(spark, f"{sf}/documents.parquet", "doc_id bigint, text string, lang string, source string")
+    docs = read_table(spark, f"{sf}/documents.parquet", "doc_id bigint, text string, lang string, source string")
     day = F.add_months(F.lit("1995-01-01").cast("date"), (F.col("doc_id") % MONTHS).cast("int"))
     nothing = F.lit(None).cast("string")
     return docs.select(
@@ -53,7 +53,7 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return read_texts(spark, f"{sf}/pages.parquet", "page_id bigint, url string, html string")
+    return read_table(spark, f"{sf}/pages.parquet", "page_id bigint, url string, html string")
 
 
 def lexicon(spark: SparkSession, sf: str) -> DataFrame:

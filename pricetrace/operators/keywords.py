@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pricetrace.functions.columns import let
 from pricetrace.functions.text import is_single_word, keep_words, tokens
 from pricetrace.keyword_sets import Keywords, all_words, keywords_df
-from pricetrace.scratch import sized
 
 TITLE_WEIGHT, BODY_WEIGHT = 2, 1  # fixed values
 
@@ -124,7 +123,7 @@ def tag_filter(articles: DataFrame, lexicon: DataFrame, tags: list[str], column:
     )
     wanted = lexicon.where(F.col("tag").isin(tags)).select("word").distinct().withColumn("_keep", F.lit(True))
     kept = F.when(F.col("_keep"), F.struct("pos", "word"))
-    grouped = words.join(sized(wanted, "lexicon"), "word", "left").groupBy("_row", "month", "article_id").agg(
+    grouped = words.join(wanted, "word", "left").groupBy("_row", "month", "article_id").agg(
         F.sort_array(F.collect_list(kept)).alias("found")
     )
     return grouped.select("month", "article_id", F.col("found.word").alias("tokens"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetrace.scratch import sized, stage
+from pricetrace.scratch import stage
 
 
 def rank_by_value(df: DataFrame, keys: list[str], value: str, method: str = "dense", top: int | None = None) -> DataFrame:
@@ -32,7 +32,7 @@ def rank_by_value(df: DataFrame, keys: list[str], value: str, method: str = "den
     ranks = counts.withColumn("rank", rank)
     if top is not None:
         ranks = ranks.where(F.col("rank") <= top)
-    return present.join(sized(ranks.drop("_n"), "ranks"), [*keys, value])
+    return present.join(ranks.drop("_n"), [*keys, value])
 
 
 def rank_articles(labelled: DataFrame, top: int | None = None) -> DataFrame:
@@ -81,5 +81,5 @@ def enumerate_rows(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     local = parts.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    numbered = local.join(sized(offsets, "offsets"), "_part")
+    numbered = local.join(offsets, "_part")
     return numbered.withColumn(name, (F.col("_row") + F.col("_offset")).cast("long")).drop("_part", "_row", "_offset")

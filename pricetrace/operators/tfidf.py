@@ -20,7 +20,7 @@ from pricetrace.functions.columns import let, round_key
 from pricetrace.functions.text import is_single_word, joined, keep_words, term_counts, tokens, word_ngrams
 from pricetrace.keyword_sets import Keywords, all_words
 from pricetrace.operators.ranking import top_rows
-from pricetrace.scratch import sized, stage
+from pricetrace.scratch import stage
 
 MAX_TERMS, TOP_TERMS, HASH_BUCKETS = 1000, 50, 1000  # fixed values
 PLACEHOLDER = "없음"  # fixed value: stands in for a document without policy words
@@ -74,7 +74,7 @@ def idf_by_month(vectors: DataFrame, size: int) -> DataFrame:
         return F.log((n + 1) / (F.coalesce(F.try_element_at("df", i), F.lit(0)) + 1)) + 1
 
     positions = F.sequence(F.lit(0), F.lit(size - 1)) if size else F.array().cast("array<int>")
-    return sized(by_month.select("month", F.transform(positions, weight).alias("idf")), "idf")
+    return by_month.select("month", F.transform(positions, weight).alias("idf"))
 
 
 def _weights(terms: str = "terms", idf: str = "idf") -> Column:
@@ -215,7 +215,7 @@ def top_terms_month(grams: DataFrame, max_terms: int = MAX_TERMS, top: int = TOP
     """(month, rank, term, score): mean unit-vector TF-IDF of a term over all documents of the month."""
     vocabulary = vocab_cap(grams, max_terms).join(_documents(grams), "month")
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
-    vocabulary = sized(vocabulary.select("month", "term", "n", idf.alias("idf")), "vocabulary")
+    vocabulary = vocabulary.select("month", "term", "n", idf.alias("idf"))
     rows = grams.select("month", "doc", F.inline("grams")).join(vocabulary, ["month", "term"])
     weighted = rows.withColumn("w", F.col("tf") * F.col("idf"))
     # One shuffle by document: its few capped terms travel together and leave divided by its norm.
@@ -236,7 +236,7 @@ def top_words(grams: DataFrame, top: int = TOP_TERMS) -> DataFrame:
     """
     rows = grams.select("month", F.inline("grams"))
     totals = rows.groupBy("month", "term").agg(F.max("tf").alias("tf"), F.count("*").alias("df"))
-    scored = totals.join(sized(_documents(grams), "documents"), "month").withColumn(
+    scored = totals.join(_documents(grams), "month").withColumn(
         "score", round_key(F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1)))
     )
     return top_rows(scored, ["month"], [F.desc("score"), F.asc("term")], top).select("month", "rank", "term", "score")
@@ -259,7 +259,7 @@ def hashed_tfidf(articles: DataFrame, buckets: int = HASH_BUCKETS, column: str =
     totals = counts.where(F.col("bucket") == -1).select("month", F.col("df").alias("n"))
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1))
     weights = counts.where(F.col("bucket") >= 0).join(totals, "month").select("month", "bucket", idf.alias("idf"))
-    weighted = rows.where(F.col("bucket") >= 0).join(sized(weights, "idf"), ["month", "bucket"])
+    weighted = rows.where(F.col("bucket") >= 0).join(weights, ["month", "bucket"])
     return weighted.select("month", "article_id", "bucket", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 

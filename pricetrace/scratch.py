@@ -2,27 +2,30 @@
 
 `stage` writes a DataFrame once and reads it back. A plan that needs an expensive input twice
 (document frequencies and then scores) pays for it once, a lost executor costs no recomputation, and
-the planner sees the real file size: it broadcasts the table when that is below
-`spark.sql.autoBroadcastJoinThreshold` and shuffles it otherwise, so no join here needs a hint.
+the planner sees the real file size, so no join here needs a hint. `discard` empties a staged table
+as soon as nothing reads it any more; the shuffle files of a staging job go when the job ends.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_roots: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder of this application below `spark.checkpoint.dir`; a temporary one in local mode only."""
+    """Folder of this application below `spark.checkpoint.dir`; a temporary one only in local mode without that setting."""
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if base:
         return f"{base.rstrip('/')}/pricetrace-{context.applicationId}"
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     if context.applicationId not in _local_roots:
         _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="pricetrace-")
@@ -33,25 +36,37 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as a Parquet table in the scratch folder and return a scan of it."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The session setting `key` for the length of a block; afterwards it is as it was."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
 
+class Staged:
+    """A table in the scratch folder: `df` scans it, `discard` empties it."""
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The planner's own size estimate; for a file scan this is the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    def __init__(self, df: DataFrame, label: str):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = new_path(self.spark, label)
+        with setting(self.spark, _CLEANUP, "true"):
+            df.write.parquet(self.path)
 
+    @property
+    def df(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
-def sized(df: DataFrame, label: str) -> DataFrame:
-    """`df` with a size the planner can trust, for a join side that is expected to be small.
+    def discard(self) -> None:
+        self.spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(self.path)
 
-    An estimate below the broadcast threshold is an upper bound and good as it is. Above it, estimates
-    of aggregates say little, so the table is staged: the join then goes by its true size.
-    """
-    threshold = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    limit = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(threshold))
-    return df if estimated_bytes(df) <= limit else stage(df, label)
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` as a Parquet table in the scratch folder and return a scan of it."""
+    return Staged(df, label).df

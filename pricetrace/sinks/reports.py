@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from pricetrace import schemas
 from pricetrace.functions.columns import policy_label
-from pricetrace.scratch import sized
 
 # Fixed value: rule drawn between the counts of a file and its verdict.
 RULE = "-" * 22
@@ -105,7 +104,7 @@ def month_documents(traced: DataFrame, month: str = "month", articles_per_docume
     """
     sizes = traced.groupBy(month).agg(F.ceil(F.count("*") / articles_per_document).cast("int").alias("parts"))
     fields = [*schemas.ARTICLE_COLUMNS, "article_url"]
-    spread = traced.join(sized(sizes, "document-sizes"), month).withColumn("part", F.pmod(F.xxhash64("article_id"), F.col("parts")).cast("int"))
+    spread = traced.join(sizes, month).withColumn("part", F.pmod(F.xxhash64("article_id"), F.col("parts")).cast("int"))
     grouped = spread.groupBy(F.col(month).alias("month"), "part").agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("articles")
     )

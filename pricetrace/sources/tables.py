@@ -4,23 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricetrace.scratch import estimated_bytes
-
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
-
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Parquet scan of the columns in `schema` (DDL), without a job to infer them."""
     return spark.read.schema(schema).parquet(path)
-
-
-def read_texts(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """`read_table` for columns that are costly to work on.
-
-    Tasks follow row groups, so a small input in a single row group would keep all but one core idle
-    during text work. Inputs below `SMALL_INPUT_BYTES` are therefore dealt out over the cores; larger
-    ones have row groups enough and are never shuffled here.
-    """
-    table = read_table(spark, path, schema)
-    small = estimated_bytes(table) < SMALL_INPUT_BYTES
-    return table.repartition(spark.sparkContext.defaultParallelism) if small else table
