@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrace.llm import exact_dedup, sharding
+from pricetrace.llm import exact_dedup, mixing, sharding
 from pricetrace.scratch import Staged
 from pricetrace.sources.tables import read_table
 
@@ -51,3 +51,8 @@ def op2_exact_dedup(spark, sf):
 def op3_rendezvous_shards(spark, sf):
     placed = sharding.shard_table(documents(spark, sf), "doc_id", [1.0] * SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query("op10_mix_sources")
+def op10_mix_sources(spark, sf):
+    return mixing.mix_table(documents(spark, sf, "doc_id bigint, text string, source string"))
