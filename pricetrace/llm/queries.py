@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrace.llm import exact_dedup, mixing, sharding
+from pricetrace.llm import exact_dedup, mixing, packing, sharding
 from pricetrace.scratch import Staged
 from pricetrace.sources.tables import read_table
 
@@ -56,3 +56,8 @@ def op3_rendezvous_shards(spark, sf):
 @query("op10_mix_sources")
 def op10_mix_sources(spark, sf):
     return mixing.mix_table(documents(spark, sf, "doc_id bigint, text string, source string"))
+
+
+@query("op4_pack_windows")
+def op4_pack_windows(spark, sf):
+    return packing.pack(documents(spark, sf))
