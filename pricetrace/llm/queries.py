@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrace.llm import exact_dedup, mixing, packing, sharding
+from pricetrace.llm import exact_dedup, mixing, packing, sharding, toxicity
 from pricetrace.scratch import Staged
 from pricetrace.sources.tables import read_table
 
@@ -61,3 +61,21 @@ def op10_mix_sources(spark, sf):
 @query("op4_pack_windows")
 def op4_pack_windows(spark, sf):
     return packing.pack(documents(spark, sf))
+
+
+def toxicity_model(spark: SparkSession, sf: str, docs: DataFrame) -> toxicity.Model:
+    labels = read_table(spark, f"{sf}/labels.parquet", "doc_id bigint, toxic int")
+    return toxicity.fit_model(docs, labels)
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf):
+    docs = documents(spark, sf)
+    scored = toxicity.score(docs, toxicity_model(spark, sf, docs))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("offending").alias("n_offending"),
+    )
