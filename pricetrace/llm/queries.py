@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrace.llm import exact_dedup, mixing, packing, sharding, toxicity
+from pricetrace.llm import exact_dedup, mixing, packing, secret_scan, sharding, toxicity
 from pricetrace.scratch import Staged
 from pricetrace.sources.tables import read_table
 
@@ -79,3 +79,23 @@ def op9_toxicity(spark, sf):
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.size("offending").alias("n_offending"),
     )
+
+
+@query("op5_secret_scan")
+def op5_secret_scan(spark, sf):
+    found = secret_scan.scan(documents(spark, sf))
+    base = [rule.kind for rule in secret_scan.BASE]
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    own = F.filter("spans", lambda s: s["kind"].isin(base))
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in base],
+        F.sha2(joined(own), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
