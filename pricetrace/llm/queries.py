@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrace.llm import exact_dedup, mixing, packing, pii, secret_scan, sharding, toxicity
+from pricetrace.llm import exact_dedup, mixing, near_dedup, packing, pii, secret_scan, sharding, toxicity
 from pricetrace.scratch import Staged
 from pricetrace.sources.tables import read_table
 
@@ -104,3 +104,8 @@ def op5_secret_scan(spark, sf):
 @query("op6_pii_surrogates")
 def op6_pii_surrogates(spark, sf):
     return pii.replace_pii(documents(spark, sf), "surrogates of the registered query")
+
+
+@query("op1_near_dedup")
+def op1_near_dedup(spark, sf):
+    return near_dedup.near_duplicates(documents(spark, sf))
