@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrace.llm import exact_dedup, mixing, near_dedup, packing, pii, secret_scan, sharding, toxicity
+from pricetrace.llm import exact_dedup, mixing, near_dedup, packing, pii, repeats, secret_scan, sharding, toxicity
 from pricetrace.scratch import Staged
 from pricetrace.sources.tables import read_table
 
@@ -109,3 +109,8 @@ def op6_pii_surrogates(spark, sf):
 @query("op1_near_dedup")
 def op1_near_dedup(spark, sf):
     return near_dedup.near_duplicates(documents(spark, sf))
+
+
+@query("op8_repeated_passages")
+def op8_repeated_passages(spark, sf):
+    return repeats.remove_repeats(documents(spark, sf)).drop("kept")
