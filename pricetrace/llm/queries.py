@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrace.llm import exact_dedup, mixing, near_dedup, packing, pii, repeats, secret_scan, sharding, toxicity
+from pricetrace.llm import exact_dedup, mixing, near_dedup, neighbours, packing, pii, repeats, secret_scan, sharding, toxicity
 from pricetrace.scratch import Staged
 from pricetrace.sources.tables import read_table
 
@@ -114,3 +114,9 @@ def op1_near_dedup(spark, sf):
 @query("op8_repeated_passages")
 def op8_repeated_passages(spark, sf):
     return repeats.remove_repeats(documents(spark, sf)).drop("kept")
+
+
+@query("op7_nearest_neighbours")
+def op7_nearest_neighbours(spark, sf):
+    table = read_table(spark, f"{sf}/embeddings.parquet", "vec_id bigint, embedding array<float>")
+    return neighbours.nearest_neighbours(table, table.where("vec_id % 20 = 0"))
