@@ -34,7 +34,7 @@ class Forest:
     that with probability 0.00001); one that agrees in `sure` counts as connected when spanning links are chosen.
     """
 
-    width: int = 4
+    width: int = 5
     percent: int = 80
     orders: int = 20
     depth: int = 4

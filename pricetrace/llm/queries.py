@@ -108,7 +108,7 @@ def op6_pii_surrogates(spark, sf):
 
 @query("op1_near_dedup")
 def op1_near_dedup(spark, sf):
-    return near_dedup.near_duplicates(documents(spark, sf))
+    return near_dedup.near_duplicates(documents(spark, sf), near_dedup.Forest(width=4))
 
 
 @query("op8_repeated_passages")
