@@ -9,7 +9,7 @@ from pricetrace.functions import columns
 from pricetrace.operators import clean, keywords, ranking
 from pricetrace.plans import jobs
 from pricetrace.schemas import ARTICLE_COLUMNS
-from pricetrace.scratch import stage
+from pricetrace.scratch import new_path, stage
 from pricetrace.sinks import reports
 
 
@@ -54,17 +54,11 @@ def semi_join_articles(spark, sf):
     return clean.semi_join(articles(spark, sf), ids, ["month", "article_id"]).select("month", *ARTICLE_COLUMNS)
 
 
-@query("month_documents", """
-  SELECT target_month AS month, 0 AS part, article_id, newspaper_id, title, content_text, article_url FROM trc""")
+@query("month_documents", f"SELECT target_month AS month, {ARTICLE_LIST}, article_url FROM trc")
 def month_documents(spark, sf):
     traced = jobs.trace_articles(trades(spark, sf), articles(spark, sf), WORDS)
-    documents = reports.month_documents(stage(traced, "traced"), "target_month")
-    fields = ["article_id", "newspaper_id", "title", "content_text", "article_url"]
-    item = T.StructType([T.StructField(f, T.StringType()) for f in fields])
-    shape = T.StructType([
-        T.StructField("month", T.StringType()),
-        T.StructField("part", T.IntegerType()),
-        T.StructField("articles", T.ArrayType(item)),
-    ])
-    parsed = documents.select(F.from_json("document", shape).alias("d"))
-    return parsed.select("d.month", "d.part", F.inline("d.articles"))
+    path = new_path(spark, "month-documents")
+    reports.write_month_documents(reports.month_documents(traced, "target_month"), path)
+    shape = T.StructType([T.StructField(name, T.StringType()) for name in [*ARTICLE_COLUMNS, "article_url"]])
+    lines = spark.read.schema("value string, month string").text(path)
+    return lines.select("month", F.from_json("value", shape).alias("d")).select("month", "d.*")

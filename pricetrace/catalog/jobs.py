@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from pricetrace.catalog.bindings import ARTICLE_LIST, TAGS, WORDS, articles, lexicon, trades
 from pricetrace.catalog.registry import query
 from pricetrace.plans import jobs
+from pricetrace.schemas import ARTICLE_COLUMNS
+from pricetrace.scratch import new_path
+from pricetrace.sinks import datasets
 
 _PIVOT = ", ".join(f"CAST(sum(CASE WHEN policy = {p} THEN cnt ELSE 0 END) AS BIGINT) AS policy_{p}" for p in WORDS)
 _SCORE_PIVOT = ", ".join(f"sum(CASE WHEN policy = {p} THEN score ELSE 0 END) AS policy_{p}" for p in WORDS)
@@ -15,6 +18,15 @@ def trace_articles(spark, sf):
     return jobs.trace_articles(trades(spark, sf), articles(spark, sf), WORDS)
 
 
+@query("trace_articles_month", f"""
+  SELECT target_month, month, policy, rank, cnt, {ARTICLE_LIST}, article_url FROM trc WHERE target_month = '199801'""")
+def trace_articles_month(spark, sf):
+    """One target month, from articles partitioned by month."""
+    path = new_path(spark, "articles-by-month")
+    datasets.write_by_month(articles(spark, sf).select(*ARTICLE_COLUMNS, "month"), path, "parquet")
+    return jobs.trace_articles(trades(spark, sf), datasets.read_months(spark, path), WORDS, "199801")
+
+
 @query("monthly_policy_analysis", f"""
   SELECT p.*, CAST(CASE WHEN t.policy IN (3, 4) THEN 3 ELSE t.policy END AS INTEGER) AS policy_type
   FROM (SELECT month, {_PIVOT} FROM wcnt GROUP BY month) p JOIN atype t ON t.month = p.month""")

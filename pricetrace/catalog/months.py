@@ -105,6 +105,11 @@ def policy_wins(spark, sf):
     return wins.select(F.coalesce("policy", F.lit(0)).alias("policy"), "months")
 
 
+@query("distinct_months", "SELECT DISTINCT month FROM art")
+def distinct_months(spark, sf):
+    return monthly.distinct_months(articles(spark, sf))
+
+
 @query("union_months", """
   SELECT month, policy, CAST(cnt AS BIGINT) AS cnt FROM wcnt""")
 def union_months(spark, sf):

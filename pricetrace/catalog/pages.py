@@ -4,36 +4,42 @@ from pyspark.sql import functions as F
 
 from pricetrace.catalog.bindings import pages
 from pricetrace.catalog.registry import query
-from pricetrace.functions.markup import ENTITIES, FieldRule
+from pricetrace.functions.markup import FieldRule
 from pricetrace.keyword_sets import sections_df
 from pricetrace.operators import pages as operators
 
 _LINK = r"^/[A-Za-z]"
 _IDS = r"/([a-z]{2})/([0-9]+)"
-_HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*\\?["'']((?:[^"''\\]|\\[^"''])*)"""
-
 _RULES = (
     FieldRule("lang", "html", (), "lang"),
+    FieldRule("charset", "meta", (("charset", "utf-8"),), "charset"),
     FieldRule("title", "title"),
     FieldRule("headline", "h1"),
+    FieldRule("advert", "div", (("class", "ad"),)),
     FieldRule("content_text", "article"),
     FieldRule("content_origin", "article", (), "raw"),
 )
 
+# The check SQL reads the pages by plain string functions, which their regular form allows.
+_ENTITIES = (("&quot;", 34), ("&copy;", 169), ("&middot;", 183), ("&amp;", 38))
+
+
+def _between(opening: str, closing: str) -> str:
+    return f"split_part(split_part(html, '{opening}', 2), '{closing}', 1)"
+
 
-def _text_sql(tag: str) -> str:
-    inner = f"regexp_extract(html, '(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1)"
-    bare = rf"regexp_replace({inner}, '(?is)<(?:script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->', '', 'g')"
-    text = f"regexp_replace({bare}, '(?s)<[^>]*>', '', 'g')"
-    for entity, char in ENTITIES:
-        text = f"replace({text}, '{entity}', chr({ord(char)}))"
-    return rf"regexp_replace({text}, '^[\s\x{{00A0}}]+|[\s\x{{00A0}}]+$', '', 'g')"
+def _text_sql(opening: str, closing: str) -> str:
+    parts = f"string_split({_between(opening, closing)}, '<')"
+    text = f"array_to_string(list_transform({parts}, lambda p, i: CASE WHEN i = 1 THEN p ELSE substr(p, strpos(p, '>') + 1) END), '')"
+    for entity, code in _ENTITIES:
+        text = f"replace({text}, '{entity}', chr({code}))"
+    return f"trim({text}, ' ' || chr(10) || chr(160))"
 
 
 @query("page_links", rf"""
   SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY link) AS position, link FROM (
     SELECT DISTINCT page_id, link FROM (
-      SELECT page_id, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS link FROM pages)
+      SELECT page_id, unnest(list_transform(string_split(html, '<a href="')[2:], lambda p: split_part(p, '"', 1))) AS link FROM pages)
     WHERE regexp_matches(link, '{_LINK}'))""")
 def page_links(spark, sf):
     links = operators.extract_links(pages(spark, sf), _LINK)
@@ -48,15 +54,24 @@ def url_ids(spark, sf):
     return pages(spark, sf).select("page_id", newspaper.alias("newspaper_id"), article.alias("article_id"))
 
 
-@query("page_fields", rf"""
-  SELECT page_id, url, regexp_extract(html, '(?is)<html\b[^>]*\slang\s*=\s*"([^"]*)"', 1) AS lang,
-    {_text_sql("title")} AS title, {_text_sql("h1")} AS headline, {_text_sql("article")} AS content_text,
-    regexp_extract(html, '(?is)<article\b[^>]*>.*?</article\s*>') AS content_origin
+@query("page_fields", f"""
+  SELECT page_id, url, {_between('<html lang="', '"')} AS lang, {_between('<meta charset="', '"')} AS charset,
+    {_text_sql("<title>", "</title>")} AS title, {_text_sql("<h1>", "</h1>")} AS headline,
+    {_text_sql('<div class="ad">', "</div>")} AS advert, {_text_sql("<article>", "</article>")} AS content_text,
+    '<article>' || {_between("<article>", "</article>")} || '</article>' AS content_origin
   FROM pages""")
 def page_fields(spark, sf):
     return operators.extract_fields(pages(spark, sf), _RULES)
 
 
+@query("page_fields_parser", f"""
+  SELECT page_id, {_text_sql("<title>", "</title>")} AS title, {_text_sql('<div class="ad">', "</div>")} AS advert,
+    {_text_sql("<article>", "</article>")} AS content_text
+  FROM pages""")
+def page_fields_parser(spark, sf):
+    return operators.extract_fields(pages(spark, sf), _RULES, "parser").select("page_id", "title", "advert", "content_text")
+
+
 @query("section_lookup", f"""
   SELECT page_id, section, CASE section WHEN 'en' THEN '101' WHEN 'fr' THEN '101' WHEN 'de' THEN '100' END AS section_id,
     CASE section WHEN 'en' THEN '260' WHEN 'fr' THEN '259' WHEN 'de' THEN '266' END AS sub_section_id

@@ -11,14 +11,14 @@ from pricetrace.plans import jobs
 
 
 @query("parse_amount", """
-  SELECT month, count(*) AS n, CAST(count(amount) AS BIGINT) AS n_parsed, round(sum(CASE WHEN amount < 90000 THEN amount END), 2) AS total
+  SELECT month, count(*) AS n, CAST(count(CASE WHEN amount < 90000 THEN 1 END) AS BIGINT) AS n_parsed, round(sum(CASE WHEN amount < 90000 THEN amount END), 2) AS total
   FROM trd GROUP BY month""")
 def parse_amount(spark, sf):
     written = F.when(F.col("amount") < 90000, F.format_number("amount", 2)).otherwise(F.concat(F.lit("about "), F.format_number("amount", 0)))
-    rows = trades(spark, sf).select("month", F.col("amount").alias("given"), written.alias("amount_raw"))
+    rows = trades(spark, sf).select("month", written.alias("amount_raw"))
     parsed = rows.withColumn("amount", columns.parse_number(F.col("amount_raw")))
     return parsed.groupBy("month").agg(
-        F.count("*").alias("n"), F.count("given").alias("n_parsed"), F.round(F.sum("amount"), 2).alias("total")
+        F.count("*").alias("n"), F.count("amount").alias("n_parsed"), F.round(F.sum("amount"), 2).alias("total")
     )
 
 

@@ -165,7 +165,17 @@ def top_words_mllib(spark, sf):
 
 @query("hashed_tfidf")
 def hashed_tfidf(spark, sf):
-    return tfidf.hashed_tfidf(articles(spark, sf))
+    return tfidf.hashed_tfidf(articles(spark, sf)).select("month", "article_id", "bucket", "tfidf")
+
+
+@query("hashed_bigram_counts", """
+  SELECT t.month, t.article_id, CAST(t.c - 1 AS DOUBLE) AS n_bigrams, m.n
+  FROM (SELECT month, article_id, count(*) AS c FROM ttok GROUP BY ALL HAVING count(*) > 1) t
+  JOIN (SELECT month, count(*) AS n FROM art GROUP BY month) m ON m.month = t.month""")
+def hashed_bigram_counts(spark, sf):
+    """What the hash cannot change: the buckets of an article hold all its bigrams, and its month all its articles."""
+    rows = tfidf.hashed_tfidf(articles(spark, sf))
+    return rows.groupBy("month", "article_id").agg(F.sum("tf").alias("n_bigrams"), F.first("n").alias("n"))
 
 
 def frequencies(spark, sf):

@@ -9,7 +9,7 @@ from pricetrace.catalog.months import month_counts
 from pricetrace.catalog.registry import query
 from pricetrace.functions.columns import policy_label
 from pricetrace.operators import monthly
-from pricetrace.scratch import new_path
+from pricetrace.scratch import new_path, setting
 from pricetrace.sinks import datasets
 from pricetrace.sources import articles as source
 from pricetrace.sources import trades as trade_source
@@ -57,17 +57,28 @@ def clean_header(spark, sf):
     return source.clean_columns(read).select("article_id", "title", "content_text")
 
 
+def _bad_lines(art):
+    """Articles as CSV lines; German ones appear a second time with two fields too many."""
+    line = F.to_csv(F.struct(*schemas.ARTICLE_COLUMNS), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    broken = F.when(F.col("section_id") == "de", F.array(line, F.concat(line, F.lit(",surplus,fields"))))
+    return art.select(F.explode(F.coalesce(broken, F.array(line))))
+
+
 @query("scan_bad_rows", _ALL_ARTICLES)
 def scan_bad_rows(spark, sf):
     path = new_path(spark, "bad-rows")
-    art = articles(spark, sf)
-    line = F.to_csv(F.struct(*schemas.ARTICLE_COLUMNS), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
-    # German articles appear a second time with two fields too many.
-    broken = F.when(F.col("section_id") == "de", F.array(line, F.concat(line, F.lit(",surplus,fields"))))
-    art.select(F.explode(F.coalesce(broken, F.array(line)))).write.text(path)
+    _bad_lines(articles(spark, sf)).write.text(path)
     return source.read_articles(spark, path, on_bad="drop", header=False)
 
 
+@query("scan_bad_rows_quarantine", f"""
+  SELECT {ARTICLE_LIST}, FALSE AS is_bad FROM art UNION ALL SELECT {ARTICLE_LIST}, TRUE AS is_bad FROM art WHERE section_id = 'de'""")
+def scan_bad_rows_quarantine(spark, sf):
+    path = new_path(spark, "quarantine-rows")
+    _bad_lines(articles(spark, sf)).write.text(path)
+    return source.read_articles(spark, path, on_bad="quarantine", header=False)
+
+
 @query("scan_trades_csv", "SELECT amount, area, month, series FROM trd")
 def scan_trades_csv(spark, sf):
     from pricetrace.functions.columns import parse_number
@@ -79,9 +90,13 @@ def scan_trades_csv(spark, sf):
         F.col("month").alias(schemas.TRADE_MONTH),
         "series",
     )
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    datasets.csv_writer(rows).option("encoding", "cp949").csv(path)
-    read = trade_source.read_trades(spark, path, keep=("series",))
+    # Yearly files, which do not agree on the order of their columns.
+    orders = {"A": rows.columns, "N": rows.columns[::-1], "R": [rows.columns[i] for i in (2, 0, 3, 1)]}
+    with setting(spark, "spark.sql.legacy.javaCharsets", "true"):
+        for series, names in orders.items():
+            part = rows.where(F.col("series") == series).select(*names)
+            datasets.csv_writer(part).option("encoding", "cp949").csv(f"{path}/{series}")
+    read = trade_source.read_trades(spark, [f"{path}/{series}" for series in orders], keep=("series",))
     return read.select(parse_number(F.col("amount_raw")).alias("amount"), "area", "month", "series")
 
 

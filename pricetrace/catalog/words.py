@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from pricetrace.catalog.bindings import TAGS, TOKEN, WORDS, articles, lexicon
 from pricetrace.catalog.registry import cte, query
 from pricetrace.functions import text
-from pricetrace.keyword_sets import all_words
+from pricetrace.keyword_sets import all_words, keywords_from_labels
 from pricetrace.operators import clean, keywords, tfidf
+from pricetrace.scratch import new_path
+from pricetrace.sources.reports import parse_labelled_words, read_lines
 
 cte(
     # tagged title words: the tag follows from the word's length
@@ -72,6 +74,34 @@ def keyword_counts_weighted(spark, sf):
     return keywords.weighted_counts(keywords.article_counts(articles(spark, sf), WORDS))
 
 
+@query("keyword_counts_labelled", """
+  SELECT g.month, CAST(g.policy AS INTEGER) AS policy, CAST(coalesce(h.cnt, 0) AS BIGINT) AS cnt FROM grid g LEFT JOIN (
+    SELECT b.month, k.policy, count(*) AS cnt FROM btok b
+    JOIN (SELECT policy, word FROM kw UNION SELECT 2, 'with') k ON b.w = k.word GROUP BY ALL) h
+  ON h.month = g.month AND h.policy = g.policy""")
+def keyword_counts_labelled(spark, sf):
+    """A labelled word list as dictionary; one word carries two labels."""
+    path = new_path(spark, "labelled-keywords")
+    labelled = [(word, policy) for policy, words in WORDS.items() for word in words] + [("with", 2), ("the", 0)]
+    lines = [(f"{n}. {word} {policy}",) for n, (word, policy) in enumerate(labelled, 1)]
+    spark.createDataFrame(lines, "value string").write.text(path)
+    words = keywords_from_labels(parse_labelled_words(read_lines(spark, path)))
+    return keywords.keyword_counts(articles(spark, sf), words)
+
+
+@query("weighted_counts_independent", """
+  SELECT g.month, CAST(g.policy AS INTEGER) AS policy, CAST(coalesce(h.cnt, 0) AS BIGINT) AS cnt FROM grid g LEFT JOIN (
+    SELECT t.month, k.policy, sum(t.weight) AS cnt FROM (
+      SELECT month, w, 1 AS weight FROM btok UNION ALL
+      SELECT month, w, 2 AS weight FROM ttok WHERE CAST(article_id AS BIGINT) % 3 > 0) t
+    JOIN kw k ON t.w = k.word GROUP BY ALL) h ON h.month = g.month AND h.policy = g.policy""")
+def weighted_counts_independent(spark, sf):
+    """Titles and bodies counted on their own: an article without a title still counts with its body."""
+    titled = F.when(F.col("article_id").cast("long") % 3 > 0, F.col("title"))
+    counts = keywords.article_counts(articles(spark, sf).withColumn("title", titled), WORDS)
+    return keywords.weighted_counts(counts, null_rule="independent")
+
+
 @query("article_policy_counts", "SELECT month, article_id, policy, cnt FROM acnt")
 def article_policy_counts(spark, sf):
     return keywords.article_policy_counts(keywords.article_counts(articles(spark, sf), WORDS))

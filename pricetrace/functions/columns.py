@@ -19,8 +19,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def month_index(month: Column) -> Column:
-    """YYYYMM text as a running month number, so month distances are plain subtractions."""
-    return (F.substring(month, 1, 4).cast("int") * 12 + F.substring(month, 5, 2).cast("int")).cast("int")
+    """YYYYMM text as a running month number, so month distances are plain subtractions; null for a malformed month."""
+    return (F.substring(month, 1, 4).try_cast("int") * 12 + F.substring(month, 5, 2).try_cast("int")).cast("int")
 
 
 def month_of_index(index: Column) -> Column:

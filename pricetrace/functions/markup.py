@@ -1,14 +1,19 @@
-"""HTML fields as native regular expressions, with a parser fallback for nested markup."""
+"""HTML fields as native expressions, and the same fields by a parser."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from html import unescape
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pricetrace.functions.columns import let
 
 
 @dataclass(frozen=True)
@@ -42,20 +47,35 @@ ARTICLE_RULES = (
     FieldRule("content_origin", "article", (("id", "dic_area"),), "raw"),
 )
 
-# Named entities decoded natively; `&amp;` comes last so nothing is decoded twice.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
-
-_ATTRIBUTE_VALUE = r"""["']([^"']*)["']"""
+#: Named character references of HTML 4; numeric ones are computed.
+ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())}
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
 
 
 def strip_blanks(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\x{00A0}]+|[\s\x{00A0}]+$", "")
 
 
+def _character(reference: Column) -> Column:
+    """Text of one character reference; one that names no character stays as it is."""
+    body = F.substring(reference, F.lit(2), F.length(reference) - 2)
+    hexadecimal = F.regexp_like(body, F.lit("^#[xX]"))
+    digits = F.when(hexadecimal, F.substring(body, F.lit(3), F.length(body))).otherwise(F.substring(body, F.lit(2), F.length(body)))
+    code = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+    known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    # Numbers of the Windows code page stand for its characters, other numbers of no character for the replacement one.
+    windows = F.try_element_at(F.create_map(*[F.lit(x) for n in range(0x80, 0xA0) for x in (n, unescape(f"&#{n};"))]), code)
+    numeric = F.coalesce(windows, F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")), F.lit("\ufffd"))
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair]), body)
+    return F.coalesce(F.when(F.startswith(body, F.lit("#")), numeric).otherwise(named), reference)
+
+
 def decode_entities(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Named and numeric character references decoded once, from left to right."""
+    gaps, references = F.split(text, _REFERENCE, -1), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    ends = F.concat(F.transform(references, _character), F.array(F.lit("")))
+    decoded = F.array_join(F.flatten(F.zip_with(gaps, ends, lambda a, b: F.array(a, b))), "")
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def visible_text(markup: Column) -> Column:
@@ -66,47 +86,74 @@ def visible_text(markup: Column) -> Column:
 
 def _open_tag(rule: FieldRule) -> str:
     """Pattern of the opening tag; each required attribute is a lookahead, so their order is free."""
-    looks = "".join(rf"""(?=[^>]*?\s{re.escape(a)}\s*=\s*["']{re.escape(v)}["'])""" for a, v in rule.where)
+    looks = ""
+    for name, value in rule.where:
+        own = re.escape(value)
+        looks += rf"""(?=[^>]*?\s{re.escape(name)}\s*=\s*(?:"{own}"|'{own}'|{own}(?=[\s>])))"""
     return rf"<{re.escape(rule.tag)}\b{looks}[^>]*>"
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of one opening tag, in either or no quotes; null without it."""
+    value = F.regexp_extract(tag, rf"""(?is)\s{re.escape(name)}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.when(value != "", decode_entities(F.regexp_replace(value, r"""^["']|["']$""", "")))
+
+
+def _balanced(tail: Column, tag: str) -> Column:
+    """The node at the start of `tail`, up to the closing tag that balances it; all of `tail` if there is none."""
+    mark = rf"(?is)<{re.escape(tag)}\b[^>]*>|</{re.escape(tag)}\s*>"
+    pieces, marks = F.split(tail, mark, -1), F.regexp_extract_all(tail, F.lit(mark), F.lit(0))
+
+    def cut(parts: Column) -> Column:
+        gaps, tags = parts["gaps"], parts["tags"]
+        nothing = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+        def step(state: Column, one: Column) -> Column:
+            depth = state["depth"] + F.when(F.startswith(one, F.lit("</")), -1).otherwise(1)
+            at = state["at"] + 1
+            return F.struct(depth.alias("depth"), at.alias("at"), F.when((state["end"] == 0) & (depth == 0), at).otherwise(state["end"]).alias("end"))
+
+        end = F.aggregate(tags, nothing, step)["end"]
+        used = F.when(end > 0, end).otherwise(F.size(tags))
+        body = F.flatten(F.zip_with(F.slice(tags, 1, used), F.slice(gaps, 2, used), lambda t, g: F.array(t, g)))
+        return F.array_join(F.when(end > 0, F.slice(body, 1, 2 * used - 1)).otherwise(body), "")
+
+    return let(F.struct(pieces.alias("gaps"), marks.alias("tags")), cut)
+
+
 def field_column(html: Column, rule: FieldRule) -> Column:
-    """One field by regular expressions; a missing node gives null."""
+    """One field by expressions; a missing node gives null."""
     opening = _open_tag(rule)
     if rule.take not in ("text", "raw"):
-        node = F.regexp_extract(html, rf"(?is){opening}", 0)
-        value = F.regexp_extract(node, rf"(?is)\s{re.escape(rule.take)}\s*=\s*{_ATTRIBUTE_VALUE}", 1)
-        present = F.regexp_like(node, F.lit(rf"(?is)\s{re.escape(rule.take)}\s*="))
-        return F.when(present, decode_entities(value))
-    whole = rf"(?is){opening}(.*?)</{re.escape(rule.tag)}\s*>"
-    found = F.regexp_like(html, F.lit(whole))
-    if rule.take == "raw":
-        return F.when(found, F.regexp_extract(html, whole, 0))
-    return F.when(found, strip_blanks(visible_text(F.regexp_extract(html, whole, 1))))
-
-
-class _NodeReader(HTMLParser):
+        return _attribute(F.regexp_extract(html, rf"(?is){opening}", 0), rule.take)
+    tail = F.regexp_extract(html, rf"(?is){opening}.*", 0)
+
+    def read(node: Column) -> Column:
+        return F.when(node != "", node if rule.take == "raw" else strip_blanks(visible_text(node)))
+
+    return let(_balanced(tail, rule.tag), read)
+
+
+class _NodeReader:
     """First node that fits a rule, with same-named tags nested inside it kept in balance."""
 
     def __init__(self, rule: FieldRule):
-        super().__init__(convert_charrefs=True)
         self.rule, self.depth, self.skip = rule, 0, 0
         self.done, self.attribute, self.parts = False, None, None
 
-    def handle_starttag(self, tag, attrs):
+    def start(self, tag: str, attributes: dict, raw: str) -> None:
         if self.done:
             return
         if self.parts is None:
-            if tag == self.rule.tag and all(dict(attrs).get(a) == v for a, v in self.rule.where):
-                self.attribute, self.parts, self.depth = dict(attrs).get(self.rule.take), [], 1
-                self.done = self.rule.take not in ("text", "raw")
-                self._raw(self.get_starttag_text())
-            return
-        self._raw(self.get_starttag_text())
+            if tag != self.rule.tag or any(attributes.get(a) != v for a, v in self.rule.where):
+                return
+            self.attribute, self.parts = attributes.get(self.rule.take), []
+            self.done = self.rule.take not in ("text", "raw")
         self.depth += tag == self.rule.tag
         self.skip += tag in ("script", "style")
+        self._raw(raw)
 
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
         if self.done or self.parts is None:
             return
         self._raw(f"</{tag}>")
@@ -114,11 +161,14 @@ class _NodeReader(HTMLParser):
         self.depth -= tag == self.rule.tag
         self.done = self.depth == 0
 
-    def handle_data(self, data):
-        if self.parts is not None and not self.done and (self.rule.take == "raw" or not self.skip):
-            self.parts.append(data)
+    def data(self, raw: str, text: str) -> None:
+        if self.parts is not None and not self.done:
+            if self.rule.take == "raw":
+                self.parts.append(raw)
+            elif not self.skip:
+                self.parts.append(text)
 
-    def _raw(self, text):
+    def _raw(self, text: str) -> None:
         if self.rule.take == "raw":
             self.parts.append(text)
 
@@ -130,18 +180,50 @@ class _NodeReader(HTMLParser):
         return "".join(self.parts) if self.rule.take == "raw" else "".join(self.parts).strip()
 
 
-def parsed_field(html: Column, rule: FieldRule) -> Column:
-    """The same field by an HTML parser in Arrow batches, for markup a regular expression cannot cut."""
+class _PageReader(HTMLParser):
+    """All fields of a page from one parse."""
 
-    def read_one(markup: str | None) -> str | None:
-        if markup is None:
-            return None
-        reader = _NodeReader(rule)
-        reader.feed(markup)
-        return reader.value()
+    def __init__(self, rules: list[FieldRule]):
+        super().__init__(convert_charrefs=False)
+        self.readers = [_NodeReader(rule) for rule in rules]
 
-    @F.pandas_udf("string")
-    def read(batch: pd.Series) -> pd.Series:
-        return batch.map(read_one, na_action="ignore")
+    def handle_starttag(self, tag, attrs):
+        for reader in self.readers:
+            reader.start(tag, dict(attrs), self.get_starttag_text())
+
+    handle_startendtag = handle_starttag
+
+    def handle_endtag(self, tag):
+        for reader in self.readers:
+            reader.end(tag)
+
+    def handle_data(self, data):
+        for reader in self.readers:
+            reader.data(data, data)
+
+    def handle_entityref(self, name):
+        for reader in self.readers:
+            reader.data(f"&{name};", ENTITIES.get(name, f"&{name};"))
+
+    def handle_charref(self, name):
+        for reader in self.readers:
+            reader.data(f"&#{name};", unescape(f"&#{name};"))
+
+
+def parsed_fields(html: Column, rules: list[FieldRule]) -> Column:
+    """Struct of all fields by an HTML parser in Arrow batches, one parse per page."""
+    names = [rule.field for rule in rules]
+
+    def read_one(markup: str | None) -> list[str | None]:
+        if markup is None:
+            return [None] * len(names)
+        page = _PageReader(rules)
+        page.feed(markup)
+        page.close()
+        return [reader.value() for reader in page.readers]
+
+    @F.pandas_udf(T.StructType([T.StructField(name, T.StringType()) for name in names]))
+    def read(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_one(markup) for markup in batch], columns=names, dtype=object)
 
     return read(html)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetrace.functions.columns import let
-from pricetrace.functions.text import is_single_word, keep_words, tokens
+from pricetrace.functions.text import keep_words, tokens
 from pricetrace.keyword_sets import Keywords, all_words, keywords_df
 
 TITLE_WEIGHT, BODY_WEIGHT = 2, 1  # fixed values
@@ -47,19 +47,19 @@ def article_counts(articles: DataFrame, keywords: Keywords) -> DataFrame:
     )
 
 
-def keyword_counts(articles: DataFrame, keywords: Keywords) -> DataFrame:
+def keyword_counts(articles: DataFrame, keywords: Keywords | DataFrame, column: str = "content_text") -> DataFrame:
     """(month, policy, cnt) over bodies, by joining exploded tokens with the keyword table.
 
-    This form takes dictionaries of any size. Counts are added up per task before the one shuffle on
-    (month, policy), so a hot month costs nothing extra.
+    Keywords are a dictionary or a table (policy, word) of any size, such as labelled words give; a word of two policies
+    counts for both. Counts are added up per task before the one shuffle on (month, policy), so a hot month costs nothing extra.
     """
-    bodies = articles.where(F.col("content_text").isNotNull())
-    words = bodies.select("month", F.explode(tokens(F.col("content_text"))).alias("word"))
-    found = words.join(keywords_df(articles.sparkSession, keywords), "word").groupBy("month", "policy").agg(
-        F.count("*").alias("cnt")
-    )
-    policies = F.array(*[F.lit(p) for p in sorted(keywords)])
-    grid = articles.select("month").distinct().select("month", F.explode(policies).alias("policy"))
+    table = keywords if isinstance(keywords, DataFrame) else keywords_df(articles.sparkSession, keywords)
+    table = table.select("policy", "word").distinct()
+    bodies = articles.where(F.col(column).isNotNull())
+    words = bodies.select("month", F.explode(tokens(F.col(column))).alias("word")).groupBy("month", "word").agg(F.count("*").alias("n"))
+    found = words.join(table, "word").groupBy("month", "policy").agg(F.sum("n").alias("cnt"))
+    policies = table.select("policy", F.lit(0).alias("_all")).distinct()
+    grid = articles.select("month", F.lit(0).alias("_all")).distinct().join(policies, "_all").select("month", "policy")
     return grid.join(found, ["month", "policy"], "left").select(
         "month", "policy", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt")
     )
@@ -127,8 +127,3 @@ def tag_filter(articles: DataFrame, lexicon: DataFrame, tags: list[str], column:
         F.sort_array(F.collect_list(kept)).alias("found")
     )
     return grouped.select("month", "article_id", F.col("found.word").alias("tokens"))
-
-
-def inert_words(keywords: Keywords) -> list[str]:
-    """Dictionary entries that can never be counted, because no token contains a blank."""
-    return [w for w in all_words(keywords) if not is_single_word(w)]

@@ -88,4 +88,5 @@ def policy_wins(argmax: DataFrame) -> DataFrame:
 
 
 def distinct_months(df: DataFrame) -> DataFrame:
+    """(month): the months present."""
     return df.select("month").distinct()

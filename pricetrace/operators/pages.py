@@ -7,19 +7,21 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricetrace.functions.markup import ARTICLE_RULES, FieldRule, field_column, parsed_field
+from pricetrace.functions.markup import ARTICLE_RULES, FieldRule, decode_entities, field_column, parsed_fields
 
 # Addresses of article pages.
 LINK_PATTERN = r"https://n\.news\.naver\.com/mnews/article/\d{3}/\d+"
 ID_PATTERN = r"/article/(\d+)/(\d+)"
 
-_HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*\\?["']((?:[^"'\\]|\\[^"'])*)"""
+# One class per quote kind: Java matches such a repetition without recursion, however long the value.
+_HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*\\?("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def link_array(html: Column, pattern: str = LINK_PATTERN) -> Column:
-    """Sorted distinct link targets that match `pattern`, backslashes and quotes removed."""
-    found = F.filter(F.regexp_extract_all(html, F.lit(_HREF), F.lit(1)), lambda u: F.regexp_like(u, F.lit(pattern)))
-    bare = F.transform(found, lambda u: F.translate(u, '\\"', ""))
+    """Sorted distinct link targets that match `pattern`: outer quotes stripped, entities decoded, then without backslashes and double quotes."""
+    found = F.transform(F.regexp_extract_all(html, F.lit(_HREF), F.lit(1)), lambda u: decode_entities(F.regexp_replace(u, r"""^["']|["']$""", "")))
+    wanted = F.filter(found, lambda u: F.regexp_like(u, F.lit(pattern)))
+    bare = F.transform(wanted, lambda u: F.translate(u, '\\"', ""))
     return F.array_sort(F.array_distinct(bare))
 
 
@@ -35,10 +37,15 @@ def url_ids(url: Column, pattern: str = ID_PATTERN) -> tuple[Column, Column]:
     return tuple(F.nullif(F.regexp_extract(url, pattern, g), F.lit("")) for g in (1, 2))
 
 
-def extract_fields(pages: DataFrame, rules: Iterable[FieldRule] = ARTICLE_RULES, engine: str = "regex") -> DataFrame:
-    """Page columns plus one column per rule; `engine="parser"` balances nested markup of the same tag."""
-    read = {"regex": field_column, "parser": parsed_field}[engine]
-    return pages.select("page_id", "url", *[read(F.col("html"), rule).alias(rule.field) for rule in rules])
+def extract_fields(pages: DataFrame, rules: Iterable[FieldRule] = ARTICLE_RULES, engine: str = "native") -> DataFrame:
+    """Page columns plus one column per rule. Both engines give the same values: `native` reads fields by expressions,
+    `parser` runs an HTML parser once per page and also copes with attribute values that hold a `>`."""
+    rules = list(rules)
+    if engine == "native":
+        return pages.select("page_id", "url", *[field_column(F.col("html"), rule).alias(rule.field) for rule in rules])
+    if engine == "parser":
+        return pages.select("page_id", "url", parsed_fields(F.col("html"), rules).alias("f")).select("page_id", "url", "f.*")
+    raise ValueError(f"unknown engine: {engine}")
 
 
 def with_section_ids(df: DataFrame, sections: DataFrame, name_col: str = "section") -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetrace.functions.columns import month_index, parse_number
+from pricetrace.scratch import stage
 
 LOW, HIGH = 0.01, 0.99  # fixed values: trimmed tails
 
@@ -20,92 +21,93 @@ def with_unit_price(trades: DataFrame) -> DataFrame:
 
 
 def _log_bucket(v: Column) -> Column:
-    """Order-preserving bucket number: about one per 0.2 % of magnitude, whatever the range of values."""
-    size = F.floor(F.log1p(F.least(F.abs(v), F.lit(1e300))) * 512)
+    """Order-preserving bucket number: about one per 0.1 % of magnitude, whatever the range of values."""
+    size = F.floor(F.log1p(F.least(F.abs(v), F.lit(1e300))) * 1024)
     return F.when(v >= 0, size).otherwise(-1 - size)
 
 
-def exact_quantiles(
-    df: DataFrame, column: str, probabilities: list[float], exact_rows: int = 2_000_000
-) -> list[float | None]:
+def _values(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """(*keys, v, b) of the usable numbers."""
+    rows = df.select(*keys, F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    return rows.withColumn("b", _log_bucket(F.col("v")))
+
+
+def _cells(values: DataFrame, keys: list[str]) -> DataFrame:
+    """First pass: (*keys, b, n, total) with the count and the sum per bucket."""
+    return stage(values.groupBy(*keys, "b").agg(F.count("*").alias("n"), F.sum("v").alias("total")), "price-cells")
+
+
+def _edge_buckets(cells: DataFrame, probabilities: list[float]) -> tuple[int, dict[int, int]]:
+    """(rows, bucket: rows before it) of the buckets that hold a wanted rank or the one after it; a few whatever the data."""
+    counts = cells.groupBy("b").agg(F.sum("n").alias("n"))
+    ranked = counts.withColumn("upto", F.sum("n").over(Window.orderBy("b"))).withColumn("rows", F.sum("n").over(Window.partitionBy()))
+    needed = F.lit(False)
+    for p in probabilities:
+        first = F.floor(F.lit(p) * (F.col("rows") - 1))
+        needed = needed | ((F.col("upto") > first) & (F.col("upto") - F.col("n") <= first + 1))
+    found = ranked.where(needed).collect()
+    return (found[0]["rows"] if found else 0), {r["b"]: r["upto"] - r["n"] for r in found}
+
+
+def _edge_values(values: DataFrame, keys: list[str], edges: dict[int, int]) -> DataFrame:
+    """Second pass: (*keys, b, v, n) of the values in the edge buckets."""
+    near = values.where(F.col("b").isin(list(edges)))
+    return stage(near.groupBy(*keys, "b", "v").agg(F.count("*").alias("n")), "edge-values")
+
+
+def _interpolated(near: DataFrame, rows: int, edges: dict[int, int], probabilities: list[float]) -> list[float]:
+    """Quantiles by linear interpolation between the values at the two ranks around each position."""
+    first = [math.floor(p * (rows - 1)) for p in probabilities]
+    ranks = sorted({r for f in first for r in (f, min(f + 1, rows - 1))})
+    counts = near.groupBy("b", "v").agg(F.sum("n").alias("n"))
+    before = F.create_map(*[F.lit(x) for pair in edges.items() for x in pair])[F.col("b")]
+    upto = counts.withColumn("upto", before + F.sum("n").over(Window.partitionBy("b").orderBy("v")))
+    holds = [F.min(F.when((F.col("upto") > r) & (F.col("upto") - F.col("n") <= r), F.col("v"))) for r in ranks]
+    at = dict(zip(ranks, upto.agg(*holds).first(), strict=True))
+    pairs = [(at[f], at[min(f + 1, rows - 1)], p * (rows - 1) - f) for f, p in zip(first, probabilities, strict=True)]
+    return [low + (high - low) * share for low, high, share in pairs]
+
+
+def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> list[float | None]:
     """Linearly interpolated quantiles over all rows; only these few numbers reach the driver.
 
-    Spark's `percentile` would keep every distinct value in one buffer. Here the rows are counted per
-    bucket of an order-preserving numbering, which shuffles only the counts; then the values inside the
-    one or two buckets that hold the wanted ranks are counted themselves. A bucket with more than
-    `exact_rows` rows is divided further first. The result is exact.
+    Spark's `percentile` would keep every distinct value in one buffer. Here one pass counts the rows per bucket of an
+    order-preserving numbering and a second one the values inside the few buckets that hold the wanted ranks.
     """
-    number = F.col(column).cast("double")
-    values = df.select(number.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    buckets = _bucket_counts(values, _log_bucket(F.col("v")))
-    positions = [F.lit(p) * (F.col("total") - 1) for p in probabilities]
-    rows = buckets.withColumn("total", F.sum("n").over(Window.partitionBy()))
-    needed = [(F.col("upto") > F.floor(x)) & (F.col("upto") - F.col("n") <= F.floor(x) + 1) for x in positions]
-    found = rows.where(_any(needed)).collect()
-    if not found:
+    values = _values(df, column, [])
+    rows, edges = _edge_buckets(_cells(values, []), probabilities)
+    if not rows:
         return [None] * len(probabilities)
-    total = found[0]["total"]
-    first = [math.floor(p * (total - 1)) for p in probabilities]
-    ranks = {r for f in first for r in (f, min(f + 1, total - 1))}
-    at = _values_at(values, found, ranks, exact_rows)
-    share = [p * (total - 1) - f for p, f in zip(probabilities, first, strict=True)]
-    return [at[f] + (at[min(f + 1, total - 1)] - at[f]) * s for f, s in zip(first, share, strict=True)]
-
-
-def _any(conditions: list[Column]) -> Column:
-    result = F.lit(False)
-    for condition in conditions:
-        result = result | condition
-    return result
-
-
-def _bucket_counts(values: DataFrame, bucket: Column) -> DataFrame:
-    """(b, n, low, high, upto): rows per bucket and up to its end, in ascending order."""
-    counts = values.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    return counts.withColumn("upto", F.sum("n").over(Window.orderBy("b")))
-
-
-def _values_at(values: DataFrame, buckets: list[Row], ranks: set[int], exact_rows: int) -> dict[int, float]:
-    """Values at 0-based ranks, given the buckets that hold them."""
-    result: dict[int, float] = {}
-    wanted: list[tuple[int, Column, int]] = []
-    for bucket in buckets:
-        before = bucket["upto"] - bucket["n"]
-        mine = {r for r in ranks if before <= r < bucket["upto"]}
-        low, high = bucket["low"], bucket["high"]
-        inside = F.col("v").between(low, high)
-        if low == high:
-            result |= dict.fromkeys(mine, low)
-        elif bucket["n"] <= exact_rows or high - low <= abs(high) * 1e-12:
-            wanted += [(r, inside, r - before) for r in mine]
-        elif mine:
-            part = values.where(inside)
-            finer = F.floor((F.col("v") - low) / (high - low) * 4096)
-            local = {r - before for r in mine}
-            hits = [(F.col("upto") > r) & (F.col("upto") - F.col("n") <= r) for r in local]
-            found = _bucket_counts(part, finer).where(_any(hits)).collect()
-            result |= {r + before: v for r, v in _values_at(part, found, local, exact_rows).items()}
-    if wanted:
-        kept = values.where(_any([inside for _, inside, _ in wanted]))
-        group = F.coalesce(*[F.when(inside, i) for i, (_, inside, _) in enumerate(wanted)])
-        counts = kept.groupBy(group.alias("g"), "v").agg(F.count("*").alias("n"))
-        upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("g").orderBy("v")))
-        # Ranks of one bucket share the group of the first condition that fits.
-        owner = {str(inside): i for i, (_, inside, _) in reversed(list(enumerate(wanted)))}
-        at = [F.min(F.when((F.col("g") == owner[str(c)]) & (F.col("upto") > r), F.col("v"))) for _, c, r in wanted]
-        result |= dict(zip([rank for rank, _, _ in wanted], upto.agg(*at).first(), strict=True))
-    return result
+    return _interpolated(_edge_values(values, [], edges), rows, edges, probabilities)
+
+
+def trimmed_average(df: DataFrame, keys: list[str], column: str = "unit_price", low: float = LOW, high: float = HIGH) -> DataFrame:
+    """(*keys, avg_<column>) of the rows between two quantiles of the whole dataset, in the two passes that find them.
+
+    Buckets between the quantiles' own are averaged from their sums; only the rows of those few are looked at again.
+    """
+    values, name = _values(df, column, keys), f"avg_{column}"
+    cells = _cells(values, keys)
+    rows, edges = _edge_buckets(cells, [low, high])
+    if not rows:
+        return cells.select(*keys, F.col("total").alias(name))
+    near = _edge_values(values, keys, edges)
+    bounds = _interpolated(near, rows, edges, [low, high])
+    first, last = (_log_bucket(F.lit(x)) for x in bounds)
+    inner = cells.where(~F.col("b").isin(list(edges)) & (F.col("b") >= first) & (F.col("b") <= last)).select(*keys, "n", "total")
+    outer = near.where(F.col("v").between(*bounds)).select(*keys, "n", (F.col("v") * F.col("n")).alias("total"))
+    return inner.unionByName(outer).groupBy(*keys).agg((F.sum("total") / F.sum("n")).alias(name))
 
 
 def trim_quantiles(
-    df: DataFrame, column: str = "unit_price", low: float = LOW, high: float = HIGH, approx: bool = False, **options
+    df: DataFrame, column: str = "unit_price", low: float = LOW, high: float = HIGH, approx: bool = False
 ) -> DataFrame:
     """Rows whose value lies between two quantiles of the whole dataset, both ends included; nulls are dropped."""
     if approx:
         wanted = F.array(F.lit(low), F.lit(high))
         bounds = df.agg(F.percentile_approx(column, wanted, 10_000).alias("q")).first()["q"] or (None, None)
     else:
-        bounds = exact_quantiles(df, column, [low, high], **options)
+        bounds = exact_quantiles(df, column, [low, high])
     return df.where(F.col(column).between(F.lit(bounds[0]), F.lit(bounds[1])))
 
 
@@ -129,8 +131,12 @@ def percent_change(monthly: DataFrame, series: list[str] | None = None, value: s
 
 def monthly_price_change(trades: DataFrame, series: list[str] | None = None, approx: bool = False) -> DataFrame:
     """(*series, month, month_idx, avg_unit_price, pct_change) from trades (amount or amount_raw, area, month)."""
-    trimmed = trim_quantiles(with_unit_price(trades), approx=approx)
-    changes = percent_change(monthly_average(trimmed, series), series)
+    priced, keys = with_unit_price(trades), [*(series or []), "month"]
+    if approx:
+        monthly = monthly_average(trim_quantiles(priced, approx=True), series)
+    else:
+        monthly = trimmed_average(priced, keys).withColumn("month_idx", month_index(F.col("month")))
+    changes = percent_change(monthly, series)
     return changes.select(*(series or []), "month", "month_idx", "avg_unit_price", "pct_change")
 
 

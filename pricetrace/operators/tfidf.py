@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, NGram, Tokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -243,7 +242,7 @@ def top_words(grams: DataFrame, top: int = TOP_TERMS) -> DataFrame:
 
 
 def hashed_tfidf(articles: DataFrame, buckets: int = HASH_BUCKETS, column: str = "title") -> DataFrame:
-    """(month, article_id, bucket, tfidf) of hashed bigrams, idf = ln((n+1)/(df+1)) per month."""
+    """(month, article_id, bucket, tf, n, tfidf) of hashed bigrams, idf = ln((n+1)/(df+1)) with the month's n articles."""
     texts = articles.select("month", "article_id", joined(tokens(F.col(column))).alias("text"))
     stages = [
         Tokenizer(inputCol="text", outputCol="words"),
@@ -251,16 +250,16 @@ def hashed_tfidf(articles: DataFrame, buckets: int = HASH_BUCKETS, column: str =
         HashingTF(inputCol="ngrams", outputCol="raw_features", numFeatures=buckets),
     ]
     hashed = Pipeline(stages=stages).fit(texts).transform(texts)
-    # A leading entry that is always present becomes the article's mark -1.
-    cells = F.concat(F.array(F.lit(1.0)), vector_to_array("raw_features"))
-    rows = hashed.select("month", "article_id", F.posexplode(cells).alias("pos", "tf")).where(F.col("tf") > 0)
-    rows = stage(rows.select("month", "article_id", (F.col("pos") - 1).alias("bucket"), "tf"), "hashed")
+    # The stored entries of the sparse vector as they are; a first one that is always there is the article's mark -1.
+    fields = F.unwrap_udt("raw_features")
+    cells = F.concat(F.array(F.struct(F.lit(-1).alias("bucket"), F.lit(1.0).alias("tf"))), F.arrays_zip(fields["indices"].alias("bucket"), fields["values"].alias("tf")))
+    rows = stage(hashed.select("month", "article_id", F.inline(cells)), "hashed")
     counts = rows.groupBy("month", "bucket").agg(F.count("*").alias("df"))
     totals = counts.where(F.col("bucket") == -1).select("month", F.col("df").alias("n"))
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1))
-    weights = counts.where(F.col("bucket") >= 0).join(totals, "month").select("month", "bucket", idf.alias("idf"))
+    weights = counts.where(F.col("bucket") >= 0).join(totals, "month").select("month", "bucket", "n", idf.alias("idf"))
     weighted = rows.where(F.col("bucket") >= 0).join(weights, ["month", "bucket"])
-    return weighted.select("month", "article_id", "bucket", (F.col("tf") * F.col("idf")).alias("tfidf"))
+    return weighted.select("month", "article_id", "bucket", "tf", "n", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
 def term_month_frequency(terms: DataFrame) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pricetrace.functions.columns import article_url
 from pricetrace.keyword_sets import Keywords
 from pricetrace.operators import effects, keywords, monthly, prices, ranking, tfidf
 from pricetrace.schemas import ARTICLE_COLUMNS
-from pricetrace.scratch import stage
+from pricetrace.scratch import Staged, stage
 
 
 def monthly_policy_analysis(
@@ -68,28 +68,37 @@ def target_winners(labelled: DataFrame, as_of: bool = False) -> DataFrame:
 
 
 def trace_articles(
-    trades: DataFrame, articles: DataFrame, words: Keywords, target_month: str | None = None, top: int = 3, as_of: bool = False
+    trades: DataFrame, articles: DataFrame, words: Keywords, target_month: str | None = None, top: int = 3, as_of: bool = False,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """(target_month, month, policy, rank, cnt, article columns, article_url).
 
     For every target month: the policy month before it with the strongest price effect, and that
     month's top-ranked articles on the policy. Only narrow counts of the texts are kept between the
-    steps; the article rows themselves are met once, by a table of the picked ids.
+    steps; the article rows themselves are met once, by a table of the picked ids. `observation` receives the number of
+    rows (`articles`) and of those with a body (`with_body`) when the result is first computed.
     """
-    counts = stage(keywords.article_counts(articles, words), "article-counts")
-    types = monthly.assign_policy_type(keywords.weighted_counts(counts))
-    changes = effects.join_change_policy(prices.monthly_price_change(trades), types)
-    winners = target_winners(stage(changes, "changes"), as_of)
+    counts = Staged(keywords.article_counts(articles, words), "article-counts")
+    types = monthly.assign_policy_type(keywords.weighted_counts(counts.df))
+    changes = stage(effects.join_change_policy(prices.monthly_price_change(trades), types), "changes")
+    winners = target_winners(changes, as_of)
     if target_month is not None:
         winners = winners.where(F.col("target_month") == target_month)
-    winners = stage(winners, "winners")
     # Labels are needed only in the months and policies that won.
-    labelled = keywords.label_articles(counts).join(winners.select("month", "policy").distinct(), ["month", "policy"], "left_semi")
+    labelled = keywords.label_articles(counts.df).join(winners.select("month", "policy").distinct(), ["month", "policy"], "left_semi")
     ranked = ranking.rank_articles(labelled, top)
     # An id may stand for several article rows; each of them is met once per target month.
     picks = winners.join(ranked, ["month", "policy"]).groupBy("target_month", "month", "policy", "article_id")
     picks = stage(picks.agg(F.min("rank").alias("rank"), F.max("cnt").alias("cnt")), "picks")
+    counts.discard()
+    # The filter says nothing new, but with it the planner prunes the months of the articles by those of the picks.
+    chosen = picks.where(F.col("rank") <= top)
+    if target_month is not None:
+        chosen = chosen.where(F.col("target_month") == target_month)
     url = article_url(F.col("newspaper_id"), F.col("article_id"))
-    return articles.join(picks, ["month", "article_id"]).select(
+    traced = articles.join(chosen, ["month", "article_id"]).select(
         "target_month", "month", "policy", "rank", "cnt", *ARTICLE_COLUMNS, url.alias("article_url")
     )
+    if observation is None:
+        return traced
+    return traced.observe(observation, F.count("*").alias("articles"), F.count("content_text").alias("with_body"))

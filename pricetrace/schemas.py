@@ -18,8 +18,6 @@ ARTICLE_COLUMNS = [
 
 ARTICLES = T.StructType([T.StructField(name, T.StringType()) for name in ARTICLE_COLUMNS])
 
-POLICY_MAP = T.StructType([T.StructField("month", T.StringType()), T.StructField("policy_type", T.StringType())])
-
 # Header names of the trade files.
 TRADE_AMOUNT = "거래금액(만원)"
 TRADE_AREA = "전용면적(㎡)"

@@ -96,17 +96,17 @@ def write_report(blocks: DataFrame, path: str, partition: str | None = None) ->
     balanced.select(partition, "block").write.mode("overwrite").partitionBy(partition).text(path)
 
 
-def month_documents(traced: DataFrame, month: str = "month", articles_per_document: int = 1000) -> DataFrame:
-    """(month, part, document): JSON `{month, part, articles: [...]}` per month.
+def month_documents(traced: DataFrame, month: str = "month") -> DataFrame:
+    """(month, article_id, document): one JSON object per article, with the eleven columns and the address.
 
-    Months without articles have no row. A month with more than `articles_per_document` articles is
-    spread by article id over several numbered parts, so no single document grows with the data.
+    The document of a month is all its rows, a line each, whatever their number; months without articles have none.
     """
-    sizes = traced.groupBy(month).agg(F.ceil(F.count("*") / articles_per_document).cast("int").alias("parts"))
     fields = [*schemas.ARTICLE_COLUMNS, "article_url"]
-    spread = traced.join(sizes, month).withColumn("part", F.pmod(F.xxhash64("article_id"), F.col("parts")).cast("int"))
-    grouped = spread.groupBy(F.col(month).alias("month"), "part").agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("articles")
-    )
-    document = F.to_json(F.struct("month", "part", "articles"), {"ignoreNullFields": "false"})
-    return grouped.select("month", "part", document.alias("document"))
+    document = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return traced.select(F.col(month).alias("month"), "article_id", document.alias("document"))
+
+
+def write_month_documents(documents: DataFrame, path: str) -> None:
+    """JSON lines below one folder `month=YYYYMM/` per month; a large month becomes several files."""
+    lines = documents.hint("rebalance", "month").sortWithinPartitions("month", "article_id").select("month", "document")
+    lines.write.mode("overwrite").partitionBy("month").text(path)

@@ -38,20 +38,22 @@ def csv_reader(spark: SparkSession, schema: T.StructType, header: bool = True, m
 
 
 def read_articles(
-    spark: SparkSession, path: str | list[str], on_bad: str = "keep", header: bool = True, multi_line: bool = True
+    spark: SparkSession, path: str | list[str], on_bad: str = "keep", header: bool = True, multi_line: bool = True,
+    skip_unreadable: bool = False,
 ) -> DataFrame:
     """All article files below `path` in one scan.
 
     `on_bad` says what happens to lines with more fields than the header: `keep` cuts them to the
     eleven columns, `drop` removes them, `quarantine` adds a boolean column `is_bad`. Short lines are
-    always filled up with nulls. Unreadable files are skipped unless `on_bad` is `keep`.
+    always filled up with nulls. A file that cannot be read fails the job, unless `skip_unreadable` is set;
+    `unreadable_files` then names the files that were left out.
     """
     if on_bad not in ("keep", "drop", "quarantine"):
         raise ValueError(f"unknown on_bad mode: {on_bad}")
     if on_bad == "keep":
-        return csv_reader(spark, schemas.ARTICLES, header, multi_line).csv(path)
+        return csv_reader(spark, schemas.ARTICLES, header, multi_line).option("ignoreCorruptFiles", skip_unreadable).csv(path)
     wide = T.StructType([*schemas.ARTICLES.fields, T.StructField(_OVERFLOW, T.StringType())])
-    reader = csv_reader(spark, wide, header, multi_line).option("ignoreCorruptFiles", True)
+    reader = csv_reader(spark, wide, header, multi_line).option("ignoreCorruptFiles", skip_unreadable)
     # All columns are parsed, so that a line is judged the same whichever of them a query selects.
     rows = reader.option("columnPruning", False).csv(path)
     if on_bad == "drop":
@@ -59,6 +61,17 @@ def read_articles(
     return rows.withColumn("is_bad", F.col(_OVERFLOW).isNotNull()).drop(_OVERFLOW)
 
 
+def unreadable_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, length) of the files below `path` of which a reader that skips damage sees no byte although they are not empty.
+
+    Damage shows when a compressed file is opened; plain text cannot be damaged in this way.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), "length")
+    lines = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).text(path)
+    seen = lines.select(F.col("_metadata.file_path").alias("file")).distinct()
+    return files.where("length > 0").join(seen, "file", "left_anti")
+
+
 def read_headerless(spark: SparkSession, path: str, schema: T.StructType = schemas.ARTICLES) -> DataFrame:
     return csv_reader(spark, schema, header=False).csv(path)
 

@@ -50,7 +50,7 @@ def _parse_file_blocks(spark: SparkSession, path: str, pattern: str, value: str,
     return pairs.select(
         "file",
         month_from_name(F.col("file"), MONTH_PATTERNS["digits"]).alias("month"),
-        F.col("p.policy").cast("int").alias("policy"),
+        F.col("p.policy").try_cast("int").alias("policy"),
         F.col("p.value").try_cast(value_type).alias(value),
     ).where(F.col(value).isNotNull())
 
@@ -84,7 +84,7 @@ def parse_article_scores(spark: SparkSession, path: str) -> DataFrame:
     )
     score = F.col("p.value").try_cast("double")
     return rows.select(
-        "month", "article_id", "title", F.col("p.policy").cast("int").alias("policy"), score.alias("score")
+        "month", "article_id", "title", F.col("p.policy").try_cast("int").alias("policy"), score.alias("score")
     ).where(F.col("score").isNotNull() & ~F.isnan("score"))
 
 
@@ -96,11 +96,14 @@ def parse_ranked_terms(lines: DataFrame) -> DataFrame:
 
 
 def parse_labelled_words(lines: DataFrame) -> DataFrame:
-    """(ordinal, word, label) of `N. phrase label` lines; label 0 means discard."""
+    """(ordinal, word, label) of `N. phrase label` lines; label 0 means discard.
+
+    A number too large for its column is null in `ordinal`; such a label names no policy and its line is left out.
+    """
     parsed = lines.where(F.col("value").rlike(LABEL_LINE)).select(
-        F.regexp_extract("value", LABEL_LINE, 1).cast("int").alias("ordinal"),
+        F.regexp_extract("value", LABEL_LINE, 1).try_cast("int").alias("ordinal"),
         F.regexp_extract("value", LABEL_LINE, 2).alias("word"),
-        F.regexp_extract("value", LABEL_LINE, 3).cast("int").alias("label"),
+        F.regexp_extract("value", LABEL_LINE, 3).try_cast("int").alias("label"),
     )
     return parsed.where(F.col("label") != 0)
 

@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetrace import schemas
 from pricetrace.functions.columns import policy_number
+from pricetrace.scratch import setting, stage
+
+def header_groups(spark: SparkSession, paths: str | list[str]) -> list[list[str]]:
+    """Files grouped by their header line, in the order of the first file of each group; files without a line are left out.
 
-_SPARK_CHARSETS = {"utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"}
+    The line is compared as it stands in the file, so the charset does not matter. Only one short line per file is fetched.
+    """
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value"
+    )
+    starts = lines.where("at = 0").withColumn("line", F.monotonically_increasing_id())
+    headers = starts.groupBy("file").agg(F.min_by("value", "line").alias("header")).orderBy("file").collect()
+    groups: dict[str, list[str]] = {}
+    for row in headers:
+        groups.setdefault(row["header"].rstrip("\r"), []).append(row["file"])
+    return list(groups.values())
 
 
 def read_trades(
@@ -20,20 +36,29 @@ def read_trades(
     month: str = schemas.TRADE_MONTH,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Union of the trade files as (amount_raw, area, month, *keep); columns are found by header name.
+    """Union of the trade files by column name, as (amount_raw, area, month, *keep); a kept column a file lacks is null.
 
-    Charsets outside Spark's short list need `spark.sql.legacy.javaCharsets`, which is switched on
-    for the session when such a charset is asked for.
+    Files may order their columns differently. The narrow result is stored once, so the text is parsed and decoded once
+    however often prices are read. Charsets outside Spark's own list need a session setting, which is on for this job only.
     """
-    if encoding.lower() not in _SPARK_CHARSETS:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    rows = spark.read.option("header", True).option("encoding", encoding).option("escape", '"').csv(paths)
-    return rows.select(
-        F.col(f"`{amount}`").alias("amount_raw"),
-        F.col(f"`{area}`").try_cast("double").alias("area"),
-        F.col(f"`{month}`").alias("month"),
-        *[F.col(f"`{name}`") for name in keep],
-    )
+    parts = []
+    with setting(spark, "spark.sql.legacy.javaCharsets", "true"):
+        for files in header_groups(spark, paths):
+            rows = spark.read.option("header", True).option("encoding", encoding).option("escape", '"').csv(files)
+            parts.append(rows.select(
+                F.col(f"`{amount}`").alias("amount_raw"),
+                F.col(f"`{area}`").try_cast("double").alias("area"),
+                F.col(f"`{month}`").alias("month"),
+                *[F.col(f"`{name}`") for name in keep if name in rows.columns],
+            ))
+        if not parts:
+            names = ["amount_raw string", "area double", "month string", *[f"`{name}` string" for name in keep]]
+            return spark.createDataFrame([], ", ".join(names))
+        union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        for name in keep:
+            if name not in union.columns:
+                union = union.withColumn(name, F.lit(None).cast("string"))
+        return stage(union.select("amount_raw", "area", "month", *keep), "trades")
 
 
 def read_policy_map(spark: SparkSession, path: str) -> DataFrame:

@@ -146,16 +146,14 @@ def test_unpivot_drops_absent_policies(spark):
     assert {tuple(r) for r in got.collect()} == {("m", "1", 1, 1.5), ("m", "1", 0, 2.0)}
 
 
-def test_month_documents_split_only_large_months(spark):
+def test_month_documents_have_one_shape(spark):
     names = [*ARTICLE_COLUMNS, "article_url"]
-    rows = [("202001", *[str(i)] * len(names)) for i in range(30)] + [("202002", *["x"] * len(names))]
-    traced = spark.createDataFrame(rows, ["month", *names])
-    got = reports.month_documents(traced, articles_per_document=10).collect()
-    small = [json.loads(r.document) for r in got if r.month == "202002"]
-    assert len(small) == 1 and small[0]["month"] == "202002" and len(small[0]["articles"]) == 1
-    assert list(small[0]["articles"][0]) == names
-    large = [json.loads(r.document)["articles"] for r in got if r.month == "202001"]
-    assert 1 < len(large) <= 3 and sorted(int(a["article_id"]) for d in large for a in d) == list(range(30))
+    rows = [("202001", *[str(i)] * len(names)) for i in range(3000)] + [("202002", *["x"] * len(names))] * 3
+    got = reports.month_documents(spark.createDataFrame(rows, ["month", *names])).collect()
+    parsed = [(r.month, json.loads(r.document)) for r in got]
+    assert all(list(d) == names for _, d in parsed)
+    assert sorted(int(d["article_id"]) for m, d in parsed if m == "202001") == list(range(3000))
+    assert sum(m == "202002" for m, _ in parsed) == 3
 
 
 PAGE = """<html><head><meta content="Paper &amp; Co" name="twitter:creator"></head><body>
@@ -173,14 +171,50 @@ def test_page_fields_links_and_ids(spark):
     assert links == [(1, 1, "https://n.news.naver.com/mnews/article/001/2"), (1, 2, "https://n.news.naver.com/mnews/article/011/0004373862")]
     ids = [tuple(r) for r in df.select(*pages.url_ids(F.col("url"))).collect()]
     assert ids == [("011", "0004373862"), (None, None)]
-    for engine in ("regex", "parser"):
+    for engine in ("native", "parser"):
         got = {r.page_id: r for r in pages.extract_fields(df, engine=engine).collect()}
         full = got[1]
         assert (full.newspaper_name, full.title, full.created_at) == ("Paper & Co", "A <b> title", "2024-07-31 07:31:09")
         assert full.updated_at is None and full.journalist_name is None
         assert all(v is None for v in got[2][2:])
-    assert full.content_text == "one two three"  # the parser keeps nested articles in balance
-    assert full.content_origin.startswith('<article id="dic_area">') and full.content_origin.endswith("three</article>")
+        assert full.content_text == "one two three"  # nested articles are kept in balance
+        assert full.content_origin.startswith('<article id="dic_area">') and full.content_origin.endswith("three</article>")
+
+
+HARD = """<meta name='twitter:creator' content="L'Equipe &hellip; &#8220;x&#8221;"><h2 id=title_area>It&#x27;s &middot; L&#39;A &amp;lt; &bogus; &#xD800;x</h2>
+<article class='a' id='dic_area'>a<article>b<article>c</article></article>d &copy;</article> <article>e</article>
+<a href="https://n.news.naver.com/mnews/article/001/2?q=l'eau&amp;z=1">x</a><a href=https://n.news.naver.com/mnews/article/001/3>y</a>"""
+
+
+def test_engines_agree_on_quotes_entities_and_nesting(spark):
+    table = [(1, "u", HARD), (2, "u", None), (3, "u", "<article id='dic_area'>open <b>end")]
+    df = spark.createDataFrame(table, "page_id long, url string, html string")
+    native, parsed = (pages.extract_fields(df, engine=e).orderBy("page_id").collect() for e in ("native", "parser"))
+    assert native == parsed
+    first = native[0]
+    assert first.newspaper_name == "L'Equipe … “x”" and first.title.startswith("It's · L'A &lt; &bogus;")
+    assert first.content_text == "abcd ©" and first.content_origin.count("<article") == 3
+    assert native[1].title is None and native[2].content_text == "open end"
+    links = [r.link for r in pages.extract_links(df).collect()]
+    assert links == ["https://n.news.naver.com/mnews/article/001/2?q=l'eau&z=1", "https://n.news.naver.com/mnews/article/001/3"]
+
+
+def test_very_long_links(spark):
+    long = "https://n.news.naver.com/mnews/article/001/2?" + "x" * 100_000
+    html = f"""<a href="data:{'y' * 200_000}">z</a> <a href="{long}">t</a> <a href=\\"{long}\\">t</a>"""
+    df = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    assert [r.link for r in pages.extract_links(df).collect()] == [long]
+
+
+def test_trades_with_other_column_orders(spark, tmp_path):
+    from pricetrace.sources.trades import read_trades
+
+    for name, text in {"a": "거래금액(만원),전용면적(㎡),계약년월\n\"50,000\",59.9,202001\n", "b": "계약년월,전용면적(㎡),거래금액(만원)\r\n202002,60.5,\"70,000\"\r\n"}.items():
+        (tmp_path / f"{name}.csv").write_bytes(text.encode("cp949"))
+    before = spark.conf.get("spark.sql.legacy.javaCharsets")
+    got = read_trades(spark, str(tmp_path), keep=("none",)).orderBy("month").collect()
+    assert [tuple(r) for r in got] == [("50,000", 59.9, "202001", None), ("70,000", 60.5, "202002", None)]
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == before
 
 
 def test_sections(spark):

@@ -74,7 +74,8 @@ def test_labels_take_lowest_policy_on_ties_and_none_without_words(articles):
 def test_phrases_are_inert_in_the_given_dictionaries():
     counts = [len(keyword_sets.all_words(d)) for d in (keyword_sets.COUNTING, keyword_sets.REPORTING, keyword_sets.SCORING)]
     assert counts == [31, 45, 53]
-    assert [len(keywords.inert_words(d)) for d in (keyword_sets.COUNTING, keyword_sets.REPORTING)] == [8, 6]
+    inert = [sum(' ' in w for w in keyword_sets.all_words(d)) for d in (keyword_sets.COUNTING, keyword_sets.REPORTING)]
+    assert inert == [8, 6]
 
 
 def test_ngrams_and_term_counts(spark):
