@@ -78,10 +78,10 @@ def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
 
 
 def keyed(df: DataFrame, mix: Mix, key: str, source: str, text: str) -> DataFrame:
-    """`df` with its words, its line (_null, _source, _shard) and its seeded place in it."""
+    """`_row` (all columns of `df`) with its words, its line (_null, _source, _shard) and its seeded place in it."""
     place = F.xxhash64(F.lit(mix.seed), F.col(key), F.xxhash64(text))
     return df.select(
-        *df.columns,
+        F.struct(*[F.col(name) for name in df.columns]).alias("_row"),
         count_words(F.col(text)).alias("size"),
         F.col(source).isNull().alias("_null"),
         F.coalesce(F.col(source), F.lit("")).alias("_source"),
@@ -131,7 +131,7 @@ def mix_table(df: DataFrame, mix: Mix = Mix(), key: str = "doc_id", source: str
     column lie next to each other in their line and each take their own share. An empty table stays empty.
     """
     placed = keyed(df.select(key, source, text), mix, key, source, text)
-    narrow = Staged(placed.drop(source, text), "placed").df
+    narrow = Staged(placed.select(F.col("_row")[key].alias(key), *placed.columns[1:]), "placed").df
     rows = laid_out(narrow, quotas(narrow, mix), mix)
     taken = F.expr(f"(quota div blocks) * size + {PARTIAL}")
     return rows.select(key, "size", "source_size", "target", taken.alias("taken"))
@@ -144,12 +144,13 @@ def mixed_texts(df: DataFrame, mix: Mix = Mix(), key: str = "doc_id", source: st
     a whole keeps its text. Rows of which nothing is taken, those without words among them, are left out.
     """
     placed = keyed(df, mix, key, source, text)
-    rows = laid_out(placed, quotas(placed, mix), mix)
-    words = f"regexp_extract_all({text}, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0)"
+    rows = laid_out(placed, quotas(placed, mix), mix).withColumn("_text", F.col("_row")[text])
+    words = "regexp_extract_all(_text, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0)"
     blocks = f"transform(_picked, j -> array_join(slice(_words, int({FIRST} - _start + 1), int({LAST} - {FIRST})), ''))"
     some = rows.withColumn("_whole", F.expr("quota div blocks")).withColumn("_part", F.expr(PARTIAL))
-    part = f"CASE WHEN _part = size THEN {text} ELSE array_join({blocks}, '') END"
     some = some.where("size > 0 AND (_whole > 0 OR _part > 0)")
     some = some.withColumn("_words", F.expr(f"CASE WHEN _part > 0 AND _part < size THEN {words} END"))
-    copies = F.expr(f"concat(array_repeat({text}, int(_whole)), CASE WHEN _part > 0 THEN array({part}) ELSE array() END)")
-    return some.withColumn("_copies", copies).withColumn(text, F.explode("_copies")).select(df.columns)
+    part = f"CASE WHEN _part = size THEN _text ELSE array_join({blocks}, '') END"
+    copies = F.expr(f"concat(array_repeat(_text, int(_whole)), CASE WHEN _part > 0 THEN array({part}) ELSE array() END)")
+    taken = some.select("_row", F.explode(copies).alias("_taken"))
+    return taken.select(*[F.col("_taken").alias(text) if name == text else F.col("_row")[name].alias(name) for name in df.columns])
