@@ -4,13 +4,13 @@ Documents with equal shingle sets are one class. A class's signature is read fro
 of the forest: classes that share the first values there are a region, and within a region, sorted by the values that
 follow, those with the longest common prefixes stand together. Small regions are compared as a whole; larger ones are cut
 along the order, which is the same as going as deep as the region needs. Candidates are confirmed on full shingle
-sets; components of the confirmed links are the groups. A first pass over a few orders settles the bulk, the
-second over all orders only looks for links between what is still apart.
+sets; components of the confirmed links are the groups. A first pass over a few orders links each class to its nearest
+ones, the second over all orders takes every likely pair between what is still apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,18 +29,20 @@ class Forest:
     """Links need 100 * intersection >= percent * union of `width`-word shingles.
 
     Two classes with similarity s meet in one of `orders` orders with probability 1 - (1 - s ** depth) ** orders: for
-    0.8 that is 0.99997. `region` classes are compared with each other at once; `first` orders make up the first pass.
-    A pair whose signatures agree in less than `likely` of their values is not confirmed (a pair at 0.8 falls below
-    that with probability 0.00001); one that agrees in `sure` counts as connected when spanning links are chosen.
+    0.8 that is 0.99997. The first pass takes `first` orders and compares `region` classes at once, the second takes all
+    orders and compares up to `wide` classes that are not of one component. A pair whose signatures agree in less than
+    `likely` of their values is not confirmed (a pair at 0.8 falls below that with probability 0.001, in which case they can still meet through others); one that
+    agrees in `sure` counts as connected when spanning links are chosen.
     """
 
     width: int = 5
     percent: int = 80
     orders: int = 20
     depth: int = 4
-    first: int = 3
+    first: int = 6
     region: int = 128
-    likely: float = 0.6
+    wide: int = 8_192
+    likely: float = 0.66
     sure: float = 0.93
 
     @property
@@ -82,25 +84,47 @@ def signatures(df: DataFrame, forest: Forest, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def spanning(names: np.ndarray, groups: np.ndarray, sigs: np.ndarray, forest: Forest) -> list[tuple]:
-    """Pairs to confirm among a few classes: a forest of the sure ones, and every likely one between what is then apart."""
+def nearest(names: np.ndarray, groups: np.ndarray, sigs: np.ndarray, forest: Forest) -> list[tuple]:
+    """Pairs of the first pass: each class with the one before it and with the likeliest of its piece, if these are likely."""
     agree = (sigs[:, None, :] == sigs[None, :, :]).mean(axis=2)
     agree[groups[:, None] == groups[None, :]] = 0
-    group, pairs = groups.copy(), []
-    left, right = np.nonzero(np.triu(agree >= forest.sure, 1))
-    for a, b in zip(left, right, strict=True):
-        if group[a] != group[b]:
-            group[group == group[b]] = group[a]
-            pairs.append((names[a], names[b]))
-    left, right = np.nonzero(np.triu((agree >= forest.likely) & (group[:, None] != group[None, :]), 1))
-    return pairs + list(zip(names[left], names[right], strict=True))
+    here = np.arange(len(names))
+    pairs = np.concatenate([np.column_stack([here[1:], here[:-1]]), np.column_stack([here, agree.argmax(axis=1)])])
+    pairs = pairs[agree[pairs[:, 0], pairs[:, 1]] >= forest.likely]
+    return list(zip(names[pairs[:, 0]], names[pairs[:, 1]], strict=True))
+
 
+def spanning(names: np.ndarray, groups: np.ndarray, sigs: np.ndarray, forest: Forest) -> list[tuple]:
+    """Pairs to confirm among some classes: a forest of the sure ones, and every likely one between what is then apart.
 
-def candidates(rows: DataFrame, forest: Forest) -> DataFrame:
+    Only classes outside the largest group are compared, with all others.
+    """
+    labels, group, sizes = np.unique(groups, return_inverse=True, return_counts=True)
+    group, pairs = group.reshape(-1), []
+    likely: list[np.ndarray] = []
+    rows = np.flatnonzero(group != sizes.argmax()) if sizes.max() > 1 else np.arange(len(group) - 1)
+    for start in range(0, len(rows), 32):
+        some = rows[start : start + 32]
+        agree = (sigs[some][:, None, :] == sigs[None, :, :]).mean(axis=2)
+        agree[group[some][:, None] == group[None, :]] = 0
+        for i, b in zip(*np.nonzero(agree >= forest.sure), strict=True):
+            x, y = group[some[i]], group[b]
+            if x != y:
+                group[group == x] = y
+                pairs.append((names[some[i]], names[b]))
+        i, b = np.nonzero((agree >= forest.likely) & (group[some][:, None] != group[None, :]))
+        likely.append(np.column_stack([some[i], b]))
+    found = np.concatenate(likely) if likely else np.empty((0, 2), dtype=int)
+    found = found[group[found[:, 0]] != group[found[:, 1]]]
+    return pairs + list(zip(names[found[:, 0]], names[found[:, 1]], strict=True))
+
+
+def candidates(rows: DataFrame, forest: Forest, region: int, choose: Callable) -> DataFrame:
     """Distinct (a, b) with a < b from rows (region, order, node, group, sig); nodes of one group are no candidates.
 
     The rows are sorted by region and the values after its own, in ranges that may cut a region. Where a task's first
-    row continues the region of the last one before it, the two are a pair as well.
+    row continues the region of the last one before it, the two are a pair as well. Up to `region` rows are compared
+    with each other; a larger region is gone through in pieces that overlap by half.
     """
     turned = F.concat(F.expr(f"substring(sig, order * {forest.depth} + 1)"), F.expr(f"substring(sig, 1, order * {forest.depth})"))
     ranged = rows.withColumn("turned", turned).repartitionByRange("region", "turned", "node").sortWithinPartitions("region", "turned", "node")
@@ -123,10 +147,9 @@ def candidates(rows: DataFrame, forest: Forest) -> DataFrame:
             for a, b in zip([0, *cuts], [*cuts, len(table)], strict=True):
                 if b - a < 2 or (groups[a:b] == groups[a]).all():
                     continue
-                step = forest.region // 2 if b - a > forest.region else forest.region
-                for c in range(a, b, step):
-                    d = min(b, c + forest.region)
-                    pairs += spanning(nodes[c:d], groups[c:d], sigs[c:d], forest)
+                for c in range(a, b, max(1, region // 2)):
+                    d = min(b, c + region)
+                    pairs += choose(nodes[c:d], groups[c:d], sigs[c:d], forest)
                     if d == b:
                         break
             return pairs
@@ -142,9 +165,8 @@ def candidates(rows: DataFrame, forest: Forest) -> DataFrame:
             table = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
             whole = np.flatnonzero(table["region"].to_numpy() != last["region"])
             cut = int(whole[-1]) + 1 if len(whole) else 0
-            if len(table) - cut > 20_000:  # a very large region: go on along its order, with an overlap
-                cut = len(table) - forest.region
-                done, kept = table, table.iloc[cut:]
+            if len(table) - cut > 2 * region + 10_000:  # a very large region: go on along its order, with an overlap
+                done, kept = table, table.iloc[len(table) - region // 2 :]
             else:
                 done, kept = table.iloc[:cut], table.iloc[cut:]
             if len(done):
@@ -208,16 +230,17 @@ def near_duplicates(df: DataFrame, forest: Forest = Forest(), key: str = "doc_id
     texts = Staged(docs.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_set("_t").alias("texts")), "texts").df
     sigs = classes.select("node", "sig")
     firsts = meeting.where(F.col("order") < forest.first).join(sigs, "node").withColumn("group", F.col("node"))
-    links = Staged(confirmed(candidates(firsts, forest), texts, forest), "links").df
+    links = Staged(confirmed(candidates(firsts, forest, forest.region, nearest), texts, forest), "links").df
     known = connected_components(links)
     rows = meeting.join(sigs, "node").join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    more = confirmed(candidates(rows, forest), texts, forest)
+    more = confirmed(candidates(rows, forest, forest.wide, spanning), texts, forest)
     members = table.join(classes.select(*identity, F.col("node").alias("rep")), identity, "left")
     several = members.where("rep IS NOT NULL").groupBy("node").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("node")
     bridges = members.join(several, "node").where("rep IS NOT NULL").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     joined = links.unionByName(more).unionByName(bridges)
     found = connected_components(joined).select(F.col("node").alias("rep"), F.col("component"))
-    out = members.join(found, "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "node"))
+    own = F.when(F.col("node").isNotNull(), F.coalesce("component", "rep", "node"))
+    out = members.join(found, "rep", "left").withColumn("component_id", own)
     return out.select(F.col("node").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("node").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
