@@ -5,7 +5,8 @@ the front and drops a suffix as soon as it is alone. A digit is a block of bytes
 the suffixes of a run together: every window of `depth` bytes names its digit with the smallest hash (equal windows name
 the same one), and all windows that name one place form a chunk. Where that digit is alone in the corpus the whole
 chunk is. Chunks that are equal as a whole repeat with all their windows; only those that share their digit with
-different chunks, at the ends of passages, are taken apart into windows and sorted on to the full depth.
+different chunks, at the ends of passages, are sorted on: first in blocks of neighbouring windows, then, where blocks
+of one place differ, window by window to the full depth.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ STEPS = _random.integers(1 << 63, size=64, dtype=np.uint64) * np.uint64(2) + np.
 
 @dataclass(frozen=True)
 class Depth:
-    """Windows of `depth` bytes; `digit` is the digit of the first pass, `digits` the depths of the passes after it."""
+    """Windows of `depth` bytes; `digit` is the digit of the first pass, a power of two, `block` the windows of a block."""
 
     depth: int = 200
     digit: int = 64
-    digits: tuple[int, ...] = (100, 200)
+    block: int = 8
 
 
 def digit_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -60,9 +61,9 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 
 def chunks(data: np.ndarray, ends: np.ndarray, spec: Depth) -> tuple[np.ndarray, ...]:
-    """(digit hash, chunk hash, first window, windows) of every chunk; `ends` are the ends of the texts in `data`."""
+    """(digit hash, chunk hash, first window, windows, place of the digit after it) of every chunk; `ends` are the ends of the texts in `data`."""
     if len(data) < spec.depth:
-        return (np.array([], dtype=np.uint64),) * 2 + (np.array([], dtype=np.int64),) * 2
+        return (np.array([], dtype=np.uint64),) * 2 + (np.array([], dtype=np.int64),) * 3
     hashes = digit_hashes(data, spec.digit)
     ranked = (hashes >> np.uint64(32) << np.uint64(32)) | np.arange(len(hashes), dtype=np.uint64)
     named = (sliding_least(ranked, spec.depth - spec.digit + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -70,18 +71,18 @@ def chunks(data: np.ndarray, ends: np.ndarray, spec: Depth) -> tuple[np.ndarray,
     inside = starts + spec.depth <= ends[np.searchsorted(ends, starts, side="right")]
     starts, named = starts[inside], named[inside]
     if not len(starts):
-        return (np.array([], dtype=np.uint64),) * 2 + (np.array([], dtype=np.int64),) * 2
+        return (np.array([], dtype=np.uint64),) * 2 + (np.array([], dtype=np.int64),) * 3
     cut = np.flatnonzero((np.diff(named) != 0) | (np.diff(starts) != 1)) + 1
     first, last = starts[np.concatenate([[0], cut])], starts[np.concatenate([cut - 1, [len(starts) - 1]])]
     place = named[np.concatenate([[0], cut])]
     sums, back = prefix_sums(data), powers(INVERSE, len(data))
     whole = mix((sums[last + spec.depth] - sums[first]) * back[first] + (last - first).astype(np.uint64))
-    return hashes[place], whole, first, last - first + 1
+    return hashes[place], whole, first, last - first + 1, place - first
 
 
 def find_chunks(docs: DataFrame, spec: Depth) -> DataFrame:
-    """(node, same, digit, chunk, start, windows) per chunk of rows (node, same, text); starts count from the text's first byte."""
-    schema = f"{docs.select('node').schema[0].simpleString().replace(':', ' ', 1)}, same bigint, digit bigint, chunk bigint, start bigint, windows int"
+    """(node, same, digit, chunk, start, windows, lead) per chunk of rows (node, same, text); starts count from the text's first byte."""
+    schema = f"{docs.select('node').schema[0].simpleString().replace(':', ' ', 1)}, same bigint, digit bigint, chunk bigint, start bigint, windows int, lead int"
 
     def jobs(texts: list) -> Iterator[tuple[list[tuple[int, int]], bytes, list[int]]]:
         """(parts (text, offset), their bytes, their ends)"""
@@ -104,68 +105,84 @@ def find_chunks(docs: DataFrame, spec: Depth) -> DataFrame:
             texts = [memoryview(value.as_buffer()) if value.is_valid else b"" for value in batch.column("text")]
             for parts, data, ends in jobs(texts):
                 bounds = np.array([*ends, np.iinfo(np.int64).max])
-                digit, chunk, first, windows = chunks(np.frombuffer(data, dtype=np.uint8), bounds, spec)
+                digit, chunk, first, windows, lead = chunks(np.frombuffer(data, dtype=np.uint8), bounds, spec)
                 owner = np.searchsorted(bounds, first, side="right")
                 numbers, shifts = np.array([p for p, _ in parts])[owner], np.array([s for _, s in parts])[owner]
                 picked = pa.array(numbers, pa.int64())
                 columns = [batch.column("node").take(picked), batch.column("same").take(picked), pa.array(digit.view(np.int64)), pa.array(chunk.view(np.int64))]
-                columns += [pa.array(first + shifts, pa.int64()), pa.array(windows.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "same", "digit", "chunk", "start", "windows"])
+                columns += [pa.array(first + shifts, pa.int64()), pa.array(windows.astype(np.int32)), pa.array(lead.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "same", "digit", "chunk", "start", "windows", "lead"])
 
     return docs.select("node", "same", "text").mapInArrow(run, schema)
 
 
 def take_apart(rows: DataFrame, spec: Depth) -> DataFrame:
-    """(node, same, start, d0, d1, ...): the windows of rows (node, same, text, parts), with the hash of each pass's prefix."""
-    passes = [f"d{i}" for i in range(len(spec.digits))]
-    schema = f"{rows.select('node').schema[0].simpleString().replace(':', ' ', 1)}, same bigint, start bigint, " + ", ".join(f"{d} bigint" for d in passes)
+    """(node, same, digit, place, content, start, hashes): the blocks of the chunks in rows (node, same, text, parts).
+
+    `place` is the block's distance from the chunk's digit, `content` the hash of all its bytes, `hashes` those of its windows.
+    """
+    names = ["node", "same", "digit", "place", "content", "start", "hashes"]
+    schema = f"{rows.select('node').schema[0].simpleString().replace(':', ' ', 1)}, same bigint, digit bigint, place int, content bigint, start bigint, hashes array<bigint>"
     back = powers(INVERSE, 4 * spec.depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 data = np.frombuffer(batch.column("text")[at].as_buffer(), dtype=np.uint8)
-                starts, hashes = [], [[] for _ in passes]
+                out: list[tuple] = []
                 for part in batch.column("parts")[at].as_py():
-                    first, count = part["start"], part["windows"]
-                    for low in range(0, count, 2 * spec.depth):
-                        some = np.arange(min(2 * spec.depth, count - low))
-                        sums = prefix_sums(data[first + low : first + low + len(some) + spec.depth - 1])
-                        starts.append(some + first + low)
-                        for found, size in zip(hashes, spec.digits, strict=True):
-                            found.append(mix((sums[some + size] - sums[some]) * back[some]))
-                starts = np.concatenate(starts)
-                own = pa.array(np.full(len(starts), at))
-                columns = [batch.column("node").take(own), batch.column("same").take(own), pa.array(starts, pa.int64())]
-                columns += [pa.array(np.concatenate(found).view(np.int64)) for found in hashes]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "same", "start", *passes])
+                    begin, count, lead = part["start"], part["windows"], part["lead"]
+                    sums = prefix_sums(data[begin : begin + count + spec.depth - 1])
+                    some = np.arange(count)
+                    full = mix((sums[some + spec.depth] - sums[some]) * back[some]).view(np.int64)
+                    places = (lead - some) // spec.block
+                    cuts = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), count]
+                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                        whole = mix((sums[b - 1 + spec.depth] - sums[a]) * back[a] + np.array([b - a], dtype=np.uint64))
+                        out.append((part["digit"], int(places[a]), int(whole.view(np.int64)[0]), begin + a, full[a:b]))
+                own = pa.array(np.full(len(out), at))
+                columns = [batch.column("node").take(own), batch.column("same").take(own), pa.array([r[0] for r in out], pa.int64())]
+                columns += [pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.int64())]
+                columns.append(pa.array([r[4] for r in out], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(run, schema)
 
 
-def repeated(rows: DataFrame, column: str) -> DataFrame:
-    """One pass: the rows whose digit occurs at least twice."""
-    groups = rows.groupBy(column).agg(F.count("*").alias("_n")).where("_n > 1").select(column)
-    return rows.join(groups, column)
+def repeated(rows: DataFrame, *columns: str) -> DataFrame:
+    """One pass: the rows whose digit, the value of the columns, occurs at least twice."""
+    groups = rows.groupBy(*columns).agg(F.count("*").alias("_n")).where("_n > 1").select(*columns)
+    return rows.join(groups, [*columns])
 
 
 def repeated_spans(df: DataFrame, spec: Depth = Depth(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, same, start, windows) of the windows that also start anywhere else; `same` is the text's hash."""
     docs = df.select(F.col(key).alias("node"), F.xxhash64(text).alias("same"), F.col(text).alias("text"))
     found = Staged(find_chunks(docs, spec), "chunks")
-    shared = Staged(repeated(found.df, "digit"), "shared-digits").df
+    shared = Staged(repeated(found.df, "digit"), "shared-digits")
     found.discard()
-    one = F.min(F.struct("node", "same", "start", "windows")).alias("one")
-    kinds = Staged(shared.groupBy("digit", "chunk").agg(F.count("*").alias("n"), one), "chunk-kinds").df
-    whole = shared.join(kinds.where("n > 1").select("digit", "chunk"), ["digit", "chunk"]).select("node", "same", "start", "windows")
-    mixed = repeated(kinds.select("digit", "one.*"), "digit").groupBy("node", "same").agg(F.collect_set(F.struct("start", "windows")).alias("parts"))
-    distinct = docs.where(F.octet_length("text") >= spec.depth)
+    one = F.first(F.struct("node", "same", "start", "windows", "lead")).alias("one")
+    kinds = Staged(shared.df.groupBy("digit", "chunk").agg(F.count("*").alias("n"), one), "chunk-kinds")
+    span = ["node", "same", "start", "windows"]
+    whole = Staged(shared.df.join(kinds.df.where("n > 1").select("digit", "chunk"), ["digit", "chunk"]).select(*span), "whole-chunks").df
+    shared.discard()
+    part = F.struct("start", "windows", "lead", "digit")
+    mixed = repeated(kinds.df.select("digit", "one.*"), "digit").groupBy("node", "same").agg(F.collect_set(part).alias("parts"))
     fits = F.col("m.node").eqNullSafe(F.col("d.node")) & (F.col("m.same") == F.col("d.same"))
-    opened = distinct.alias("d").join(mixed.alias("m"), fits).select("d.node", "d.same", "d.text", "m.parts")
-    windows = Staged(take_apart(opened, spec), "windows").df.dropDuplicates(["node", "same", "start"])
-    for number in range(len(spec.digits)):
-        windows = Staged(repeated(windows, f"d{number}"), f"pass-{number}").df
-    return whole.unionByName(windows.select("node", "same", "start", F.lit(1).alias("windows")))
+    long = docs.where(F.octet_length("text") >= spec.depth)
+    opened = long.alias("d").join(mixed.alias("m"), fits).select("d.node", "d.same", "d.text", "m.parts")
+    blocks = Staged(take_apart(opened, spec), "blocks")
+    kinds.discard()
+    one = F.first(F.struct("node", "same", "start", "hashes")).alias("one")
+    groups = Staged(blocks.df.groupBy("digit", "place", "content").agg(F.count("*").alias("n"), one), "block-kinds")
+    sizes = blocks.df.select("node", "same", "start", F.size("hashes").alias("windows"), "digit", "place", "content")
+    equal = Staged(sizes.join(groups.df.where("n > 1").select("digit", "place", "content"), ["digit", "place", "content"]).select(*span), "equal-blocks").df
+    blocks.discard()
+    apart = repeated(groups.df.select("digit", "place", "one.*"), "digit", "place")
+    windows = Staged(apart.select("node", "same", "start", F.posexplode("hashes").alias("at", "hash")), "windows")
+    groups.discard()
+    single = repeated(windows.df, "hash").select("node", "same", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("windows"))
+    return whole.unionByName(equal).unionByName(single)
 
 
 def remove_repeats(df: DataFrame, spec: Depth = Depth(), key: str = "doc_id", text: str = "text") -> DataFrame:
