@@ -87,6 +87,7 @@ class Block:
         by_point = np.argsort(owner, kind="stable")
         starts = np.searchsorted(owner[by_point], np.arange(len(self.vectors) + 1))
         self.ids = [ids[order][by_point[a : min(b, a + search.k + 1)]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        self.single = self.vectors.astype(np.float32)
         norms = np.einsum("ij,ij->i", self.vectors, self.vectors)
         self.bound = float(norms.max())
         longer = np.column_stack([self.vectors, np.sqrt(np.maximum(self.bound - norms, 0))])
@@ -95,30 +96,41 @@ class Block:
         self.tree = Tree(longer @ self.matrix, search.leaf)
         self.stop = chi_square_quantile(search.certainty, search.projections)
 
+    def best(self, points: np.ndarray, query_id: int, query: np.ndarray) -> list[tuple[float, int]]:
+        """(score, id) of the k best ids at some points, scores in double precision."""
+        scores = (self.vectors[points] * query).sum(axis=1)
+        if len(points) > self.search.k + 1:  # equal scores stay together, one place is for the query's own vector
+            edge = np.partition(scores, len(scores) - self.search.k - 1)[len(scores) - self.search.k - 1]
+            points, scores = points[scores >= edge], scores[scores >= edge]
+        found = [(score, int(i)) for point, score in zip(points.tolist(), scores.tolist(), strict=True) for i in self.ids[point] if i != query_id]
+        return sorted(found, key=lambda pair: (-pair[0], pair[1]))[: self.search.k]
+
     def nearest(self, query_id: int, query: np.ndarray) -> list[tuple[float, int]]:
-        """(score, id) of up to k vectors, best first. The query is scaled to the longest vector, which keeps the order."""
+        """(score, id) of up to k vectors, best first. The query is scaled to the longest vector, which keeps the order.
+
+        While a query has many leaves to go, their vectors are looked at in single precision first, with a margin above
+        its error, and only those that may be among the best are scored.
+        """
         norm = float(query @ query)
-        scale = math.sqrt(self.bound / norm)
+        scale, single = math.sqrt(self.bound / norm), query.astype(np.float32)
+        margin = 1e-4 * math.sqrt(self.bound * norm)
         leaves, boxes = self.tree.order(np.append(query * scale, 0.0) @ self.matrix)
-        found: list[tuple[float, int]] = []
-        at, step, kth = 0, 4, -math.inf
+        seen, found, at, step = np.array([], dtype=int), [], 0, 4
         while at < len(leaves):
-            if len(found) >= self.search.k:
-                distance = max(0.0, 2 * self.bound - 2 * scale * kth)
-                if boxes[at] > self.stop * distance:
-                    break
-            points = np.concatenate([self.tree.leaves[leaf] for leaf in leaves[at : at + step]])
-            at, step = at + step, min(step * 2, 64)
-            scores = (self.vectors[points] * query).sum(axis=1)
-            if len(found) >= self.search.k:
-                near = scores >= kth
-                points, scores = points[near], scores[near]
-            for point, score in zip(points.tolist(), scores.tolist(), strict=True):
-                found += [(score, int(i)) for i in self.ids[point] if i != query_id]
-            found.sort(key=lambda pair: (-pair[0], pair[1]))
-            del found[self.search.k :]
-            if len(found) >= self.search.k:
-                kth = found[-1][0]
+            kth = found[-1][0] if len(found) >= self.search.k else -math.inf
+            last = len(leaves)
+            if found and kth > -math.inf:
+                last = int(np.searchsorted(boxes, self.stop * max(0.0, 2 * self.bound - 2 * scale * kth), side="right"))
+            if last <= at:
+                break
+            if last - at > len(leaves) // 2 and at:  # most of the block: in one go, without picking leaves
+                seen, at = np.flatnonzero(self.single @ single >= kth - margin), len(leaves)
+            else:
+                chosen = leaves[at : min(last, at + step)]
+                points = np.concatenate([self.tree.leaves[leaf] for leaf in chosen])
+                near = points[self.single[points] @ single >= kth - margin]
+                seen, at, step = np.concatenate([seen, near]), at + len(chosen), step * 4
+            found = self.best(seen, query_id, query)
         return found
 
 
