@@ -2,8 +2,32 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
+import pricetrace
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the session's Python workers this package, for sessions whose executors do not have it installed."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(pricetrace.__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="pricetrace-"), "pricetrace.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(application)
+
 
 def local_session(cores: int | str = "*", memory: str = "12g", shuffle_partitions: int = 8) -> SparkSession:
     spark = (
