@@ -145,7 +145,7 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
 def nearest_neighbours(data: DataFrame, queries: DataFrame, search: Search = Search(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, key, score): for each query row the `k` largest inner products among the rows of other ids.
 
-    Vectors of another length than a query's are no candidates for it. Ties go to the smaller id; a row repeated under one id
+    Query rows of one id share its k places. Vectors of another length than a query's are no candidates for it. Ties go to the smaller id; a row repeated under one id
     may be found as often. Without `k` candidates all are returned, without any the query has no row.
     Every vector is indexed, in blocks of about `block_rows` dealt out evenly; each block sees every query once, as a
     stream, and hands on its best `k`.
