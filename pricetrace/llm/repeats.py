@@ -5,14 +5,14 @@ the front and drops a suffix as soon as it is alone. A digit is a block of bytes
 the suffixes of a run together: every window of `depth` bytes names its digit with the smallest hash (equal windows name
 the same one), and all windows that name one place form a chunk. Where that digit is alone in the corpus the whole
 chunk is. Chunks that are equal as a whole repeat with all their windows; only those that share their digit with
-different chunks, at the ends of passages, are sorted on: first in blocks of neighbouring windows, then, where blocks
-of one place differ, window by window to the full depth.
+different chunks, at the ends of passages, are sorted on: first in blocks of neighbouring windows, by the bytes that all
+windows of a block have, then, where blocks agree in these but not as a whole, window by window to the full depth.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -116,37 +116,66 @@ def find_chunks(docs: DataFrame, spec: Depth) -> DataFrame:
     return docs.select("node", "same", "text").mapInArrow(run, schema)
 
 
-def take_apart(rows: DataFrame, spec: Depth) -> DataFrame:
-    """(node, same, digit, place, content, start, hashes): the blocks of the chunks in rows (node, same, text, parts).
-
-    `place` is the block's distance from the chunk's digit, `content` the hash of all its bytes, `hashes` those of its windows.
-    """
-    names = ["node", "same", "digit", "place", "content", "start", "hashes"]
-    schema = f"{rows.select('node').schema[0].simpleString().replace(':', ' ', 1)}, same bigint, digit bigint, place int, content bigint, start bigint, hashes array<bigint>"
-    back = powers(INVERSE, 4 * spec.depth)
+def opened(rows: DataFrame, schema: str, read: Callable[[np.ndarray, list[dict]], list[np.ndarray]]) -> DataFrame:
+    """`node`, `same` and the columns that `read` makes of each row's bytes and parts; rows have (node, same, text, parts)."""
+    names = ["node", "same", *[field.split(" ")[0] for field in schema.split(", ")]]
+    types = [pa.int32() if field.endswith(" int") else pa.int64() for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                data = np.frombuffer(batch.column("text")[at].as_buffer(), dtype=np.uint8)
-                out: list[tuple] = []
-                for part in batch.column("parts")[at].as_py():
-                    begin, count, lead = part["start"], part["windows"], part["lead"]
-                    sums = prefix_sums(data[begin : begin + count + spec.depth - 1])
-                    some = np.arange(count)
-                    full = mix((sums[some + spec.depth] - sums[some]) * back[some]).view(np.int64)
-                    places = (lead - some) // spec.block
-                    cuts = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), count]
-                    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                        whole = mix((sums[b - 1 + spec.depth] - sums[a]) * back[a] + np.array([b - a], dtype=np.uint64))
-                        out.append((part["digit"], int(places[a]), int(whole.view(np.int64)[0]), begin + a, full[a:b]))
-                own = pa.array(np.full(len(out), at))
-                columns = [batch.column("node").take(own), batch.column("same").take(own), pa.array([r[0] for r in out], pa.int64())]
-                columns += [pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.int64())]
-                columns.append(pa.array([r[4] for r in out], pa.list_(pa.int64())))
+            for first in range(0, batch.num_rows, 64):
+                last, made, owner = min(batch.num_rows, first + 64), [], []
+                for at in range(first, last):
+                    data = np.frombuffer(batch.column("text")[at].as_buffer(), dtype=np.uint8)
+                    made.append(read(data, batch.column("parts")[at].as_py()))
+                    owner.append(np.full(len(made[-1][0]), at))
+                own = pa.array(np.concatenate(owner))
+                columns = [batch.column("node").take(own), batch.column("same").take(own)]
+                columns += [pa.array(np.concatenate(column), kind) for column, kind in zip(zip(*made, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"{rows.select('node').schema[0].simpleString().replace(':', ' ', 1)}, same bigint, {schema}")
+
+
+def block_reader(spec: Depth) -> Callable[[np.ndarray, list[dict]], list[np.ndarray]]:
+    """(digit, place, core, content, start, windows) of the blocks of chunks.
+
+    `place` is the block's distance from the chunk's digit, `content` the hash of all bytes of its windows here, `core` that
+    of the bytes which every window of such a block has: windows of blocks with different cores are different.
+    """
+    back, core = powers(INVERSE, 4 * spec.depth), spec.depth - spec.block + 1
+
+    def read(data: np.ndarray, parts: list[dict]) -> list[np.ndarray]:
+        made = []
+        for part in parts:
+            begin, count, lead = part["start"], part["windows"], part["lead"]
+            sums = prefix_sums(data[begin : begin + count + spec.depth - 1])
+            places = (lead - np.arange(count)) // spec.block
+            a = np.concatenate([[0], np.flatnonzero(places[1:] != places[:-1]) + 1])
+            b = np.append(a[1:], count)
+            inner = lead - places[a] * spec.block
+            content = mix((sums[b - 1 + spec.depth] - sums[a]) * back[a] + (b - a).astype(np.uint64))
+            shared = mix((sums[inner + core] - sums[inner]) * back[inner])
+            made.append((np.full(len(a), part["digit"]), places[a], shared.view(np.int64), content.view(np.int64), begin + a, b - a))
+        return [np.concatenate(column) for column in zip(*made, strict=True)]
+
+    return read
+
+
+def window_reader(spec: Depth) -> Callable[[np.ndarray, list[dict]], list[np.ndarray]]:
+    """(start, hash) of the windows of blocks."""
+    back = powers(INVERSE, 4 * spec.depth)
+
+    def read(data: np.ndarray, parts: list[dict]) -> list[np.ndarray]:
+        starts, hashes = [], []
+        for part in parts:
+            some = np.arange(part["windows"])
+            sums = prefix_sums(data[part["start"] : part["start"] + len(some) + spec.depth - 1])
+            starts.append(part["start"] + some)
+            hashes.append(mix((sums[some + spec.depth] - sums[some]) * back[some]).view(np.int64))
+        return [np.concatenate(starts), np.concatenate(hashes)]
+
+    return read
 
 
 def repeated(rows: DataFrame, *columns: str) -> DataFrame:
@@ -166,22 +195,28 @@ def repeated_spans(df: DataFrame, spec: Depth = Depth(), key: str = "doc_id", te
     span = ["node", "same", "start", "windows"]
     whole = Staged(shared.df.join(kinds.df.where("n > 1").select("digit", "chunk"), ["digit", "chunk"]).select(*span), "whole-chunks").df
     shared.discard()
-    part = F.struct("start", "windows", "lead", "digit")
-    mixed = repeated(kinds.df.select("digit", "one.*"), "digit").groupBy("node", "same").agg(F.collect_set(part).alias("parts"))
-    fits = F.col("m.node").eqNullSafe(F.col("d.node")) & (F.col("m.same") == F.col("d.same"))
     long = docs.where(F.octet_length("text") >= spec.depth)
-    opened = long.alias("d").join(mixed.alias("m"), fits).select("d.node", "d.same", "d.text", "m.parts")
-    blocks = Staged(take_apart(opened, spec), "blocks")
+    fits = F.col("m.node").eqNullSafe(F.col("d.node")) & (F.col("m.same") == F.col("d.same"))
+
+    def with_texts(pieces: DataFrame, *columns: str) -> DataFrame:
+        """One row per text with its pieces; a row that stands for equal ones meets each of them."""
+        lists = pieces.groupBy("node", "same").agg(F.collect_set(F.struct(*columns)).alias("parts"))
+        return long.alias("d").join(lists.alias("m"), fits).select("d.node", "d.same", "d.text", "m.parts")
+
+    mixed = repeated(kinds.df.select("digit", "one.*"), "digit")
+    fields = "digit bigint, place int, core bigint, content bigint, start bigint, windows int"
+    blocks = Staged(opened(with_texts(mixed, "start", "windows", "lead", "digit"), fields, block_reader(spec)), "blocks")
     kinds.discard()
-    one = F.first(F.struct("node", "same", "start", "hashes")).alias("one")
-    groups = Staged(blocks.df.groupBy("digit", "place", "content").agg(F.count("*").alias("n"), one), "block-kinds")
-    sizes = blocks.df.select("node", "same", "start", F.size("hashes").alias("windows"), "digit", "place", "content")
-    equal = Staged(sizes.join(groups.df.where("n > 1").select("digit", "place", "content"), ["digit", "place", "content"]).select(*span), "equal-blocks").df
+    group = ["digit", "place", "core"]
+    one = F.first(F.struct(*span)).alias("one")
+    groups = Staged(repeated(blocks.df, *group).groupBy(*group, "content").agg(F.count("*").alias("n"), one), "block-kinds")
+    content = ["digit", "place", "content"]
+    equal = Staged(blocks.df.join(groups.df.where("n > 1").select(*content), content).select(*span), "equal-blocks").df
     blocks.discard()
-    apart = repeated(groups.df.select("digit", "place", "one.*"), "digit", "place")
-    windows = Staged(apart.select("node", "same", "start", F.posexplode("hashes").alias("at", "hash")), "windows")
+    apart = repeated(groups.df.select(*group, "one.*"), *group)
+    windows = Staged(opened(with_texts(apart, "start", "windows"), "start bigint, hash bigint", window_reader(spec)), "windows").df
     groups.discard()
-    single = repeated(windows.df, "hash").select("node", "same", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("windows"))
+    single = repeated(windows, "hash").select("node", "same", "start", F.lit(1).alias("windows"))
     return whole.unionByName(equal).unionByName(single)
 
 
