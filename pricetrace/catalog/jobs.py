@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pricetrace.catalog.bindings import ARTICLE_LIST, TAGS, WORDS, articles, lexicon, trades
-from pricetrace.catalog.registry import query
+from pricetrace.catalog.registry import cte, query
 from pricetrace.plans import jobs
 from pricetrace.schemas import ARTICLE_COLUMNS
 from pricetrace.scratch import new_path
@@ -27,6 +27,36 @@ def trace_articles_month(spark, sf):
     return jobs.trace_articles(trades(spark, sf), datasets.read_months(spark, path), WORDS, "199801")
 
 
+cte(
+    # prices, effects and winners per series
+    rchg="""
+      SELECT series, month, CAST(substr(month, 1, 4) AS INTEGER) * 12 + CAST(substr(month, 5, 2) AS INTEGER) AS month_idx,
+        (a / lag(a) OVER (PARTITION BY series ORDER BY month) - 1) * 100 AS pct_change FROM sser""",
+    rpol="SELECT c.*, p.policy FROM rchg c LEFT JOIN ptype p ON p.month = c.month",
+    reff="""
+      SELECT s.series, s.policy, s.month AS start_month, per.period, avg(f.pct_change) AS avg_change
+      FROM rpol s, per, rpol f
+      WHERE s.policy IS NOT NULL AND f.series = s.series AND f.month_idx > s.month_idx AND f.month_idx <= s.month_idx + per.period
+      GROUP BY ALL""",
+    rcand="""
+      SELECT t.series, t.month AS target_month, c.month, c.policy, e.start_month, e.avg_change
+      FROM rpol t JOIN rpol c ON c.series = t.series AND c.policy IS NOT NULL AND t.month_idx - c.month_idx BETWEEN 1 AND 6
+      LEFT JOIN reff e ON e.series = t.series AND e.policy = c.policy AND e.period = t.month_idx - c.month_idx""",
+    rwin="""
+      SELECT series, target_month, month, policy FROM (SELECT *, row_number() OVER (PARTITION BY series, target_month
+          ORDER BY round(abs(avg_change), 9) DESC NULLS LAST, month, policy, start_month) AS r FROM rcand) WHERE r = 1""",
+)
+
+
+@query("trace_articles_series", """
+  SELECT w.series, w.target_month, w.month, w.policy, r.rank, r.cnt, r.article_id
+  FROM rwin w JOIN rnk r ON r.month = w.month AND r.policy = w.policy AND r.rank <= 3""")
+def trace_articles_series(spark, sf):
+    """Each series of the trades, as a region would be, traced on its own."""
+    traced = jobs.trace_articles(trades(spark, sf), articles(spark, sf), WORDS, series=["series"])
+    return traced.select("series", "target_month", "month", "policy", "rank", "cnt", "article_id")
+
+
 @query("monthly_policy_analysis", f"""
   SELECT p.*, CAST(CASE WHEN t.policy IN (3, 4) THEN 3 ELSE t.policy END AS INTEGER) AS policy_type
   FROM (SELECT month, {_PIVOT} FROM wcnt GROUP BY month) p JOIN atype t ON t.month = p.month""")

@@ -40,55 +40,63 @@ def policy_effect(labelled: DataFrame, periods: int = HORIZON, series: list[str]
     ).where(F.col("n") > 0).drop("n")
 
 
-def forward_range_join(labelled: DataFrame, periods: int = HORIZON) -> DataFrame:
+def forward_range_join(labelled: DataFrame, periods: int = HORIZON, series: list[str] | None = None) -> DataFrame:
     """The same effects by an equi-join on every month a period can reach, instead of a range condition."""
+    keys = series or []
     starts = labelled.where(F.col("policy").isNotNull()).select(
-        "policy", F.col("month").alias("start_month"), F.col("month_idx").alias("start_idx")
+        *keys, "policy", F.col("month").alias("start_month"), F.col("month_idx").alias("start_idx")
     )
-    reach = starts.withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(periods))))
-    ahead = labelled.select(F.col("month_idx").alias("_idx"), "pct_change")
-    pairs = reach.join(ahead, F.col("start_idx") + F.col("lead") == F.col("_idx"))
+    reach = starts.withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(periods)))).withColumn("_idx", F.col("start_idx") + F.col("lead"))
+    pairs = reach.join(labelled.select(*keys, F.col("month_idx").alias("_idx"), "pct_change"), [*keys, "_idx"])
     covered = pairs.withColumn("period", F.explode(F.sequence(F.col("lead"), F.lit(periods))))
-    return covered.groupBy("policy", "start_month", "start_idx", "period").agg(F.avg("pct_change").alias("avg_change"))
+    return covered.groupBy(*keys, "policy", "start_month", "start_idx", "period").agg(F.avg("pct_change").alias("avg_change"))
 
 
 def join_lag_effect(
-    labelled: DataFrame, effects: DataFrame, targets: DataFrame | None = None, periods: int = HORIZON, as_of: bool = False
+    labelled: DataFrame, effects: DataFrame, targets: DataFrame | None = None, periods: int = HORIZON, as_of: bool = False,
+    series: list[str] | None = None,
 ) -> DataFrame:
-    """(target_month, target_idx, month, policy, lag, start_month, avg_change): candidates of every target month.
+    """(*series, target_month, target_idx, month, policy, lag, start_month, avg_change): candidates of every target month.
 
     A candidate is a policy month one to `periods` months before the target. It meets each occurrence
     of its policy with the same period, so rows multiply. Targets default to all months present.
-    Effects may lie after the target; `as_of=True` keeps those that end no later than it.
+    Effects may lie after the target; `as_of=True` keeps those that end no later than it. With `series`, all of it
+    happens within a series.
     """
+    keys = series or []
     if targets is None:
-        targets = labelled.select("month", "month_idx")
-    targets = targets.select(F.col("month").alias("target_month"), F.col("month_idx").alias("target_idx"))
-    back = targets.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(periods))))
-    policies = labelled.where(F.col("policy").isNotNull()).select("month", "month_idx", "policy")
-    candidates = back.join(policies, F.col("target_idx") - F.col("lag") == F.col("month_idx")).drop("month_idx")
-    on = (candidates.policy == effects.policy) & (candidates.lag == effects.period)
+        targets = labelled.select(*keys, "month", "month_idx")
+    targets = targets.select(*keys, F.col("month").alias("target_month"), F.col("month_idx").alias("target_idx"))
+    back = targets.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(periods)))).withColumn("month_idx", F.col("target_idx") - F.col("lag"))
+    policies = labelled.where(F.col("policy").isNotNull()).select(*keys, "month", "month_idx", "policy")
+    candidates = back.join(policies, [*keys, "month_idx"]).drop("month_idx").alias("c")
+    known = effects.alias("e")
+    on = (F.col("c.policy") == F.col("e.policy")) & (F.col("c.lag") == F.col("e.period"))
+    for key in keys:
+        on = on & (F.col(f"c.{key}") == F.col(f"e.{key}"))
     if as_of:
-        on = on & (effects.start_idx + effects.period <= candidates.target_idx)
-    return candidates.join(effects, on, "left").select(
-        "target_month", "target_idx", "month", candidates.policy, "lag", "start_month", "avg_change"
+        on = on & (F.col("e.start_idx") + F.col("e.period") <= F.col("c.target_idx"))
+    return candidates.join(known, on, "left").select(
+        *[F.col(f"c.{key}") for key in keys], "target_month", "target_idx", "month", "c.policy", "lag", "start_month", "avg_change"
     )
 
 
-def effect_winner(candidates: DataFrame) -> DataFrame:
-    """(target_month, month, policy, avg_change): the candidate with the largest absolute effect.
+def effect_winner(candidates: DataFrame, series: list[str] | None = None) -> DataFrame:
+    """(*series, target_month, month, policy, avg_change): the candidate with the largest absolute effect.
 
     Missing effects come last; ties go to the earlier month, then to the lower policy.
     """
+    keys = series or []
     strength = round_key(F.abs("avg_change"))
-    best = Window.partitionBy("target_month").orderBy(
+    best = Window.partitionBy(*keys, "target_month").orderBy(
         F.desc_nulls_last("_strength"), F.asc("month"), F.asc("policy"), F.asc("start_month")
     )
     ranked = candidates.withColumn("_strength", strength).withColumn("_r", F.row_number().over(best))
-    return ranked.where(F.col("_r") == 1).select("target_month", "month", "policy", "avg_change")
+    return ranked.where(F.col("_r") == 1).select(*keys, "target_month", "month", "policy", "avg_change")
 
 
-def asof_policy(labelled: DataFrame) -> DataFrame:
-    """Per month the latest policy at or before it, null before the first."""
-    upto = Window.orderBy("month_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return labelled.select("month", F.last("policy", ignorenulls=True).over(upto).alias("policy"))
+def asof_policy(labelled: DataFrame, series: list[str] | None = None) -> DataFrame:
+    """(*series, month, policy): per month the latest policy at or before it, null before the first."""
+    keys = series or []
+    upto = Window.partitionBy(*keys).orderBy("month_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return labelled.select(*keys, "month", F.last("policy", ignorenulls=True).over(upto).alias("policy"))

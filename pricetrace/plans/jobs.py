@@ -61,34 +61,36 @@ def price_change_range(trades: DataFrame, start: str, end: str) -> DataFrame:
     return prices.month_range(prices.monthly_price_change(trades), start, end)
 
 
-def target_winners(labelled: DataFrame, as_of: bool = False) -> DataFrame:
-    """(target_month, month, policy, avg_change) for all target months that have a candidate."""
-    candidates = effects.join_lag_effect(labelled, effects.policy_effect(labelled), as_of=as_of)
-    return effects.effect_winner(candidates)
+def target_winners(labelled: DataFrame, as_of: bool = False, series: list[str] | None = None) -> DataFrame:
+    """(*series, target_month, month, policy, avg_change) for all target months that have a candidate."""
+    known = effects.policy_effect(labelled, series=series)
+    return effects.effect_winner(effects.join_lag_effect(labelled, known, as_of=as_of, series=series), series)
 
 
 def trace_articles(
     trades: DataFrame, articles: DataFrame, words: Keywords, target_month: str | None = None, top: int = 3, as_of: bool = False,
-    observation: Observation | None = None,
+    observation: Observation | None = None, series: list[str] | None = None,
 ) -> DataFrame:
-    """(target_month, month, policy, rank, cnt, article columns, article_url).
+    """(*series, target_month, month, policy, rank, cnt, article columns, article_url).
 
     For every target month: the policy month before it with the strongest price effect, and that
     month's top-ranked articles on the policy. Only narrow counts of the texts are kept between the
     steps; the article rows themselves are met once, by a table of the picked ids. `observation` receives the number of
-    rows (`articles`) and of those with a body (`with_body`) when the result is first computed.
+    rows (`articles`) and of those with a body (`with_body`) when the result is first computed. `series` names columns of the
+    trades, a region for instance, that are traced each on its own.
     """
+    keys = series or []
     counts = Staged(keywords.article_counts(articles, words), "article-counts")
     types = monthly.assign_policy_type(keywords.weighted_counts(counts.df))
-    changes = stage(effects.join_change_policy(prices.monthly_price_change(trades), types), "changes")
-    winners = target_winners(changes, as_of)
+    changes = stage(effects.join_change_policy(prices.monthly_price_change(trades, series), types), "changes")
+    winners = target_winners(changes, as_of, series)
     if target_month is not None:
         winners = winners.where(F.col("target_month") == target_month)
     # Labels are needed only in the months and policies that won.
     labelled = keywords.label_articles(counts.df).join(winners.select("month", "policy").distinct(), ["month", "policy"], "left_semi")
     ranked = ranking.rank_articles(labelled, top)
     # An id may stand for several article rows; each of them is met once per target month.
-    picks = winners.join(ranked, ["month", "policy"]).groupBy("target_month", "month", "policy", "article_id")
+    picks = winners.join(ranked, ["month", "policy"]).groupBy(*keys, "target_month", "month", "policy", "article_id")
     picks = stage(picks.agg(F.min("rank").alias("rank"), F.max("cnt").alias("cnt")), "picks")
     counts.discard()
     # The filter says nothing new, but with it the planner prunes the months of the articles by those of the picks.
@@ -97,7 +99,7 @@ def trace_articles(
         chosen = chosen.where(F.col("target_month") == target_month)
     url = article_url(F.col("newspaper_id"), F.col("article_id"))
     traced = articles.join(chosen, ["month", "article_id"]).select(
-        "target_month", "month", "policy", "rank", "cnt", *ARTICLE_COLUMNS, url.alias("article_url")
+        *keys, "target_month", "month", "policy", "rank", "cnt", *ARTICLE_COLUMNS, url.alias("article_url")
     )
     if observation is None:
         return traced
