@@ -30,9 +30,9 @@ class Forest:
 
     Two classes with similarity s meet in one of `orders` orders with probability 1 - (1 - s ** depth) ** orders: for
     0.8 that is 0.99997. The first pass takes `first` orders and compares `region` classes at once, the second takes all
-    orders and compares up to `wide` classes that are not of one component. A pair whose signatures agree in less than
-    `likely` of their values is not confirmed (a pair at 0.8 falls below that with probability 0.001, in which case they can still meet through others); one that
-    agrees in `sure` counts as connected when spanning links are chosen.
+    orders and compares up to `wide` classes that are not of one component. A pair whose signatures of
+    `sketch` values agree in less than `likely` of them is not confirmed (a pair at 0.8 falls below that with probability
+    0.001, and may still be joined through others); one that agrees in `sure` counts as connected when spanning links are chosen.
     """
 
     width: int = 5
@@ -42,8 +42,9 @@ class Forest:
     first: int = 6
     region: int = 128
     wide: int = 8_192
-    likely: float = 0.66
-    sure: float = 0.93
+    sketch: int = 240
+    likely: float = 0.72
+    sure: float = 0.9
 
     @property
     def values(self) -> int:
@@ -51,16 +52,16 @@ class Forest:
 
 
 def signatures(df: DataFrame, forest: Forest, key: str, text: str) -> DataFrame:
-    """(key, n, s1, s2, sig, regions) per row: set size and identity, a byte per MinHash value, a hash per order's first values."""
+    """(key, n, s1, s2, sig, regions) per row: set size and identity, a byte per value, a hash per order's first values."""
     rng = np.random.Generator(np.random.PCG64(99))
-    factors = rng.integers(1 << 63, size=forest.values, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    factors = rng.integers(1 << 63, size=forest.sketch, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     salts = rng.integers(1 << 63, size=forest.depth + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     schema = f"{df.select(key).schema[0].simpleString().replace(':', ' ', 1)}, n bigint, s1 bigint, s2 bigint, sig binary, regions array<bigint>"
 
     def values(hashes: np.ndarray) -> np.ndarray:
-        least = np.full(forest.values, np.iinfo(np.uint64).max, dtype=np.uint64)
-        for start in range(0, len(hashes), 4096):
-            np.minimum(least, (hashes[start : start + 4096, None] * factors).min(axis=0), out=least)
+        least = np.full(forest.sketch, np.iinfo(np.uint64).max, dtype=np.uint64)
+        for start in range(0, len(hashes), 1024):
+            np.minimum(least, (hashes[start : start + 1024, None] * factors).min(axis=0), out=least)
         return mix(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +75,7 @@ def signatures(df: DataFrame, forest: Forest, key: str, text: str) -> DataFrame:
                     second.append(mix(hashes + np.uint64(77)).sum(dtype=np.uint64))
                     found = values(hashes)
                     bytes_.append((found >> np.uint64(56)).astype(np.uint8).tobytes())
-                    heads = found.reshape(forest.orders, forest.depth) * salts[:-1]
+                    heads = found[: forest.values].reshape(forest.orders, forest.depth) * salts[:-1]
                     regions.append(mix(heads.sum(axis=1, dtype=np.uint64) + np.arange(forest.orders, dtype=np.uint64) * salts[-1]).view(np.int64))
                 own = lambda numbers: pa.array(np.array(numbers, dtype=np.uint64).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * forest.orders), pa.array(np.concatenate(regions)))
@@ -84,7 +85,7 @@ def signatures(df: DataFrame, forest: Forest, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def nearest(names: np.ndarray, groups: np.ndarray, sigs: np.ndarray, forest: Forest) -> list[tuple]:
+def nearest(names: np.ndarray, groups: np.ndarray, sigs: np.ndarray, earlier: np.ndarray, forest: Forest) -> list[tuple]:
     """Pairs of the first pass: each class with the one before it and with the likeliest of its piece, if these are likely."""
     agree = (sigs[:, None, :] == sigs[None, :, :]).mean(axis=2)
     agree[groups[:, None] == groups[None, :]] = 0
@@ -94,10 +95,11 @@ def nearest(names: np.ndarray, groups: np.ndarray, sigs: np.ndarray, forest: For
     return list(zip(names[pairs[:, 0]], names[pairs[:, 1]], strict=True))
 
 
-def spanning(names: np.ndarray, groups: np.ndarray, sigs: np.ndarray, forest: Forest) -> list[tuple]:
+def spanning(names: np.ndarray, groups: np.ndarray, sigs: np.ndarray, earlier: np.ndarray, forest: Forest) -> list[tuple]:
     """Pairs to confirm among some classes: a forest of the sure ones, and every likely one between what is then apart.
 
-    Only classes outside the largest group are compared, with all others.
+    Only classes outside the largest group are compared, with all others. `earlier` are the classes' regions in the orders
+    before this one: a pair that shares one of them has been compared there, and is left out.
     """
     labels, group, sizes = np.unique(groups, return_inverse=True, return_counts=True)
     group, pairs = group.reshape(-1), []
@@ -107,6 +109,8 @@ def spanning(names: np.ndarray, groups: np.ndarray, sigs: np.ndarray, forest: Fo
         some = rows[start : start + 32]
         agree = (sigs[some][:, None, :] == sigs[None, :, :]).mean(axis=2)
         agree[group[some][:, None] == group[None, :]] = 0
+        for column in earlier.T:
+            agree[column[some][:, None] == column[None, :]] = 0
         for i, b in zip(*np.nonzero(agree >= forest.sure), strict=True):
             x, y = group[some[i]], group[b]
             if x != y:
@@ -120,7 +124,7 @@ def spanning(names: np.ndarray, groups: np.ndarray, sigs: np.ndarray, forest: Fo
 
 
 def candidates(rows: DataFrame, forest: Forest, region: int, choose: Callable) -> DataFrame:
-    """Distinct (a, b) with a < b from rows (region, order, node, group, sig); nodes of one group are no candidates.
+    """Distinct (a, b) with a < b from rows (region, order, node, group, sig, regions); nodes of one group are no candidates.
 
     The rows are sorted by region and the values after its own, in ranges that may cut a region. Where a task's first
     row continues the region of the last one before it, the two are a pair as well. Up to `region` rows are compared
@@ -143,13 +147,16 @@ def candidates(rows: DataFrame, forest: Forest, region: int, choose: Callable) -
             regions = table["region"].to_numpy()
             cuts = np.flatnonzero(np.diff(regions)) + 1
             sigs = np.frombuffer(b"".join(table["sig"]), dtype=np.uint8).reshape(len(table), -1)
-            nodes, groups = table["node"].to_numpy(), table["group"].to_numpy()
+            nodes, groups, orders = table["node"].to_numpy(), table["group"].to_numpy(), table["order"].to_numpy()
+            every = np.stack(table["regions"].to_numpy())
             for a, b in zip([0, *cuts], [*cuts, len(table)], strict=True):
                 if b - a < 2 or (groups[a:b] == groups[a]).all():
                     continue
+                # What shares an earlier region was compared there, unless that one was too large; then this one is large too.
+                earlier = every[:, : orders[a] if 8 * (b - a) <= region else 0]
                 for c in range(a, b, max(1, region // 2)):
                     d = min(b, c + region)
-                    pairs += choose(nodes[c:d], groups[c:d], sigs[c:d], forest)
+                    pairs += choose(nodes[c:d], groups[c:d], sigs[c:d], earlier[c:d], forest)
                     if d == b:
                         break
             return pairs
@@ -175,7 +182,7 @@ def candidates(rows: DataFrame, forest: Forest, region: int, choose: Callable) -
             yield pd.DataFrame([(min(p), max(p), part, "", 0, 0) for p in settle(kept)], columns=names)
             yield mark(last, "last")
 
-    found = Staged(ranged.select("region", "node", "group", "sig").mapInPandas(run, schema), "candidates").df
+    found = Staged(ranged.select("region", "order", "node", "group", "sig", "regions").mapInPandas(run, schema), "candidates").df
     order = Window.partitionBy(F.lit(0)).orderBy("part", F.when(F.col("place") == "first", 0).otherwise(1))  # two rows a task
     edge = found.where("place <> ''").withColumn("before", F.lag("a").over(order)).withColumn("near", F.lag("region").over(order)).withColumn("of", F.lag("grp").over(order))
     edge = edge.where("place = 'first' AND region = near AND grp <> of").select(F.least("a", "before").alias("a"), F.greatest("a", "before").alias("b"))
@@ -228,7 +235,7 @@ def near_duplicates(df: DataFrame, forest: Forest = Forest(), key: str = "doc_id
     nodes = meeting.select("node").distinct()
     docs = df.select(F.col(key).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     texts = Staged(docs.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_set("_t").alias("texts")), "texts").df
-    sigs = classes.select("node", "sig")
+    sigs = classes.select("node", "sig", "regions")
     firsts = meeting.where(F.col("order") < forest.first).join(sigs, "node").withColumn("group", F.col("node"))
     links = Staged(confirmed(candidates(firsts, forest, forest.region, nearest), texts, forest), "links").df
     known = connected_components(links)
