@@ -84,6 +84,22 @@ def test_large_regions_are_cut_along_their_order(spark):
     assert got == want
 
 
+def crowded(spark, small):
+    """Rows of a pass: nodes 0 and 1 agree in 5/6 of their values, are far apart in region 7 among 60 others, and share the regions `small`."""
+    rng = random.Random(5)
+    alike = [bytes([0]) + bytes(239), bytes([255] * 40) + bytes(200)]
+    sigs = alike + [bytes([100]) + rng.randbytes(239) for _ in range(60)]
+    own = [[7] + [r if node < 2 else 100 * node + r for r in (8, 9)] for node in range(62)]
+    rows = [(regions[o], o, node, node, sigs[node], regions) for node, regions in enumerate(own) for o in range(3) if o == 0 or regions[o] in small]
+    names = "region bigint, order int, node bigint, group bigint, sig binary, regions array<bigint>"
+    return spark.createDataFrame([(r, o, n, g, bytearray(s), x) for r, o, n, g, s, x in rows], names)
+
+
+def test_a_region_that_was_cut_does_not_hide_a_later_one(spark):
+    found = near_dedup.candidates(crowded(spark, [8, 9]), near_dedup.Forest(wide=16), 16, near_dedup.spanning)
+    assert (0, 1) in {tuple(r) for r in found.collect()}
+
+
 def test_shingle_hashes_count_like_sets():
     texts = ["", " ", "a b c d", "a b c", "A B c d e a b c d", "é è x\x0by z", None, "x " * 5000]
     assert [len(s) for s in shingle_sets(pa.array(texts), 4)] == [len(shingles(t)) for t in texts]
