@@ -2,10 +2,10 @@
 
 Documents with equal shingle sets are one class. A class's signature is read from several starting places, each an order
 of the forest: classes that share the first values there are a region, and within a region, sorted by the values that
-follow, those with the longest common prefixes stand together. Small regions are compared as a whole; larger ones are cut
-along the order, which is the same as going as deep as the region needs. Candidates are confirmed on full shingle
-sets; components of the confirmed links are the groups. A first pass over a few orders links each class to its nearest
-ones, the second over all orders takes every likely pair between what is still apart.
+follow, those with the longest common prefixes stand together. A first pass over a few orders goes along them and links
+each class to its nearest ones; the second over all orders compares every region as a whole, a large one block by block,
+and takes every likely pair between what is still apart. Candidates are confirmed on full shingle sets; components of the
+confirmed links are the groups.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ class Forest:
 
     Two classes with similarity s meet in one of `orders` orders with probability 1 - (1 - s ** depth) ** orders: for
     0.8 that is 0.99997. The first pass takes `first` orders and compares `region` classes at once, the second takes all
-    orders and compares up to `wide` classes that are not of one component. A pair whose signatures of
+    orders and compares all classes of a region that are not of one component, at most about `wide` at once. A pair whose signatures of
     `sketch` values agree in less than `likely` of them is not confirmed (a pair at 0.8 falls below that with probability
     0.001, and may still be joined through others); one that agrees in `sure` counts as connected when spanning links are chosen.
     """
@@ -95,10 +95,14 @@ def nearest(names: np.ndarray, groups: np.ndarray, sigs: np.ndarray, forest: For
     return list(zip(names[pairs[:, 0]], names[pairs[:, 1]], strict=True))
 
 
-def spanning(names: np.ndarray, groups: np.ndarray, sigs: np.ndarray, forest: Forest) -> list[tuple]:
+def spanning(
+    names: np.ndarray, groups: np.ndarray, sigs: np.ndarray, forest: Forest, earlier: np.ndarray | None = None, sides: np.ndarray | None = None,
+) -> list[tuple]:
     """Pairs to confirm among some classes: a forest of the sure ones, and every likely one between what is then apart.
 
-    Only classes outside the largest group are compared, with all others.
+    Only classes outside the largest group are compared, with all others. `earlier` are the classes' regions in orders
+    in which all that share a region are compared: a pair that shares one of them is left out. If there are two `sides`,
+    only pairs between them are taken.
     """
     labels, group, sizes = np.unique(groups, return_inverse=True, return_counts=True)
     group, pairs = group.reshape(-1), []
@@ -108,6 +112,10 @@ def spanning(names: np.ndarray, groups: np.ndarray, sigs: np.ndarray, forest: Fo
         some = rows[start : start + 32]
         agree = (sigs[some][:, None, :] == sigs[None, :, :]).mean(axis=2)
         agree[group[some][:, None] == group[None, :]] = 0
+        for column in earlier.T if earlier is not None else ():
+            agree[column[some][:, None] == column[None, :]] = 0
+        if sides is not None and (sides != sides[0]).any():
+            agree[sides[some][:, None] == sides[None, :]] = 0
         for i, b in zip(*np.nonzero(agree >= forest.sure), strict=True):
             x, y = group[some[i]], group[b]
             if x != y:
@@ -183,6 +191,54 @@ def candidates(rows: DataFrame, forest: Forest, region: int, choose: Callable) -
     return found.where("place = ''").select("a", "b").unionByName(edge).where("a <> b").distinct()
 
 
+def compared(rows: DataFrame, sigs: DataFrame, forest: Forest) -> DataFrame:
+    """Distinct (a, b) with a < b from rows (region, order, node, group) and their (node, sig, regions).
+
+    A region of up to `wide` rows is one piece. A larger one is dealt into blocks of half as many, and each two blocks meet
+    in a piece. A piece is never cut, so all pairs of a region are compared, and one that shares the region of an earlier
+    order needs no second look. Regions of a single group are left out.
+    """
+    sizes = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
+    blocks = F.when(F.col("n") > forest.wide, F.ceil(F.col("n") * 2 / forest.wide)).otherwise(1)
+    dealt = rows.join(sizes.select("region", blocks.cast("int").alias("blocks")), "region")
+    dealt = dealt.withColumn("side", F.expr("CAST(pmod(xxhash64(node), blocks) AS INT)"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("region", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "order", "node", "group")
+    place = ["region", "low", "high"]
+    whole = met.join(sigs, "node").repartition(*place).sortWithinPartitions(*place, "node")
+
+    def settle(table: pd.DataFrame) -> pd.DataFrame:
+        pairs: list[tuple] = []
+        cuts = np.flatnonzero(table[place].ne(table[place].shift()).any(axis=1))
+        for a, b in zip(cuts, [*cuts[1:], len(table)], strict=True):
+            piece = table.iloc[a:b]
+            groups = piece["group"].to_numpy()
+            if (groups != groups[0]).any():
+                own = np.frombuffer(b"".join(piece["sig"]), dtype=np.uint8).reshape(b - a, -1)
+                earlier = np.stack(piece["regions"].to_numpy())[:, : piece["order"].iloc[0]]
+                pairs += spanning(piece["node"].to_numpy(), groups, own, forest, earlier, piece["side"].to_numpy())
+        return pd.DataFrame([(min(p), max(p)) for p in pairs], columns=["a", "b"], dtype="int64")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            here = batch[place].eq(batch[place].iloc[-1]).all(axis=1).to_numpy()
+            cut = 0 if here.all() else int(np.flatnonzero(~here)[-1]) + 1
+            if kept and (cut or not kept[-1][place].iloc[-1].equals(batch[place].iloc[0])):
+                yield settle(pd.concat([*kept, batch.iloc[:cut]], ignore_index=True))
+                kept = []
+            elif cut:
+                yield settle(batch.iloc[:cut])
+            kept.append(batch.iloc[cut:])
+        if kept:
+            yield settle(pd.concat(kept, ignore_index=True))
+
+    found = whole.select(*place, "side", "order", "node", "group", "sig", "regions").mapInPandas(run, "a bigint, b bigint")
+    return found.where("a <> b").distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
     """The pairs of which some texts are similar enough, by their full shingle sets. `texts` has (node, texts)."""
     left = texts.select(F.col("node").alias("a"), F.col("texts").alias("ta"))
@@ -229,12 +285,12 @@ def near_duplicates(df: DataFrame, forest: Forest = Forest(), key: str = "doc_id
     nodes = meeting.select("node").distinct()
     docs = df.select(F.col(key).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     texts = Staged(docs.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_set("_t").alias("texts")), "texts").df
-    sigs = classes.select("node", "sig")
-    firsts = meeting.where(F.col("order") < forest.first).join(sigs, "node").withColumn("group", F.col("node"))
+    sigs = classes.select("node", "sig", "regions")
+    firsts = meeting.where(F.col("order") < forest.first).join(sigs.drop("regions"), "node").withColumn("group", F.col("node"))
     links = Staged(confirmed(candidates(firsts, forest, forest.region, nearest), texts, forest), "links").df
     known = connected_components(links)
-    rows = meeting.join(sigs, "node").join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    more = confirmed(candidates(rows, forest, forest.wide, spanning), texts, forest)
+    rows = Staged(meeting.join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), "rows").df
+    more = confirmed(Staged(compared(rows, sigs, forest), "pairs").df, texts, forest)
     members = table.join(classes.select(*identity, F.col("node").alias("rep")), identity, "left")
     several = members.where("rep IS NOT NULL").groupBy("node").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("node")
     bridges = members.join(several, "node").where("rep IS NOT NULL").select(F.col("node").alias("a"), F.col("rep").alias("b"))

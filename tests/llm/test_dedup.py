@@ -100,6 +100,14 @@ def test_a_region_that_was_cut_does_not_hide_a_later_one(spark):
     assert (0, 1) in {tuple(r) for r in found.collect()}
 
 
+def test_a_region_above_wide_is_compared_whole(spark):
+    rows = crowded(spark, [])
+    assert rows.where("region <> 7").count() == 0
+    sigs = rows.select("node", "sig", "regions")
+    found = near_dedup.compared(rows.drop("sig", "regions"), sigs, near_dedup.Forest(wide=16)).collect()
+    assert [tuple(r) for r in found] == [(0, 1)]
+
+
 def test_shingle_hashes_count_like_sets():
     texts = ["", " ", "a b c d", "a b c", "A B c d e a b c d", "é è x\x0by z", None, "x " * 5000]
     assert [len(s) for s in shingle_sets(pa.array(texts), 4)] == [len(shingles(t)) for t in texts]
