@@ -11,7 +11,7 @@ confirmed links are the groups.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -32,7 +32,8 @@ class Forest:
     0.8 that is 0.99997. The first pass takes `first` orders and compares `region` classes at once, the second takes all
     orders and compares all classes of a region that are not of one component, at most about `wide` at once. A pair whose signatures of
     `sketch` values agree in less than `likely` of them is not confirmed (a pair at 0.8 falls below that with probability
-    0.001, and may still be joined through others); one that agrees in `sure` counts as connected when spanning links are chosen.
+    2e-7); one that agrees in `sure` counts as connected when spanning links are chosen. Where one of those is then
+    refused, the region is compared again without that.
     """
 
     width: int = 5
@@ -43,7 +44,7 @@ class Forest:
     region: int = 128
     wide: int = 8_192
     sketch: int = 240
-    likely: float = 0.72
+    likely: float = 0.66
     sure: float = 0.9
 
     @property
@@ -192,7 +193,7 @@ def candidates(rows: DataFrame, forest: Forest, region: int, choose: Callable) -
 
 
 def compared(rows: DataFrame, sigs: DataFrame, forest: Forest) -> DataFrame:
-    """Distinct (a, b) with a < b from rows (region, order, node, group) and their (node, sig, regions).
+    """Distinct (a, b, sure) with a < b from rows (region, order, node, group) and their (node, sig, regions).
 
     A region of up to `wide` rows is one piece. A larger one is dealt into blocks of half as many, and each two blocks meet
     in a piece. A piece is never cut, so all pairs of a region are compared, and one that shares the region of an earlier
@@ -216,8 +217,10 @@ def compared(rows: DataFrame, sigs: DataFrame, forest: Forest) -> DataFrame:
             if (groups != groups[0]).any():
                 own = np.frombuffer(b"".join(piece["sig"]), dtype=np.uint8).reshape(b - a, -1)
                 earlier = np.stack(piece["regions"].to_numpy())[:, : piece["order"].iloc[0]]
-                pairs += spanning(piece["node"].to_numpy(), groups, own, forest, earlier, piece["side"].to_numpy())
-        return pd.DataFrame([(min(p), max(p)) for p in pairs], columns=["a", "b"], dtype="int64")
+                at = spanning(np.arange(b - a), groups, own, forest, earlier, piece["side"].to_numpy())
+                nodes = piece["node"].to_numpy()
+                pairs += [(*sorted((nodes[x], nodes[y])), (own[x] == own[y]).mean() >= forest.sure) for x, y in at]
+        return pd.DataFrame(pairs, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": bool})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
@@ -235,10 +238,18 @@ def compared(rows: DataFrame, sigs: DataFrame, forest: Forest) -> DataFrame:
         if kept:
             yield settle(pd.concat(kept, ignore_index=True))
 
-    found = whole.select(*place, "side", "order", "node", "group", "sig", "regions").mapInPandas(run, "a bigint, b bigint")
+    found = whole.select(*place, "side", "order", "node", "group", "sig", "regions").mapInPandas(run, "a bigint, b bigint, sure boolean")
     return found.where("a <> b").distinct()
 
 
+def refused_regions(pairs: DataFrame, more: DataFrame, rows: DataFrame) -> DataFrame:
+    """The regions that hold both sides of a sure pair which was not confirmed: others there were taken as connected by it."""
+    refused = pairs.where("sure").join(more, ["a", "b"], "left_anti")
+    left = rows.select(F.col("node").alias("a"), "region")
+    right = rows.select(F.col("node").alias("b"), "region")
+    return refused.join(left, "a").join(right, ["b", "region"]).select("region").distinct()
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
     """The pairs of which some texts are similar enough, by their full shingle sets. `texts` has (node, texts)."""
     left = texts.select(F.col("node").alias("a"), F.col("texts").alias("ta"))
@@ -289,8 +300,15 @@ def near_duplicates(df: DataFrame, forest: Forest = Forest(), key: str = "doc_id
     firsts = meeting.where(F.col("order") < forest.first).join(sigs.drop("regions"), "node").withColumn("group", F.col("node"))
     links = Staged(confirmed(candidates(firsts, forest, forest.region, nearest), texts, forest), "links").df
     known = connected_components(links)
-    rows = Staged(meeting.join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), "rows").df
-    more = confirmed(Staged(compared(rows, sigs, forest), "pairs").df, texts, forest)
+    grouped = lambda rows, found: rows.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    rows = Staged(grouped(meeting, known), "rows").df
+    pairs = Staged(compared(rows, sigs, forest), "pairs").df
+    more = Staged(confirmed(pairs.select("a", "b"), texts, forest), "more").df
+    again = Staged(refused_regions(pairs, more, rows), "refused").df
+    if not again.isEmpty():
+        apart = Staged(grouped(meeting.join(again, "region", "left_semi"), connected_components(links.unionByName(more))), "apart").df
+        offered = compared(apart, sigs, replace(forest, sure=2.0)).join(pairs, ["a", "b"], "left_anti")
+        more = more.unionByName(confirmed(offered.select("a", "b"), texts, forest))
     members = table.join(classes.select(*identity, F.col("node").alias("rep")), identity, "left")
     several = members.where("rep IS NOT NULL").groupBy("node").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("node")
     bridges = members.join(several, "node").where("rep IS NOT NULL").select(F.col("node").alias("a"), F.col("rep").alias("b"))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -105,7 +106,21 @@ def test_a_region_above_wide_is_compared_whole(spark):
     assert rows.where("region <> 7").count() == 0
     sigs = rows.select("node", "sig", "regions")
     found = near_dedup.compared(rows.drop("sig", "regions"), sigs, near_dedup.Forest(wide=16)).collect()
-    assert [tuple(r) for r in found] == [(0, 1)]
+    assert [(r["a"], r["b"]) for r in found] == [(0, 1)]
+
+
+def test_estimates_lose_less_than_the_forest():
+    forest = near_dedup.Forest()
+    below = sum(math.comb(forest.sketch, k) * 0.8**k * 0.2 ** (forest.sketch - k) for k in range(math.ceil(forest.likely * forest.sketch)))
+    assert below < 0.1 * (1 - 0.8**forest.depth) ** forest.orders
+
+
+def test_a_refused_sure_link_hides_no_other(spark):
+    texts = dict(enumerate(t for _ in range(6) for t in family(random.Random(21 + _), 8, 12)))
+    eager = near_dedup.Forest(width=4, depth=1, first=1, region=2, likely=0.3, sure=0.3)
+    table = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(table, eager).collect()}
+    assert got == groups(texts)
 
 
 def test_shingle_hashes_count_like_sets():
