@@ -26,7 +26,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 @cache
 def rank_encoder(ranks: str):
-    """Encoder of a rank file; the same ids as the `tokenizers` file of the same vocabulary, at several times its speed."""
+    """Encoder of a rank file; the same ids as the `tokenizers` file of the same vocabulary for texts without added tokens, at several times its speed."""
     import base64
 
     import public_tokenizers
@@ -41,9 +41,13 @@ def rank_encoder(ranks: str):
 def json_encoder(path: str):
     from tokenizers import Tokenizer
 
-    encoder = Tokenizer.from_file(path)
-    encoder.encode_special_tokens = True
-    return encoder
+    return Tokenizer.from_file(path)
+
+
+@cache
+def added_tokens(path: str) -> tuple[str, ...]:
+    """Tokens that the `tokenizers` file takes as one id wherever a text holds them; the rank file has none."""
+    return tuple(token.content for token in json_encoder(path).get_added_tokens_decoder().values())
 
 
 #: Characters beyond which a text goes through `tokenizers`: the rank encoder's matcher keeps state per character of a run.
@@ -52,7 +56,7 @@ LONG_TEXT = 500_000
 
 def token_ids(text: str, vocabulary: str) -> np.ndarray:
     """Ids of a text and the end mark 0. `vocabulary` is the path of the files without `.json` and `.tiktoken`."""
-    if len(text) > LONG_TEXT:
+    if len(text) > LONG_TEXT or any(token in text for token in added_tokens(f"{vocabulary}.json")):
         ids = json_encoder(f"{vocabulary}.json").encode(text, add_special_tokens=False).ids
     else:
         ids = rank_encoder(f"{vocabulary}.tiktoken").encode_ordinary(text)

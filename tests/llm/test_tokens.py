@@ -21,6 +21,15 @@ def test_ids_are_those_of_the_tokenizers_file(spark):
         assert packing.token_ids(text, vocabulary).tolist() == [*want, 0]
 
 
+def test_added_tokens_are_one_id():
+    from tokenizers import Tokenizer
+
+    vocabulary = packing.default_vocabulary()
+    plain = Tokenizer.from_file(f"{vocabulary}.json")
+    for text in ("the mark <|endoftext|> ends a text", "<|endoftext|><|endoftext|>", "a<|endoftext|", "<|endoftext|>" + "word " * 110_000):
+        assert packing.token_ids(text, vocabulary).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0]
+
+
 def check_packing(rows, texts, window=1024):
     vocabulary = packing.default_vocabulary()
     by_doc, by_sequence = {}, {}
