@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrace.llm import exact_dedup, mixing, near_dedup, neighbours, packing, pii, repeats, secret_scan, sharding, toxicity
+from pricetrace.llm import exact_dedup, manifest, mixing, near_dedup, neighbours, packing, pii, repeats, secret_scan, sharding, toxicity
 from pricetrace.scratch import Staged
 from pricetrace.sources.tables import read_table
 
@@ -120,3 +120,72 @@ def op8_repeated_passages(spark, sf):
 def op7_nearest_neighbours(spark, sf):
     table = read_table(spark, f"{sf}/embeddings.parquet", "vec_id bigint, embedding array<float>")
     return neighbours.nearest_neighbours(table, table.where("vec_id % 20 = 0"))
+
+
+def _encoded(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR) END"
+
+
+def _leaf_sql(n_chars: str = "n_chars") -> str:
+    return f"sha256({' || '.join(_encoded(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+#: Unsigned CRC-32 of an ASCII text in DuckDB: a table of 256 entries, then one step per character.
+_CRC_ROUND = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+_CRC_CTES = f"""
+  bits AS (SELECT CAST(i AS UBIGINT) AS i, CAST(i AS UBIGINT) AS c, 0 AS k FROM range(256) r(i)
+    UNION ALL SELECT i, {_CRC_ROUND.format('c')}, k + 1 FROM bits WHERE k < 8),
+  crc AS (SELECT list(c ORDER BY i) AS entries FROM bits WHERE k = 8)"""
+
+
+def _crc_sql(text: str) -> str:
+    steps = f"list_concat([CAST(4294967295 AS UBIGINT)], list_transform(string_split({text}, ''), lambda x: CAST(ord(x) AS UBIGINT)))"
+    return f"xor(list_reduce({steps}, lambda c, b: xor(c >> 8, entries[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295)"
+
+
+MANIFEST_SQL = f"""
+  WITH RECURSIVE {_CRC_CTES},
+  rows AS (SELECT row_number() OVER () AS id, doc_id, lang, {_leaf_sql()} AS leaf,
+      CASE WHEN doc_id IS NOT NULL AND {_crc_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql()} END AS other
+    FROM documents, crc),
+  leaves AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM rows
+    WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, id)),
+  low AS (SELECT lang, 0 AS level, pos, n AS width, leaf AS node FROM leaves
+    UNION ALL SELECT lang, level + 1, pos // 2, (width + 1) // 2, sha256(string_agg(node, '' ORDER BY pos))
+    FROM low WHERE width > 1 GROUP BY lang, level, pos // 2, width),
+  subs AS (SELECT lang, node AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE width = 1),
+  high AS (SELECT 0 AS level, pos, n AS width, subroot AS node FROM subs
+    UNION ALL SELECT level + 1, pos // 2, (width + 1) // 2, sha256(string_agg(node, '' ORDER BY pos))
+    FROM high WHERE width > 1 GROUP BY level, pos // 2, width),
+  ways AS (
+    SELECT l.id, a.level AS step, (l.pos >> a.level) % 2 AS side, b.node AS sibling FROM leaves l
+      JOIN low a ON a.lang IS NOT DISTINCT FROM l.lang AND a.width > 1 AND a.pos = l.pos >> a.level
+      LEFT JOIN low b ON b.lang IS NOT DISTINCT FROM l.lang AND b.level = a.level AND b.pos = xor(a.pos, 1)
+    UNION ALL
+    SELECT l.id, 1000 + a.level, (s.pos >> a.level) % 2, b.node FROM leaves l JOIN subs s ON s.lang IS NOT DISTINCT FROM l.lang
+      JOIN high a ON a.width > 1 AND a.pos = s.pos >> a.level
+      LEFT JOIN high b ON b.level = a.level AND b.pos = xor(a.pos, 1)),
+  proofs AS (SELECT id, count(*) AS length, list(struct_pack(side := side, sibling := coalesce(sibling, '')) ORDER BY step) AS steps,
+      sha256(string_agg(coalesce(sibling, ''), '' ORDER BY step)) AS proof_sha256 FROM ways GROUP BY id),
+  folded AS (SELECT id, 0 AS k, other AS node, coalesce(length, 0) AS length, steps FROM rows LEFT JOIN proofs USING (id)
+    UNION ALL SELECT id, k + 1,
+      sha256(CASE WHEN steps[k + 1].side = 1 THEN steps[k + 1].sibling || node ELSE node || steps[k + 1].sibling END), length, steps
+    FROM folded WHERE k < length)
+  SELECT doc_id, leaf, subroot, h.node AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.node AS folded_root, f.node = h.node AS verified
+  FROM rows JOIN subs s ON s.lang IS NOT DISTINCT FROM rows.lang JOIN high h ON h.width = 1
+    JOIN folded f ON f.id = rows.id AND f.k = f.length LEFT JOIN proofs p ON p.id = rows.id"""
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def op13_merkle_manifest(spark, sf):
+    docs = documents(spark, sf, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    columns = [F.col(name) for name in ("doc_id", "source", "lang", "n_chars", "text")]
+    changed = [F.expr("CAST(n_chars AS decimal(20, 0)) + 1") if name == "n_chars" else F.col(name) for name in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaves = docs.select("doc_id", "lang", manifest.digest(*columns).alias("leaf"), F.when(tampered, manifest.digest(*changed)).alias("tampered"))
+    proofs = manifest.proofs(leaves, "leaf", "lang", "doc_id", ["doc_id", "tampered"])
+    found = proofs.withColumn("folded_root", manifest.fold(F.coalesce("tampered", "leaf"), F.col("steps")))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("steps")), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
