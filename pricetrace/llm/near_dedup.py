@@ -2,24 +2,24 @@
 
 Documents with equal shingle sets are one class. A class's signature is read from several starting places, each an order
 of the forest: classes that share the first values there are a region, and within a region, sorted by the values that
-follow, those with the longest common prefixes stand together. A first pass over a few orders goes along them and links
-each class to its nearest ones; the second over all orders compares every region as a whole, a large one block by block,
-and takes every likely pair between what is still apart. Candidates are confirmed on full shingle sets; components of the
-confirmed links are the groups.
+follow, those with the longest common prefixes stand together, as deep as they agree. A first pass goes along a few orders
+and links each class to the likeliest of its neighbours, if their full sets confirm it. The second takes the regions of
+all orders that still hold several components and compares them whole, on full sets and where they lie (`pieces`), so that
+only links that join components leave a task. Components of the links are the groups.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetrace.llm.components import connected_components
+from pricetrace.llm.pieces import IDENTITY, Lists, Shelf, Union, class_table, full_sets, grouped, identity, labelled, piece_links, signed, similar, star_links
 from pricetrace.llm.shingles import mix, shingle_sets
 from pricetrace.scratch import Staged
 
@@ -29,11 +29,8 @@ class Forest:
     """Links need 100 * intersection >= percent * union of `width`-word shingles.
 
     Two classes with similarity s meet in one of `orders` orders with probability 1 - (1 - s ** depth) ** orders: for
-    0.8 that is 0.99997. The first pass takes `first` orders and compares `region` classes at once, the second takes all
-    orders and compares all classes of a region that are not of one component, at most about `wide` at once. A pair whose signatures of
-    `sketch` values agree in less than `likely` of them is not confirmed (a pair at 0.8 falls below that with probability
-    2e-7); one that agrees in `sure` counts as connected when spanning links are chosen. Where one of those is then
-    refused, the region is compared again without that.
+    0.8 that is 0.99997. All classes that meet are compared exactly. The first pass takes `first` orders and looks at
+    `region` neighbours at once; it offers a pair if `likely` of the signatures' `sketch` values agree.
     """
 
     width: int = 5
@@ -42,10 +39,8 @@ class Forest:
     depth: int = 4
     first: int = 6
     region: int = 128
-    wide: int = 8_192
     sketch: int = 240
-    likely: float = 0.66
-    sure: float = 0.9
+    likely: float = 0.72
 
     @property
     def values(self) -> int:
@@ -71,213 +66,57 @@ def signatures(df: DataFrame, forest: Forest, key: str, text: str) -> DataFrame:
                 part = batch.slice(start, 1000)
                 counts, first, second, bytes_, regions = [], [], [], [], []
                 for hashes in shingle_sets(part.column(1), forest.width):
-                    counts.append(len(hashes))
-                    first.append(hashes.sum(dtype=np.uint64))
-                    second.append(mix(hashes + np.uint64(77)).sum(dtype=np.uint64))
+                    for numbers, number in zip((counts, first, second), identity(hashes), strict=True):
+                        numbers.append(number)
                     found = values(hashes)
                     bytes_.append((found >> np.uint64(56)).astype(np.uint8).tobytes())
                     heads = found[: forest.values].reshape(forest.orders, forest.depth) * salts[:-1]
                     regions.append(mix(heads.sum(axis=1, dtype=np.uint64) + np.arange(forest.orders, dtype=np.uint64) * salts[-1]).view(np.int64))
-                own = lambda numbers: pa.array(np.array(numbers, dtype=np.uint64).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * forest.orders), pa.array(np.concatenate(regions)))
-                columns = [part.column(0), pa.array(counts, pa.int64()), own(first), own(second), pa.array(bytes_, pa.binary()), lists]
+                columns = [part.column(0), pa.array(counts, pa.int64()), signed(first), signed(second), pa.array(bytes_, pa.binary()), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "n", "s1", "s2", "sig", "regions"])
 
     return df.select(key, text).mapInArrow(run, schema)
 
 
-def nearest(names: np.ndarray, groups: np.ndarray, sigs: np.ndarray, forest: Forest) -> list[tuple]:
-    """Pairs of the first pass: each class with the one before it and with the likeliest of its piece, if these are likely."""
-    agree = (sigs[:, None, :] == sigs[None, :, :]).mean(axis=2)
-    agree[groups[:, None] == groups[None, :]] = 0
-    here = np.arange(len(names))
-    pairs = np.concatenate([np.column_stack([here[1:], here[:-1]]), np.column_stack([here, agree.argmax(axis=1)])])
-    pairs = pairs[agree[pairs[:, 0], pairs[:, 1]] >= forest.likely]
-    return list(zip(names[pairs[:, 0]], names[pairs[:, 1]], strict=True))
+def neighbours(rows: DataFrame, forest: Forest) -> DataFrame:
+    """(hub, node): each node's likeliest neighbour, from rows (region, order, node, sig) that are sorted by region and the values after its own.
 
-
-def spanning(
-    names: np.ndarray, groups: np.ndarray, sigs: np.ndarray, forest: Forest, earlier: np.ndarray | None = None, sides: np.ndarray | None = None,
-) -> list[tuple]:
-    """Pairs to confirm among some classes: a forest of the sure ones, and every likely one between what is then apart.
-
-    Only classes outside the largest group are compared, with all others. `earlier` are the classes' regions in orders
-    in which all that share a region are compared: a pair that shares one of them is left out. If there are two `sides`,
-    only pairs between them are taken.
-    """
-    labels, group, sizes = np.unique(groups, return_inverse=True, return_counts=True)
-    group, pairs = group.reshape(-1), []
-    likely: list[np.ndarray] = []
-    rows = np.flatnonzero(group != sizes.argmax()) if sizes.max() > 1 else np.arange(len(group) - 1)
-    for start in range(0, len(rows), 32):
-        some = rows[start : start + 32]
-        agree = (sigs[some][:, None, :] == sigs[None, :, :]).mean(axis=2)
-        agree[group[some][:, None] == group[None, :]] = 0
-        for column in earlier.T if earlier is not None else ():
-            agree[column[some][:, None] == column[None, :]] = 0
-        if sides is not None and (sides != sides[0]).any():
-            agree[sides[some][:, None] == sides[None, :]] = 0
-        for i, b in zip(*np.nonzero(agree >= forest.sure), strict=True):
-            x, y = group[some[i]], group[b]
-            if x != y:
-                group[group == x] = y
-                pairs.append((names[some[i]], names[b]))
-        i, b = np.nonzero((agree >= forest.likely) & (group[some][:, None] != group[None, :]))
-        likely.append(np.column_stack([some[i], b]))
-    found = np.concatenate(likely) if likely else np.empty((0, 2), dtype=int)
-    found = found[group[found[:, 0]] != group[found[:, 1]]]
-    return pairs + list(zip(names[found[:, 0]], names[found[:, 1]], strict=True))
-
-
-def candidates(rows: DataFrame, forest: Forest, region: int, choose: Callable) -> DataFrame:
-    """Distinct (a, b) with a < b from rows (region, order, node, group, sig); nodes of one group are no candidates.
-
-    The rows are sorted by region and the values after its own, in ranges that may cut a region. Where a task's first
-    row continues the region of the last one before it, the two are a pair as well. Up to `region` rows are compared
-    with each other; a larger region is gone through in pieces that overlap by half.
+    Neighbours are the one before and those of its piece of `region` rows; a larger region is gone through in pieces that
+    overlap by half, and the ranges that tasks get may cut one. Nothing depends on what is missed here.
     """
     turned = F.concat(F.expr(f"substring(sig, order * {forest.depth} + 1)"), F.expr(f"substring(sig, 1, order * {forest.depth})"))
     ranged = rows.withColumn("turned", turned).repartitionByRange("region", "turned", "node").sortWithinPartitions("region", "turned", "node")
-    schema = "a bigint, b bigint, part int, place string, region bigint, grp bigint"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        part, kept, first, last = TaskContext.get().partitionId(), None, None, None
-
-        def mark(row: pd.Series, place: str) -> pd.DataFrame:
-            return pd.DataFrame([(row["node"], None, part, place, row["region"], row["group"])], columns=names)
-
-        def settle(table: pd.DataFrame) -> list[tuple]:
-            pairs: list[tuple] = []
-            regions = table["region"].to_numpy()
-            cuts = np.flatnonzero(np.diff(regions)) + 1
-            sigs = np.frombuffer(b"".join(table["sig"]), dtype=np.uint8).reshape(len(table), -1)
-            nodes, groups = table["node"].to_numpy(), table["group"].to_numpy()
-            for a, b in zip([0, *cuts], [*cuts, len(table)], strict=True):
-                if b - a < 2 or (groups[a:b] == groups[a]).all():
-                    continue
-                for c in range(a, b, max(1, region // 2)):
-                    d = min(b, c + region)
-                    pairs += choose(nodes[c:d], groups[c:d], sigs[c:d], forest)
-                    if d == b:
-                        break
-            return pairs
-
-        names = [f.split(" ")[0] for f in schema.split(", ")]
-        for batch in batches:
-            if not len(batch):
-                continue
-            if first is None:
-                first = batch.iloc[0]
-                yield mark(first, "first")
-            last = batch.iloc[-1]
-            table = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            whole = np.flatnonzero(table["region"].to_numpy() != last["region"])
-            cut = int(whole[-1]) + 1 if len(whole) else 0
-            if len(table) - cut > 2 * region + 10_000:  # a very large region: go on along its order, with an overlap
-                done, kept = table, table.iloc[len(table) - region // 2 :]
-            else:
-                done, kept = table.iloc[:cut], table.iloc[cut:]
-            if len(done):
-                yield pd.DataFrame([(min(p), max(p), part, "", 0, 0) for p in settle(done)], columns=names)
-        if kept is not None and len(kept):
-            yield pd.DataFrame([(min(p), max(p), part, "", 0, 0) for p in settle(kept)], columns=names)
-            yield mark(last, "last")
 
-    found = Staged(ranged.select("region", "node", "group", "sig").mapInPandas(run, schema), "candidates").df
-    order = Window.partitionBy(F.lit(0)).orderBy("part", F.when(F.col("place") == "first", 0).otherwise(1))  # two rows a task
-    edge = found.where("place <> ''").withColumn("before", F.lag("a").over(order)).withColumn("near", F.lag("region").over(order)).withColumn("of", F.lag("grp").over(order))
-    edge = edge.where("place = 'first' AND region = near AND grp <> of").select(F.least("a", "before").alias("a"), F.greatest("a", "before").alias("b"))
-    return found.where("place = ''").select("a", "b").unionByName(edge).where("a <> b").distinct()
-
-
-def compared(rows: DataFrame, sigs: DataFrame, forest: Forest) -> DataFrame:
-    """Distinct (a, b, sure) with a < b from rows (region, order, node, group) and their (node, sig, regions).
-
-    A region of up to `wide` rows is one piece. A larger one is dealt into blocks of half as many, and each two blocks meet
-    in a piece. A piece is never cut, so all pairs of a region are compared, and one that shares the region of an earlier
-    order needs no second look. Regions of a single group are left out.
-    """
-    sizes = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
-    blocks = F.when(F.col("n") > forest.wide, F.ceil(F.col("n") * 2 / forest.wide)).otherwise(1)
-    dealt = rows.join(sizes.select("region", blocks.cast("int").alias("blocks")), "region")
-    dealt = dealt.withColumn("side", F.expr("CAST(pmod(xxhash64(node), blocks) AS INT)"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("region", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "order", "node", "group")
-    place = ["region", "low", "high"]
-    whole = met.join(sigs, "node").repartition(*place).sortWithinPartitions(*place, "node")
-
-    def settle(table: pd.DataFrame) -> pd.DataFrame:
-        pairs: list[tuple] = []
-        cuts = np.flatnonzero(table[place].ne(table[place].shift()).any(axis=1))
-        for a, b in zip(cuts, [*cuts[1:], len(table)], strict=True):
-            piece = table.iloc[a:b]
-            groups = piece["group"].to_numpy()
-            if (groups != groups[0]).any():
-                own = np.frombuffer(b"".join(piece["sig"]), dtype=np.uint8).reshape(b - a, -1)
-                earlier = np.stack(piece["regions"].to_numpy())[:, : piece["order"].iloc[0]]
-                at = spanning(np.arange(b - a), groups, own, forest, earlier, piece["side"].to_numpy())
-                nodes = piece["node"].to_numpy()
-                pairs += [(*sorted((nodes[x], nodes[y])), (own[x] == own[y]).mean() >= forest.sure) for x, y in at]
-        return pd.DataFrame(pairs, columns=["a", "b", "sure"]).astype({"a": "int64", "b": "int64", "sure": bool})
+    def nearest(piece: pd.DataFrame) -> pd.DataFrame:
+        sigs = np.frombuffer(b"".join(piece["sig"]), dtype=np.uint8).reshape(len(piece), -1)
+        agree = (sigs[:, None, :] == sigs[None, :, :]).mean(axis=2)
+        np.fill_diagonal(agree, 0)
+        nodes, best = piece["node"].to_numpy(), agree.argmax(axis=1)
+        found = pd.DataFrame({"node": nodes, "hub": nodes[best], "agree": agree.max(axis=1)})
+        return found[found["agree"] >= forest.likely]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            here = batch[place].eq(batch[place].iloc[-1]).all(axis=1).to_numpy()
-            cut = 0 if here.all() else int(np.flatnonzero(~here)[-1]) + 1
-            if kept and (cut or not kept[-1][place].iloc[-1].equals(batch[place].iloc[0])):
-                yield settle(pd.concat([*kept, batch.iloc[:cut]], ignore_index=True))
-                kept = []
-            elif cut:
-                yield settle(batch.iloc[:cut])
-            kept.append(batch.iloc[cut:])
-        if kept:
-            yield settle(pd.concat(kept, ignore_index=True))
-
-    found = whole.select(*place, "side", "order", "node", "group", "sig", "regions").mapInPandas(run, "a bigint, b bigint, sure boolean")
-    return found.where("a <> b").distinct()
-
-
-def refused_regions(pairs: DataFrame, more: DataFrame, rows: DataFrame) -> DataFrame:
-    """The regions that hold both sides of a sure pair which was not confirmed: others there were taken as connected by it."""
-    refused = pairs.where("sure").join(more, ["a", "b"], "left_anti")
-    left = rows.select(F.col("node").alias("a"), "region")
-    right = rows.select(F.col("node").alias("b"), "region")
-    return refused.join(left, "a").join(right, ["b", "region"]).select("region").distinct()
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
-    """The pairs of which some texts are similar enough, by their full shingle sets. `texts` has (node, texts)."""
-    left = texts.select(F.col("node").alias("a"), F.col("texts").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("texts").alias("tb"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets: dict[tuple, list[np.ndarray]] = {}
-            keep = []
-            for i in range(batch.num_rows):
-                both = []
-                for name, texts_ in (("a", "ta"), ("b", "tb")):
-                    own = (name, batch.column(name)[i].as_py())
-                    if own not in sets:
-                        if len(sets) > 200:
-                            sets.clear()
-                        sets[own] = list(shingle_sets(batch.column(texts_)[i].values, forest.width))
-                    both.append(sets[own])
-                keep.append(any(similar(x, y, forest) for x in both[0] for y in both[1]))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+            cuts = np.flatnonzero(batch["region"].ne(batch["region"].shift()))
+            for a, b in zip(cuts, [*cuts[1:], len(batch)], strict=True):
+                for c in range(a, max(a + 1, b - forest.region // 2), forest.region // 2) if b - a > 1 else ():
+                    yield nearest(batch.iloc[c : min(b, c + forest.region)])
 
-    return joined.mapInArrow(run, "a bigint, b bigint").distinct()
+    found = ranged.select("region", "node", "sig").mapInPandas(run, "node bigint, hub bigint, agree double")
+    return found.groupBy("node").agg(F.max_by("hub", F.struct("agree", "hub")).alias("hub"))
 
 
-def similar(x: np.ndarray, y: np.ndarray, forest: Forest) -> bool:
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return shared > 0 and 100 * shared >= forest.percent * (len(x) + len(y) - shared)
+def region_links(sets: list[np.ndarray], groups: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join groups, from the exact overlaps of each set outside the largest group with all others."""
+    lists, union = Lists(sets), Union(groups)
+    largest = np.bincount(union.group).argmax()
+    for one in np.flatnonzero(union.group != largest):
+        if union.single():
+            break
+        shared = lists.counts(lists.tokens(one))
+        union.join(one, np.flatnonzero(similar(shared, int(lists.sizes[one]), lists.sizes, percent)))
+    return union.pairs
 
 
 def near_duplicates(df: DataFrame, forest: Forest = Forest(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -286,37 +125,21 @@ def near_duplicates(df: DataFrame, forest: Forest = Forest(), key: str = "doc_id
     Keys are longs. A text without words has no shingles and no links; a null text has no words. Rows of one key are one
     node, whose links are those of all its texts. Rows with a null key have no links, component null, and are kept.
     """
-    table = Staged(signatures(df, forest, key, text).withColumnRenamed(key, "node"), "signatures").df
-    identity = ["n", "s1", "s2"]
-    usable = table.where("n > 0 AND node IS NOT NULL")
-    classes = Staged(usable.groupBy(*identity).agg(F.min(F.struct("node", "sig", "regions")).alias("c")).select(*identity, "c.*"), "classes").df
-    places = classes.select("node", F.posexplode("regions").alias("order", "region"))
-    shared = places.groupBy("region").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("region")
-    meeting = Staged(places.join(shared, "region"), "meeting").df
-    nodes = meeting.select("node").distinct()
-    docs = df.select(F.col(key).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    texts = Staged(docs.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_set("_t").alias("texts")), "texts").df
-    sigs = classes.select("node", "sig", "regions")
-    firsts = meeting.where(F.col("order") < forest.first).join(sigs.drop("regions"), "node").withColumn("group", F.col("node"))
-    links = Staged(confirmed(candidates(firsts, forest, forest.region, nearest), texts, forest), "links").df
-    known = connected_components(links)
-    grouped = lambda rows, found: rows.join(found, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    rows = Staged(grouped(meeting, known), "rows").df
-    pairs = Staged(compared(rows, sigs, forest), "pairs").df
-    more = Staged(confirmed(pairs.select("a", "b"), texts, forest), "more").df
-    again = Staged(refused_regions(pairs, more, rows), "refused").df
-    if not again.isEmpty():
-        apart = Staged(grouped(meeting.join(again, "region", "left_semi"), connected_components(links.unionByName(more))), "apart").df
-        offered = compared(apart, sigs, replace(forest, sure=2.0)).join(pairs, ["a", "b"], "left_anti")
-        more = more.unionByName(confirmed(offered.select("a", "b"), texts, forest))
-    members = table.join(classes.select(*identity, F.col("node").alias("rep")), identity, "left")
-    several = members.where("rep IS NOT NULL").groupBy("node").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("node")
-    bridges = members.join(several, "node").where("rep IS NOT NULL").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-    joined = links.unionByName(more).unionByName(bridges)
-    found = connected_components(joined).select(F.col("node").alias("rep"), F.col("component"))
-    own = F.when(F.col("node").isNotNull(), F.coalesce("component", "rep", "node"))
-    out = members.join(found, "rep", "left").withColumn("component_id", own)
-    return out.select(F.col("node").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("node").eqNullSafe(F.col("component_id")).alias("kept"))
+    shelf = Shelf()
+    table = shelf.put(signatures(df, forest, key, text).withColumnRenamed(key, "node"), "signatures")
+    classes = shelf.put(class_table(table, "sig", "regions"), "classes")
+    spots = classes.select("node", "n", F.posexplode("regions").alias("order", "place"))
+    shared = spots.groupBy("place").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("place")
+    places = shelf.put(spots.join(shared, "place"), "places")
+    sets = shelf.put(full_sets(df, classes, places, forest.width, key, text), "sets")
+    firsts = places.where(F.col("order") < forest.first).select("node", "order", F.col("place").alias("region"))
+    likeliest = neighbours(firsts.join(classes.select("node", "sig"), "node"), forest).where("hub <> node")
+    links = shelf.put(star_links(likeliest, sets, forest.percent), "star-links")
+    rows = grouped(places.select("place", "node", "n"), links, shelf)
+    more = shelf.put(piece_links(rows, sets, lambda own, groups: region_links(own, groups, forest.percent), shelf), "piece-links")
+    found = Staged(labelled(table.select("node", *IDENTITY), classes, links.unionByName(more), key), "components").df
+    shelf.clear()
+    return found.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
 def keep_one(df: DataFrame, forest: Forest = Forest(), key: str = "doc_id", text: str = "text") -> DataFrame:

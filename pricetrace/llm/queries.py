@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricetrace.llm import exact_dedup, manifest, mixing, near_dedup, neighbours, packing, pii, repeats, secret_scan, sharding, toxicity
+from pricetrace.llm import exact_dedup, jaccard_join, manifest, mixing, near_dedup, neighbours, packing, pii, ranked, repeats, secret_scan, sharding, toxicity
 from pricetrace.scratch import Staged
 from pricetrace.sources.tables import read_table
 
@@ -189,3 +189,39 @@ def op13_merkle_manifest(spark, sf):
         "doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("steps")), 256).alias("proof_sha256"),
         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _terms_sql(text: str) -> str:
+    return f"unnest(regexp_extract_all(translate({text}, '{UPPER}', '{LOWER}'), '{TERM}'))"
+
+
+RANKED_SQL = f"""
+  WITH docs AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+  words AS (SELECT row, {_terms_sql('text')} AS term FROM docs),
+  post AS (SELECT row, term, count(*) AS tf FROM words GROUP BY row, term),
+  lens AS (SELECT row, sum(tf) AS n FROM post GROUP BY row),
+  total AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS length FROM lens),
+  asked AS (SELECT DISTINCT item_id, {_terms_sql('text')} AS term FROM benchmark),
+  weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w
+    FROM (SELECT term, count(*) AS df FROM post GROUP BY term), total),
+  lengths AS (SELECT row, 100 - 50 + (50 * CAST(n AS BIGINT) * docs) // length AS m FROM lens, total),
+  scores AS (SELECT item_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN post USING (term) JOIN lengths USING (row) GROUP BY item_id, row),
+  ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+    FROM scores JOIN docs USING (row) WHERE score > 0)
+  SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+
+@query("op11_ranked_search", RANKED_SQL)
+def op11_ranked_search(spark, sf):
+    index = Staged(ranked.build_index(documents(spark, sf)), "index").df
+    return ranked.search(index, read_table(spark, f"{sf}/benchmark.parquet", "item_id bigint, text string"), 50)
+
+
+@query("op12_jaccard_join")
+def op12_jaccard_join(spark, sf):
+    return jaccard_join.jaccard_components(documents(spark, sf))
