@@ -1,8 +1,9 @@
 """Exact Jaccard self-join of shingle sets with set-relation skipping.
 
-Two sets that are similar enough share a token among the first ones of both in any common order, so an index of these
-prefixes proposes every link. The order is rarest first by a sketch of fixed size and then by hash; it decides how long
-the lists get, never what is found. Documents on a list are compared where they meet (`pieces`), by two relations:
+Two sets that are similar enough share so many tokens among the first ones of both in any common order, so an index of
+these prefixes proposes every link, and a set with fewer listed tokens than that has none. The order is rarest first by a
+sketch of fixed size and then by hash; it decides how long the lists get, never what is found. Documents on a list are
+compared where they meet (`pieces`), by two relations:
 
 * Index level. A list is ordered by the token's place in its sets and cut into blocks. How far down a set's token stands
   bounds what the set can still share, so blocks behind the last useful place, or of unfit sizes, are skipped whole.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetrace.llm.pieces import IDENTITY, Lists, Shelf, Union, class_table, full_sets, grouped, identity, labelled, piece_links, signed, similar, spread, star_links
+from pricetrace.llm.pieces import IDENTITY, Lists, Shelf, Union, class_table, grouped, identity, labelled, node_texts, piece_links, signed, similar, spread, star_links
 from pricetrace.llm.shingles import shingle_sets
 from pricetrace.scratch import Staged
 
@@ -37,11 +38,13 @@ BLOCK = 16
 class Join:
     """Links need 100 * intersection >= percent * union of `width`-word shingles.
 
+    Prefixes are longer by `more` per cent of a set than needed to share one token, so that similar sets share as many there.
     A set at `close` or more to one with known answers takes them over. `counters` 32-bit numbers are sent to every task.
     """
 
     width: int = 4
     percent: int = 85
+    more: int = 5
     close: int = 92
     counters: int = 1 << 20
 
@@ -84,9 +87,13 @@ def sketch(df: DataFrame, join: Join, text: str) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(seen / (2 * typical), 1))).astype(np.uint8)
 
 
-def prefix_length(size: int | np.ndarray, percent: int) -> int | np.ndarray:
-    """So many first tokens of a set hold one that any similar set has among its own first ones."""
-    return size - (-(-percent * size // 100)) + 1
+def prefix_length(size: int | np.ndarray, percent: int, more: int = 0) -> int | np.ndarray:
+    """So many first tokens of a set hold one, or `more` per cent of the set, that any similar set has among its own first ones.
+
+    A set of n tokens shares at least percent * n of them with a similar one, so the last percent * n - k cannot hold all
+    but k - 1 of those. Of two sets, the smaller k counts; a similar set has at least percent * n tokens.
+    """
+    return size - (-(-percent * size // 100)) + np.maximum(1, -(-more * size // 100))
 
 
 def prefixes(df: DataFrame, join: Join, levels: np.ndarray, key: str, text: str) -> DataFrame:
@@ -104,7 +111,7 @@ def prefixes(df: DataFrame, join: Join, levels: np.ndarray, key: str, text: str)
                     for numbers, number in zip((counts, first, second), identity(hashes), strict=True):
                         numbers.append(number)
                     order = np.argsort(levels[(hashes % np.uint64(join.counters)).astype(np.int64)], kind="stable")
-                    tokens.append(hashes[order[: prefix_length(len(hashes), join.percent) if len(hashes) else 0]])
+                    tokens.append(hashes[order[: prefix_length(len(hashes), join.percent, join.more) if len(hashes) else 0]])
                     ends.append(ends[-1] + len(tokens[-1]))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens).view(np.int64)))
                 columns = [part.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), signed(first), signed(second), lists]
@@ -177,6 +184,11 @@ def answers(sets: list[np.ndarray], groups: np.ndarray, join: Join) -> list[tupl
     return union.pairs
 
 
+def lists_of(entries: DataFrame) -> DataFrame:
+    """(place, hub) of the tokens that more than one node has in its prefix; the hub is the smallest of them."""
+    return entries.groupBy("place").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("place", "hub")
+
+
 def jaccard_components(df: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) per row; `component_id` is the smallest key that links lead to.
 
@@ -189,15 +201,17 @@ def jaccard_components(df: DataFrame, join: Join = Join(), key: str = "doc_id",
     shelf = Shelf()
     table = shelf.put(prefixes(df, join, levels, key, text), "prefixes")
     classes = shelf.put(class_table(table.drop("tokens")), "classes")
-    firsts = table.join(classes, ["node", *IDENTITY], "left_semi").dropDuplicates(["node", *IDENTITY])
-    entries = firsts.select("node", "n", F.explode("tokens").alias("place"))
-    lists = entries.groupBy("place").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("place", "hub")
-    places = shelf.put(entries.join(lists, "place"), "places")
-    sets = shelf.put(full_sets(df, classes, places, join.width, key, text), "sets")
+    entries = table.join(classes, ["node", *IDENTITY], "left_semi").select("node", "n", F.explode("tokens").alias("place"))
+    listed = shelf.put(entries.join(lists_of(entries).select("place"), "place").distinct(), "listed")
+    shares = F.col("tokens") * 10_000 >= join.more * join.percent * F.col("n")
+    usable = listed.groupBy("node").agg(F.count("*").alias("tokens"), F.min("n").alias("n")).where(shares).select("node")
+    usable = listed.join(usable, "node", "left_semi")
+    places = shelf.put(usable.join(lists_of(usable), "place"), "places")
+    texts = shelf.put(node_texts(df, places, key, text), "texts")
     stars = places.where("node <> hub").groupBy("node").agg(F.min("hub").alias("hub"))
-    links = shelf.put(star_links(stars, sets, join.percent), "star-links")
+    links = shelf.put(star_links(stars, texts, join.width, join.percent), "star-links")
     rows = grouped(places.drop("hub"), links, shelf)
-    more = shelf.put(piece_links(rows, sets, lambda own, groups: answers(own, groups, join), shelf), "piece-links")
+    more = shelf.put(piece_links(rows, texts, join.width, lambda own, groups: answers(own, groups, join), shelf), "piece-links")
     found = Staged(labelled(table, classes, links.unionByName(more), key), "components").df
     shelf.clear()
     return found

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricetrace.llm.pieces import IDENTITY, Lists, Shelf, Union, class_table, full_sets, grouped, identity, labelled, piece_links, signed, similar, star_links
+from pricetrace.llm.pieces import IDENTITY, Lists, Shelf, Union, class_table, grouped, identity, labelled, node_texts, piece_links, signed, similar, star_links
 from pricetrace.llm.shingles import mix, shingle_sets
 from pricetrace.scratch import Staged
 
@@ -131,12 +131,12 @@ def near_duplicates(df: DataFrame, forest: Forest = Forest(), key: str = "doc_id
     spots = classes.select("node", "n", F.posexplode("regions").alias("order", "place"))
     shared = spots.groupBy("place").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("place")
     places = shelf.put(spots.join(shared, "place"), "places")
-    sets = shelf.put(full_sets(df, classes, places, forest.width, key, text), "sets")
+    texts = shelf.put(node_texts(df, places, key, text), "texts")
     firsts = places.where(F.col("order") < forest.first).select("node", "order", F.col("place").alias("region"))
     likeliest = neighbours(firsts.join(classes.select("node", "sig"), "node"), forest).where("hub <> node")
-    links = shelf.put(star_links(likeliest, sets, forest.percent), "star-links")
+    links = shelf.put(star_links(likeliest, texts, forest.width, forest.percent), "star-links")
     rows = grouped(places.select("place", "node", "n"), links, shelf)
-    more = shelf.put(piece_links(rows, sets, lambda own, groups: region_links(own, groups, forest.percent), shelf), "piece-links")
+    more = shelf.put(piece_links(rows, texts, forest.width, lambda own, groups: region_links(own, groups, forest.percent), shelf), "piece-links")
     found = Staged(labelled(table.select("node", *IDENTITY), classes, links.unionByName(more), key), "components").df
     shelf.clear()
     return found.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

@@ -59,25 +59,10 @@ def class_table(table: DataFrame, *more: str) -> DataFrame:
     return usable.groupBy(*IDENTITY).agg(F.min(F.struct("node", *more)).alias("c")).select(*IDENTITY, "c.*")
 
 
-def full_sets(df: DataFrame, classes: DataFrame, nodes: DataFrame, width: int, key: str, text: str) -> DataFrame:
-    """(node, hashes) of the classes whose node is among `nodes`: the sorted set of 64-bit hashes as bytes.
-
-    A node that stands for several classes, as its key repeats with other texts, has a row for each.
-    """
-    schema = "node bigint, n bigint, s1 bigint, s2 bigint, hashes binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                sets = list(shingle_sets(part.column(1), width))
-                counts, first, second = zip(*map(identity, sets), strict=True)
-                columns = [part.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), signed(first), signed(second), pa.array([x.tobytes() for x in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", *IDENTITY, "hashes"])
-
-    docs = df.select(F.col(key).alias("node"), F.col(text).alias("_text")).join(nodes.select("node").distinct(), "node", "left_semi")
-    found = docs.mapInArrow(run, schema).join(classes.select("node", *IDENTITY), ["node", *IDENTITY], "left_semi")
-    return found.dropDuplicates(["node", *IDENTITY]).select("node", "hashes")
+def node_texts(df: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, texts) of the given nodes: the distinct texts of their key. Texts are smaller than their sets of hashes."""
+    docs = df.select(F.col(key).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    return docs.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_set("_text").alias("texts"))
 
 
 def similar(shared: int | np.ndarray, x: int, y: int | np.ndarray, percent: int) -> bool | np.ndarray:
@@ -107,28 +92,33 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(kept)
 
 
-def sets_of(table: pa.Table) -> list[np.ndarray]:
-    return [np.frombuffer(value.as_buffer(), dtype=np.uint64) for chunk in table.column("hashes").chunks for value in chunk]
+def sets_of(table: pa.Table, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The shingle sets of all texts in a piece, and the row that each belongs to."""
+    texts = table.column("texts").combine_chunks()
+    rows = np.repeat(np.arange(len(texts)), texts.value_lengths().to_numpy())
+    found = [(row, x) for row, x in zip(rows, shingle_sets(texts.flatten(), width), strict=True) if len(x)]
+    return np.array([row for row, _ in found], dtype=np.int64), [x for _, x in found]
 
 
-def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of `pairs` (hub, node), one per node, whose sets are similar. A hub's set meets its nodes `STAR` at a time."""
+def star_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) of `pairs` (hub, node), one per node, whose sets are similar. A hub's texts meet its nodes `STAR` at a time."""
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
     centres = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("hub").alias("node"))
     around = pairs.join(sizes, "hub").select("hub", F.expr("CAST(pmod(xxhash64(node), parts) AS INT)").alias("part"), "node")
-    rows = centres.unionByName(around).join(sets, "node").repartition("hub", "part").sortWithinPartitions("hub", "part")
+    rows = centres.unionByName(around).join(texts, "node").repartition("hub", "part").sortWithinPartitions("hub", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for star in runs(batches, ["hub", "part"]):
-            hub, nodes, own = star.column("hub")[0].as_py(), star.column("node").to_pylist(), sets_of(star)
-            centre = [x for x, node in zip(own, nodes, strict=True) if node == hub]
+            hub, nodes = star.column("hub")[0].as_py(), star.column("node").to_numpy()
+            rows, sets = sets_of(star, width)
+            centre = [x for row, x in zip(rows, sets, strict=True) if nodes[row] == hub]
             near = {
-                node for x, node in zip(own, nodes, strict=True) if node != hub
+                int(nodes[row]) for row, x in zip(rows, sets, strict=True) if nodes[row] != hub
                 and any(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent) for y in centre)
             }
             yield pa.RecordBatch.from_arrays([pa.array([hub] * len(near), pa.int64()), pa.array(list(near), pa.int64())], names=["a", "b"])
 
-    return rows.select("hub", "part", "node", "hashes").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("hub", "part", "node", "texts").mapInArrow(run, "a bigint, b bigint")
 
 
 def grouped(places: DataFrame, links: DataFrame, shelf: Shelf) -> DataFrame:
@@ -139,7 +129,7 @@ def grouped(places: DataFrame, links: DataFrame, shelf: Shelf) -> DataFrame:
     return rows.join(apart.select("place", "hub"), "place")
 
 
-def piece_links(rows: DataFrame, sets: DataFrame, links: Links, shelf: Shelf) -> DataFrame:
+def piece_links(rows: DataFrame, texts: DataFrame, width: int, links: Links, shelf: Shelf) -> DataFrame:
     """Spanning links (a, b) between the groups of every place, from `rows` (hub, node, n, group).
 
     `links` gets the sets of a piece and their groups and returns the pairs that join two of them. A piece above
@@ -154,18 +144,19 @@ def piece_links(rows: DataFrame, sets: DataFrame, links: Links, shelf: Shelf) ->
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = ["hub", "low", "high"]
     met = met.select("hub", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "node", "group")
-    whole = met.join(sets, "node").repartition(*keys).sortWithinPartitions(*keys)
+    whole = met.join(texts, "node").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in runs(batches, keys):
             groups = piece.column("group").to_numpy()
             if (groups == groups[0]).all():
                 continue
-            nodes = piece.column("node").to_numpy()
-            found = np.array(links(sets_of(piece), groups), dtype=np.int64).reshape(-1, 2)
+            at, sets = sets_of(piece, width)
+            nodes = piece.column("node").to_numpy()[at]
+            found = np.array(links(sets, groups[at]), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[found[:, 0]]), pa.array(nodes[found[:, 1]])], names=["a", "b"])
 
-    return whole.select(*keys, "node", "group", "hashes").mapInArrow(run, "a bigint, b bigint")
+    return whole.select(*keys, "node", "group", "texts").mapInArrow(run, "a bigint, b bigint")
 
 
 class Lists:
