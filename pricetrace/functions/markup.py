@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from html import unescape
 from html.entities import name2codepoint
@@ -49,11 +50,16 @@ ARTICLE_RULES = (
 
 #: Named character references of HTML 4; numeric ones are computed.
 ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())}
-_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
+_REFERENCE = r"&(?!amp;)(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,7});"
 
 
 def strip_blanks(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[\s\x{00A0}]+|[\s\x{00A0}]+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r\u00a0"))
+
+
+def _constant_map(pairs: dict[str, str]) -> Column:
+    """A map of literals from two of them: it costs the planner little, which folds it into one."""
+    return F.map_from_arrays(*[F.split(F.lit("\n".join(side)), "\n") for side in (pairs.keys(), pairs.values())])
 
 
 def _character(reference: Column) -> Column:
@@ -64,74 +70,115 @@ def _character(reference: Column) -> Column:
     code = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
     known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     # Numbers of the Windows code page stand for its characters, other numbers of no character for the replacement one.
-    windows = F.try_element_at(F.create_map(*[F.lit(x) for n in range(0x80, 0xA0) for x in (n, unescape(f"&#{n};"))]), code)
+    windows = F.try_element_at(_constant_map({str(n): unescape(f"&#{n};") for n in range(0x80, 0xA0)}), code.cast("string"))
     numeric = F.coalesce(windows, F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")), F.lit("\ufffd"))
-    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair]), body)
+    named = F.try_element_at(_constant_map(ENTITIES), body)
     return F.coalesce(F.when(F.startswith(body, F.lit("#")), numeric).otherwise(named), reference)
 
 
 def decode_entities(text: Column) -> Column:
-    """Named and numeric character references decoded once, from left to right."""
-    gaps, references = F.split(text, _REFERENCE, -1), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
-    ends = F.concat(F.transform(references, _character), F.array(F.lit("")))
-    decoded = F.array_join(F.flatten(F.zip_with(gaps, ends, lambda a, b: F.array(a, b))), "")
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    """Named and numeric character references decoded once, from left to right.
+
+    `&amp;` is decoded last, by a plain replacement: what the others leave cannot be read as one of them. Each distinct
+    one of the others is looked up once per text.
+    """
+
+    def known(references: Column) -> Column:
+        distinct = F.array_distinct(references)
+        return F.struct(references.alias("references"), F.map_from_arrays(distinct, F.transform(distinct, _character)).alias("known"))
+
+    def rebuilt(text: Column) -> Column:
+        def with_ends(found: Column) -> Column:
+            ends = F.concat(F.transform(found["references"], lambda one: found["known"][one]), F.array(F.lit("")))
+            return F.array_join(F.flatten(F.zip_with(F.split(text, _REFERENCE, -1), ends, lambda a, b: F.array(a, b))), "")
+
+        others = let(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), lambda found: F.when(F.size(found) > 0, let(known(found), with_ends)).otherwise(text))
+        return F.when(F.contains(text, F.lit("&")), F.replace(others, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+
+    return let(text, rebuilt)
+
 
+#: A page in pieces: comments, scripts and styles with their content, tags, text. The one pattern that reads whole pages.
+_PIECE = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[/!?a-z][^>]*>|[^<]+|<"
+# Elements of HTML that have no closing tag.
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+def page_pieces(html: Column) -> Column:
+    """The page as an array of pieces that join to it again; a script or style element and a comment are one piece each."""
+    return F.regexp_extract_all(html, F.lit(_PIECE), F.lit(0))
 
-def visible_text(markup: Column) -> Column:
-    """Markup without scripts, styles, comments and tags, entities decoded."""
-    bare = F.regexp_replace(markup, r"(?is)<(?:script|style)\b.*?</(?:script|style)\s*>|<!--.*?-->", "")
-    return decode_entities(F.regexp_replace(bare, r"(?s)<[^>]*>", ""))
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL that evaluates `value` once for a body which may name it many times."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def _open_tag(rule: FieldRule) -> str:
-    """Pattern of the opening tag; each required attribute is a lookahead, so their order is free."""
-    looks = ""
-    for name, value in rule.where:
-        own = re.escape(value)
-        looks += rf"""(?=[^>]*?\s{re.escape(name)}\s*=\s*(?:"{own}"|'{own}'|{own}(?=[\s>])))"""
-    return rf"<{re.escape(rule.tag)}\b{looks}[^>]*>"
 
+def _alternatives(names: Iterable[str]) -> str:
+    return "|".join(re.escape(name) for name in sorted({name.lower() for name in names}))
 
-def _attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of one opening tag, in either or no quotes; null without it."""
-    value = F.regexp_extract(tag, rf"""(?is)\s{re.escape(name)}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
-    return F.when(value != "", decode_entities(F.regexp_replace(value, r"""^["']|["']$""", "")))
 
+def node_table(pieces: str, tags: Iterable[str]) -> Column:
+    """Array of (tag, opening, start, end, depth) in the order of `start`: the elements of the given tags in the column `pieces`.
 
-def _balanced(tail: Column, tag: str) -> Column:
-    """The node at the start of `tail`, up to the closing tag that balances it; all of `tail` if there is none."""
-    mark = rf"(?is)<{re.escape(tag)}\b[^>]*>|</{re.escape(tag)}\s*>"
-    pieces, marks = F.split(tail, mark, -1), F.regexp_extract_all(tail, F.lit(mark), F.lit(0))
+    `start` and `end` are the numbers of the opening and the closing piece; a closing tag closes the last open element of
+    its name. `end` is null for elements that are never closed, `depth` counts the open ones of the given tags around.
+    """
+    marks = rf"""transform(filter(transform({pieces}, (text, at) -> struct(text, at)), x -> x.text rlike r'(?i)^</?(?:{_alternatives(tags)})(?=[\s/>])'),
+      x -> struct(lower(regexp_extract(x.text, r'^</?([^\s/>]+)', 1)) AS tag, x.text AS text, x.at AS at, startswith(x.text, '</') AS closing))"""
+    node = "named_struct('tag', one.tag, 'opening', one.text, 'start', one.at, 'end', {0}, 'depth', size(state.open))"
+    empty = "CAST(array() AS array<struct<tag string, opening string, start int, end int, depth int>>)"
+    void = f"one.tag rlike '^(?:{_alternatives(VOID_TAGS)})$'"
+    # From 0, the place of the innermost open element of the name; below 0 if none is open.
+    place = "size(state.open) - array_position(reverse(transform(state.open, x -> x.tag)), one.tag)"
+    ended = "named_struct('tag', was.tag, 'opening', was.opening, 'start', was.start, 'end', one.at, 'depth', was.depth)"
+    closed = _let("get(state.open, int(place))", "was", f"struct(filter(state.open, (x, i) -> i <> place) AS open, array_append(state.done, {ended}) AS done)")
+    step = f"""CASE
+      WHEN one.closing AND {void} THEN state
+      WHEN one.closing THEN {_let(place, "place", f"CASE WHEN place < size(state.open) THEN {closed} ELSE state END")}
+      WHEN {void} THEN struct(state.open AS open, array_append(state.done, {node.format("one.at")}) AS done)
+      ELSE struct(array_append(state.open, {node.format("CAST(NULL AS int)")}) AS open, state.done AS done) END"""
+    finish = "array_sort(concat(state.done, state.open), (a, b) -> a.start - b.start)"
+    return F.expr(f"aggregate({marks}, struct({empty} AS open, {empty} AS done), (state, one) -> {step}, state -> {finish})")
 
-    def cut(parts: Column) -> Column:
-        gaps, tags = parts["gaps"], parts["tags"]
-        nothing = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
-        def step(state: Column, one: Column) -> Column:
-            depth = state["depth"] + F.when(F.startswith(one, F.lit("</")), -1).otherwise(1)
-            at = state["at"] + 1
-            return F.struct(depth.alias("depth"), at.alias("at"), F.when((state["end"] == 0) & (depth == 0), at).otherwise(state["end"]).alias("end"))
+#: An attribute with its value, in double, single or no quotes.
+_ATTRIBUTE = r"(?is)\s{0}\s*=\s*(?:\x22{1}\x22|\x27{1}\x27|{1}(?=[\s>]))"
+_ANY_VALUE = r"(?is)\s{0}\s*=\s*(\x22[^\x22]*\x22|\x27[^\x27]*\x27|[^\s\x22\x27>]+)"
 
-        end = F.aggregate(tags, nothing, step)["end"]
-        used = F.when(end > 0, end).otherwise(F.size(tags))
-        body = F.flatten(F.zip_with(F.slice(tags, 1, used), F.slice(gaps, 2, used), lambda t, g: F.array(t, g)))
-        return F.array_join(F.when(end > 0, F.slice(body, 1, 2 * used - 1)).otherwise(body), "")
 
-    return let(F.struct(pieces.alias("gaps"), marks.alias("tags")), cut)
+def _pattern(template: str, *parts: str) -> str:
+    """SQL literal of a pattern with parts to be matched as they are."""
+    escaped = [re.escape(part).replace("'", r"\x27").replace('"', r"\x22") for part in parts]
+    return "r'" + template.format(*escaped) + "'"
 
 
-def field_column(html: Column, rule: FieldRule) -> Column:
-    """One field by expressions; a missing node gives null."""
-    opening = _open_tag(rule)
-    if rule.take not in ("text", "raw"):
-        return _attribute(F.regexp_extract(html, rf"(?is){opening}", 0), rule.take)
-    tail = F.regexp_extract(html, rf"(?is){opening}.*", 0)
+def _found(pieces: str, nodes: str, rule: FieldRule) -> str:
+    """Markup or attribute value (entities as they are) of the first node that fits; one never closed ends with the page."""
+    fits = "".join(f" AND x.opening rlike {_pattern(_ATTRIBUTE, name, value)}" for name, value in rule.where)
+    node = f"get(filter({nodes}, x -> x.tag = {_pattern('{0}', rule.tag.lower())}{fits}), 0)"
+    if rule.take in ("text", "raw"):
+        body = f"slice({pieces}, node.start + 1, coalesce(node.end, size({pieces}) - 1) - node.start + 1)"
+        # Tags, comments, scripts and styles are pieces of their own, so text is what is left without them.
+        body = f"array_join({body if rule.take == 'raw' else f"filter({body}, x -> x = '<' OR NOT startswith(x, '<'))"}, '')"
+    else:
+        body = f"regexp_replace(nullif(regexp_extract(node.opening, {_pattern(_ANY_VALUE, rule.take)}, 1), ''), r'^[\\x22\\x27]|[\\x22\\x27]$', '')"
+    return _let(node, "node", f"CASE WHEN node.start IS NOT NULL THEN {body} END")
 
-    def read(node: Column) -> Column:
-        return F.when(node != "", node if rule.take == "raw" else strip_blanks(visible_text(node)))
 
-    return let(_balanced(tail, rule.tag), read)
+def field_columns(pieces: str, nodes: str, rules: list[FieldRule]) -> Column:
+    """Array of the rules' fields, looked up in the columns of a page's pieces and nodes; a missing node gives null.
+
+    Texts are the node's markup without tags and outer blanks; texts and attribute values are decoded by one expression.
+    """
+    texts, plain = [rule for rule in rules if rule.take == "text"], [rule for rule in rules if rule.take == "raw"]
+    values = [rule for rule in rules if rule.take not in ("text", "raw")]
+
+    def found(some: list[FieldRule]) -> Column:
+        return F.expr(f"array({', '.join(_found(pieces, nodes, rule) for rule in some)})").cast("array<string>")
+
+    decoded = F.transform(F.concat(found(texts), found(values)), decode_entities)
+    whole = F.concat(F.transform(F.slice(decoded, 1, len(texts)), strip_blanks), found(plain), F.slice(decoded, len(texts) + 1, len(values)))
+    order = [*texts, *plain, *values]
+    return let(whole, lambda all_: F.array(*[F.get(all_, F.lit(order.index(rule))) for rule in rules]))
 
 
 class _NodeReader:
@@ -181,15 +228,19 @@ class _NodeReader:
 
 
 class _PageReader(HTMLParser):
-    """All fields of a page from one parse."""
+    """All fields of a page from one parse. Ampersands are hidden from the parser, so that both engines decode by one rule."""
 
-    def __init__(self, rules: list[FieldRule]):
+    def __init__(self, rules: list[FieldRule], ampersand: str):
         super().__init__(convert_charrefs=False)
-        self.readers = [_NodeReader(rule) for rule in rules]
+        self.readers, self.ampersand = [_NodeReader(rule) for rule in rules], ampersand
+
+    def shown(self, text: str | None) -> str | None:
+        return text and text.replace(self.ampersand, "&")
 
     def handle_starttag(self, tag, attrs):
+        values = {name: decoded(self.shown(value)) for name, value in attrs}
         for reader in self.readers:
-            reader.start(tag, dict(attrs), self.get_starttag_text())
+            reader.start(tag, values, self.shown(self.get_starttag_text()))
 
     handle_startendtag = handle_starttag
 
@@ -198,16 +249,25 @@ class _PageReader(HTMLParser):
             reader.end(tag)
 
     def handle_data(self, data):
+        raw = self.shown(data)
+        text = decoded(raw)
         for reader in self.readers:
-            reader.data(data, data)
+            reader.data(raw, text)
 
-    def handle_entityref(self, name):
-        for reader in self.readers:
-            reader.data(f"&{name};", ENTITIES.get(name, f"&{name};"))
 
-    def handle_charref(self, name):
-        for reader in self.readers:
-            reader.data(f"&#{name};", unescape(f"&#{name};"))
+def decoded(text: str | None) -> str | None:
+    """`decode_entities` for one text in Python."""
+    return text and re.sub(_REFERENCE, lambda one: _named(one[0]), text).replace("&amp;", "&")
+
+
+def _named(reference: str) -> str:
+    body = reference[1:-1]
+    if not body.startswith("#"):
+        return ENTITIES.get(body, reference)
+    code = int(body[2:], 16) if body[1] in "xX" else int(body[1:])
+    windows = 0x80 <= code < 0xA0
+    known = 1 <= code <= 0xD7FF or 0xE000 <= code <= 0x10FFFF
+    return unescape(f"&#{code};") if windows else chr(code) if known else "\ufffd"
 
 
 def parsed_fields(html: Column, rules: list[FieldRule]) -> Column:
@@ -217,8 +277,9 @@ def parsed_fields(html: Column, rules: list[FieldRule]) -> Column:
     def read_one(markup: str | None) -> list[str | None]:
         if markup is None:
             return [None] * len(names)
-        page = _PageReader(rules)
-        page.feed(markup)
+        ampersand = next(chr(code) for code in range(0xE000, 0xF8FF) if chr(code) not in markup)
+        page = _PageReader(rules, ampersand)
+        page.feed(markup.replace("&", ampersand))
         page.close()
         return [reader.value() for reader in page.readers]
 
