@@ -91,11 +91,13 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", share: f
     """Rows of `df` that stay: of equal normalised texts the row with the smallest key, columns unchanged.
 
     A null text is an empty one; a null key stays only where its group has no other; of rows that repeat the
-    smallest key one stays; an empty table stays empty. Rows of hot groups that go are removed before the shuffle, and each
-    task keeps one row per digest before it, so no group of copies meets in one task.
+    smallest key one stays; an empty table stays empty; columns may have any names. Rows of hot groups that go are removed
+    before the shuffle, and each task keeps one row per digest before it, so no group of copies meets in one task.
     """
-    heavy = heavy_groups(Staged(digests(df, text, (key,)), "digests").df, key, "_digest", share)
-    marked = df.withColumn("_digest", digest_of(text)).join(F.broadcast(heavy), "_digest", "left")
-    left = marked.where(F.col("_size").isNull() | F.col(key).eqNullSafe(F.col("_keep")))
-    first = Window.partitionBy("_digest").orderBy(F.asc_nulls_last(key))
-    return left.withColumn("_row", F.row_number().over(first)).where(F.col("_row") == 1).select(df.columns)
+    rows = df.select(F.struct(*[F.col(name) for name in df.columns]).alias("_all"), F.col(key).alias("_key"), digest_of(text).alias("_digest"))
+    heavy = heavy_groups(Staged(rows.select("_key", "_digest"), "digests").df, "_key", "_digest", share)
+    marked = rows.join(F.broadcast(heavy), "_digest", "left")
+    left = marked.where(F.col("_size").isNull() | F.col("_key").eqNullSafe(F.col("_keep")))
+    first = Window.partitionBy("_digest").orderBy(F.asc_nulls_last("_key"))
+    kept = left.withColumn("_row", F.row_number().over(first)).where(F.col("_row") == 1)
+    return kept.select(*[F.col("_all")[name].alias(name) for name in df.columns])

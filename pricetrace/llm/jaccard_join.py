@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetrace.llm.pieces import IDENTITY, Lists, Shelf, Union, class_table, grouped, identity, labelled, node_texts, piece_links, signed, similar, spread, star_links
@@ -184,9 +184,11 @@ def answers(sets: list[np.ndarray], groups: np.ndarray, join: Join) -> list[tupl
     return union.pairs
 
 
-def lists_of(entries: DataFrame) -> DataFrame:
-    """(place, hub) of the tokens that more than one node has in its prefix; the hub is the smallest of them."""
-    return entries.groupBy("place").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("place", "hub")
+def listed(entries: DataFrame) -> DataFrame:
+    """The entries (place, node) of tokens that more than one node has in its prefix, with the list's smallest node as `hub`."""
+    whole = Window.partitionBy("place")
+    found = entries.select("place", "node", F.min("node").over(whole).alias("hub"), F.max("node").over(whole).alias("_last"))
+    return found.where("hub <> _last").drop("_last")
 
 
 def jaccard_components(df: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,23 +196,24 @@ def jaccard_components(df: DataFrame, join: Join = Join(), key: str = "doc_id",
 
     Keys are longs. A text without words has no shingles and no links; a null text has no words. Rows of one key are one
     node, whose links are those of all its texts. Rows with a null key have no links and component null. Links are first
-    sought between a class and the smallest one it shares a list with, then within every list that still holds several
-    components; no list is cut short.
+    sought between a class and the first one of the lists it shares most of, then within every list that still holds
+    several components; no list is cut short.
     """
     levels = sketch(df, join, text)
     shelf = Shelf()
     table = shelf.put(prefixes(df, join, levels, key, text), "prefixes")
     classes = shelf.put(class_table(table.drop("tokens")), "classes")
-    entries = table.join(classes, ["node", *IDENTITY], "left_semi").select("node", "n", F.explode("tokens").alias("place"))
-    listed = shelf.put(entries.join(lists_of(entries).select("place"), "place").distinct(), "listed")
-    shares = F.col("tokens") * 10_000 >= join.more * join.percent * F.col("n")
-    usable = listed.groupBy("node").agg(F.count("*").alias("tokens"), F.min("n").alias("n")).where(shares).select("node")
-    usable = listed.join(usable, "node", "left_semi")
-    places = shelf.put(usable.join(lists_of(usable), "place"), "places")
+    sizes = classes.groupBy("node").agg(F.min("n").alias("least"), F.max("n").alias("n"))
+    entries = table.join(classes, ["node", *IDENTITY], "left_semi").select("node", F.explode("tokens").alias("place"))
+    first = shelf.put(listed(entries), "lists")
+    shares = F.col("tokens") * 10_000 >= join.more * join.percent * F.col("least")
+    usable = first.groupBy("node").agg(F.count("*").alias("tokens")).join(sizes, "node").where(shares).select("node")
+    places = shelf.put(listed(first.join(usable, "node", "left_semi")), "places")
     texts = shelf.put(node_texts(df, places, key, text), "texts")
-    stars = places.where("node <> hub").groupBy("node").agg(F.min("hub").alias("hub"))
+    shared = places.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("tokens"))
+    stars = shared.groupBy("node").agg(F.max_by("hub", F.struct("tokens", "hub")).alias("hub"))
     links = shelf.put(star_links(stars, texts, join.width, join.percent), "star-links")
-    rows = grouped(places.drop("hub"), links, shelf)
+    rows = grouped(places.select("place", "node").join(sizes.select("node", "n"), "node"), links, shelf)
     more = shelf.put(piece_links(rows, texts, join.width, lambda own, groups: answers(own, groups, join), shelf), "piece-links")
     found = Staged(labelled(table, classes, links.unionByName(more), key), "components").df
     shelf.clear()

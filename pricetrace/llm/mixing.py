@@ -1,10 +1,11 @@
 """Mixing sources to target weights with Sainte-Laguë quotas.
 
 Targets share all words of the corpus by weight, none above `repeat` times its source. Equal blocks of words are
-allocated to the sources by the highest quotients, then each source's blocks to its shards in the same way. A
-(source, shard) is a line of its documents in a seeded order, cut into equal blocks; a seeded permutation of the
-block numbers says which blocks the quota takes once more than the others. Everything but per-source and per-shard
-sums stays with the rows, and the documents are dealt out once.
+allocated to the sources by the highest quotients, then each source's blocks to its shards in the same way. The
+documents of a source are dealt to parts in a seeded order; as many neighbouring parts as it takes to hold enough words
+are a shard, a line of words cut into equal blocks; a seeded permutation of the block numbers says which blocks the
+quota takes once more than the others. Everything but per-source and per-part sums stays with the rows, and the
+documents are dealt out once.
 """
 
 from __future__ import annotations
@@ -23,12 +24,16 @@ STRIDE = 2_147_483_647
 
 @dataclass(frozen=True)
 class Mix:
-    """`weights` repeat over the sources in code point order, null last; `shards` is the number of lines per source."""
+    """`weights` repeat over the sources in code point order, null last.
+
+    A source has at most `parts` shards, and one per `shard_words` words, so that rounding to whole blocks stays small.
+    """
 
     weights: tuple[int, ...] = (1, 2, 3)
     repeat: int = 3
     block_words: int = 32
-    shards: int = 128
+    parts: int = 128
+    shard_words: int = 4_096
     seed: int = 7
 
 
@@ -78,41 +83,52 @@ def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
 
 
 def keyed(df: DataFrame, mix: Mix, key: str, source: str, text: str) -> DataFrame:
-    """`_row` (all columns of `df`) with its words, its line (_null, _source, _shard) and its seeded place in it."""
+    """`_row` (all columns of `df`) with its words, its part (_null, _source, _part) and its seeded place in it."""
     place = F.xxhash64(F.lit(mix.seed), F.col(key), F.xxhash64(text))
     return df.select(
         F.struct(*[F.col(name) for name in df.columns]).alias("_row"),
         count_words(F.col(text)).alias("size"),
         F.col(source).isNull().alias("_null"),
         F.coalesce(F.col(source), F.lit("")).alias("_source"),
-        F.pmod(place, F.lit(mix.shards)).cast("int").alias("_shard"),
+        F.pmod(place, F.lit(mix.parts)).cast("int").alias("_part"),
         place.alias("_place"),
     )
 
 
 def quotas(placed: DataFrame, mix: Mix) -> DataFrame:
-    """(_null, _source, _shard, line, blocks, quota, source_size, target) per line: its words, blocks and blocks to take."""
-    lines = Staged(placed.groupBy("_null", "_source", "_shard").agg(F.sum("size").alias("line")), "lines").df
-    sizes = lines.groupBy("_null", "_source").agg(F.sum("line").alias("source_size"))
+    """(_null, _source, _part, _shard, _offset, line, blocks, quota, source_size, target) per part.
+
+    `_offset` is where the part begins in its shard; `line`, `blocks` and `quota` are the shard's words, its blocks and
+    how many of them to take. A shard's votes are its blocks and a source's its target in blocks, so no quota is more than
+    `repeat` times the blocks but for the last seat of a source at its limit, which is then not taken.
+    """
+    source, shard = ["_null", "_source"], ["_null", "_source", "_shard"]
+    parts = Staged(placed.groupBy(*source, "_part").agg(F.sum("size").alias("_words")), "parts").df
+    sizes = parts.groupBy(*source).agg(F.sum("_words").alias("source_size"))
     aims = targets(sizes, mix)
-    seats = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / mix.block_words).cast("long")
-    by_source = sainte_lague(
-        aims.select(F.lit(0).alias("_all"), "_null", "_source", "source_size", "target", F.col("target").alias("votes"), seats.alias("seats")),
-        ["_all"], ["_null", "_source"],
-    ).select("_null", "_source", "source_size", "target", F.col("quota").alias("seats"))
-    votes = lines.join(by_source, ["_null", "_source"]).withColumn("votes", F.col("line").cast("double"))
-    by_line = sainte_lague(votes, ["_null", "_source"], ["_shard"])
-    blocks = F.greatest(F.lit(1), F.round(F.col("line") / mix.block_words)).cast("long")
-    most = F.least(F.col("quota"), F.col("blocks") * mix.repeat)
-    return by_line.withColumn("blocks", blocks).withColumn("quota", most).drop("votes", "seats")
+    shards = F.least(F.lit(mix.parts), F.greatest(F.lit(1), F.floor(F.col("source_size") / mix.shard_words)))
+    dealt = parts.join(aims, source).withColumn("_shard", F.floor(F.col("_part") * shards / mix.parts).cast("int"))
+    whole = Window.partitionBy(*shard)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumn("_offset", F.coalesce(F.sum("_words").over(before), F.lit(0))).withColumn("line", F.sum("_words").over(whole))
+    dealt = dealt.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("line") / mix.block_words)).cast("long"))
+    lines = dealt.groupBy(*shard, "line", "blocks", "source_size", "target").agg(F.count("*").alias("_parts"))
+    totals = lines.groupBy(*source, "source_size", "target").agg(F.sum("blocks").alias("_blocks"))
+    votes = totals.withColumn("votes", F.expr("coalesce(try_divide(target * _blocks, source_size), 0D)"))
+    seats = F.round(F.sum("votes").over(Window.partitionBy(F.lit(0)))).cast("long")
+    by_source = sainte_lague(votes.select(F.lit(0).alias("_all"), *source, "_blocks", "votes", seats.alias("seats")), ["_all"], source)
+    seats = by_source.select(*source, F.least("quota", F.col("_blocks") * mix.repeat).alias("seats"))
+    by_shard = sainte_lague(lines.join(seats, source).withColumn("votes", F.col("blocks").cast("double")), source, ["_shard"])
+    return dealt.join(by_shard.select(*shard, "quota"), shard).drop("_words")
 
 
 def laid_out(placed: DataFrame, table: DataFrame, mix: Mix) -> DataFrame:
     """Rows with `_start`, their first word in the line, and `_picked`, the blocks they touch that are taken once more."""
-    keys = ["_null", "_source", "_shard"]
+    keys = ["_null", "_source", "_part"]
     before = Window.partitionBy(*keys).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
-    rows = placed.withColumn("_start", F.coalesce(F.sum("size").over(before), F.lit(0))).join(table, keys)
-    shifted = rows.withColumn("_shift", F.pmod(F.xxhash64(F.lit(mix.seed), *keys), "blocks"))
+    rows = placed.withColumn("_before", F.coalesce(F.sum("size").over(before), F.lit(0))).join(table, keys)
+    rows = rows.withColumn("_start", F.col("_before") + F.col("_offset"))
+    shifted = rows.withColumn("_shift", F.pmod(F.xxhash64(F.lit(mix.seed), "_null", "_source", "_shard"), "blocks"))
     touched = "sequence(((_start + 1) * blocks - 1) div line, ((_start + size) * blocks - 1) div line)"
     chosen = f"filter({touched}, j -> (j * ({STRIDE}L % blocks) + _shift) % blocks < quota % blocks)"
     return shifted.withColumn("_picked", F.expr(f"CASE WHEN size > 0 THEN {chosen} ELSE array() END"))

@@ -39,24 +39,24 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], name: str =
     return df.withColumn(name, rendezvous(F.col(key), weights))
 
 
-def number_slots(df: DataFrame, group: str, key: str, rows_per_bucket: int = 100_000, name: str = "slot") -> DataFrame:
-    """`df` with a gapless number from 0 inside each `group`, in the order of a keyed draw, then of the key.
+def number_slots(df: DataFrame, group: str, key: str, spread: str, rows_per_bucket: int = 100_000, name: str = "slot") -> DataFrame:
+    """`df` with a gapless number from 0 inside each `group`, in the order of a draw from `key` and `spread`.
 
     A group is cut into buckets by the draw, rows are numbered inside their bucket and shifted by the sizes of
     the buckets before it, so no task holds a group. The number of buckets follows the number of rows. `df` is
-    read twice. Rows of equal key and draw are numbered in any order.
+    read twice. `spread` should tell apart the rows of a key, which then lie in different buckets, however many they are;
+    rows equal in both are numbered in any order. Other columns may have any names.
     """
-    spark = df.sparkSession
     buckets = max(1, -(-df.count() // rows_per_bucket))
-    drawn = df.withColumn("_draw", draw(F.col(key), "slot"))
-    cut = drawn.withColumn("_bucket", F.floor(F.col("_draw") * buckets).cast("int"))
-    sizes = cut.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(group, "_bucket").orderBy("_draw", key)
-    numbered = cut.withColumn("_row", F.row_number().over(inside) - 1)
-    shifted = numbered.join(offsets, [group, "_bucket"])
-    return shifted.withColumn(name, (F.col("_row") + F.col("_offset")).cast("long")).select(*df.columns, name)
+    both = F.concat_ws("/", F.col(key).cast("string"), F.col(spread).cast("string"))
+    packed = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("_all"), F.col(group).alias("_group"), draw(both, "slot").alias("_draw"))
+    cut = packed.withColumn("_bucket", F.floor(F.col("_draw") * buckets).cast("int"))
+    sizes = cut.groupBy("_group", "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_group", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_group", "_bucket").orderBy("_draw")
+    shifted = cut.withColumn("_row", F.row_number().over(inside) - 1).join(offsets, ["_group", "_bucket"])
+    return shifted.select(*[F.col("_all")[c].alias(c) for c in df.columns], (F.col("_row") + F.col("_offset")).cast("long").alias(name))
 
 
 def shard_table(df: DataFrame, key: str, weights: Sequence[float], text: str = "text") -> DataFrame:
@@ -72,7 +72,8 @@ def shard_table(df: DataFrame, key: str, weights: Sequence[float], text: str = "
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
     )
     placed = assign_shards(assign_shards(narrow, key, weights), key, grown, "grown_shard")
-    return number_slots(Staged(placed, "shards").df, "shard", key)
+    stored = Staged(placed.withColumn("_id", F.monotonically_increasing_id()), "shards").df
+    return number_slots(stored, "shard", key, "_id").drop("_id")
 
 
 def write_shards(df: DataFrame, key: str, weights: Sequence[float], path: str) -> None:

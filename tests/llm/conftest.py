@@ -12,8 +12,9 @@ def odd(spark):
         (3, None, "t", 1), (4, "", None, 2), (5, " \n ", "t", 3), (6, long, "t", 4), (7, long + " end", "s", 4), (8, "ein Wort: é ü", "u", 0),
         (9, long, "s", None), (None, None, None, None),
     ]
-    names = "doc_id bigint, text string, source string, size int, kept int, score int, shard int, spans int, rank int, line int, node int, n int"
-    return spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6, 7, 8) for r in rows], names)
+    names = ["size", "kept", "score", "shard", "spans", "rank", "line", "node", "n", "_size", "_keep", "_row", "_digest", "_bucket", "_offset", "_part", "tree", "pos", "term", "batch"]
+    types = "doc_id bigint, text string, source string, " + ", ".join(f"{name} int" for name in names)
+    return spark.createDataFrame([(*r, *range(1, len(names))) for r in rows], types)
 
 
 @pytest.fixture(scope="session")

@@ -1,11 +1,12 @@
 import hashlib
-import math
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
+import pytest
 
-from pricetrace.llm import exact_dedup, near_dedup, repeats
+from pricetrace.llm import exact_dedup, jaccard_join, near_dedup, pieces, repeats
 from pricetrace.llm.components import connected_components
 from pricetrace.llm.queries import QUERIES
 from pricetrace.llm.shingles import shingle_sets
@@ -13,6 +14,7 @@ from pricetrace.scratch import Staged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOUR = near_dedup.Forest(width=4)
+FOUR_EXACT = jaccard_join.Join()
 
 
 def shingles(text, width=4):
@@ -20,7 +22,7 @@ def shingles(text, width=4):
     return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
 
 
-def groups(texts, width=4):
+def groups(texts, width=4, percent=80):
     sets = {key: shingles(text, width) for key, text in texts.items()}
     parent = {key: key for key in texts}
 
@@ -33,7 +35,7 @@ def groups(texts, width=4):
     for i, a in enumerate(keys):
         for b in keys[i + 1 :]:
             shared = len(sets[a] & sets[b])
-            if shared and 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared):
+            if shared and 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {key: (len(sets[key]), root(key)) for key in texts}
@@ -76,51 +78,96 @@ def test_one_key_with_several_texts_is_one_node(spark):
     assert got == {(5, 3), (3, 3), (4, 3), (9, 9)}
 
 
-def test_large_regions_are_cut_along_their_order(spark):
-    rng = random.Random(2)
-    texts = list(enumerate(family(rng, 600, 2)))
-    small = near_dedup.Forest(width=4, region=16, wide=512)
-    got = {r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id bigint, text string"), small).collect()}
-    want = {c for _, c in groups(dict(texts)).values()}
-    assert got == want
+def borderline(size, changes, seed=3, words=200):
+    """Texts of one family that are all about as similar as two of them with `changes` own words each."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    for _ in range(size):
+        copy = list(base)
+        for i in rng.sample(range(words), changes):
+            copy[i] = f"y{rng.randrange(10**7)}"
+        yield " ".join(copy)
 
 
-def crowded(spark, small):
-    """Rows of a pass: nodes 0 and 1 agree in 5/6 of their values, are far apart in region 7 among 60 others, and share the regions `small`."""
-    rng = random.Random(5)
-    alike = [bytes([0]) + bytes(239), bytes([255] * 40) + bytes(200)]
-    sigs = alike + [bytes([100]) + rng.randbytes(239) for _ in range(60)]
-    own = [[7] + [r if node < 2 else 100 * node + r for r in (8, 9)] for node in range(62)]
-    rows = [(regions[o], o, node, node, sigs[node], regions) for node, regions in enumerate(own) for o in range(3) if o == 0 or regions[o] in small]
-    names = "region bigint, order int, node bigint, group bigint, sig binary, regions array<bigint>"
-    return spark.createDataFrame([(r, o, n, g, bytearray(s), x) for r, o, n, g, s, x in rows], names)
+def components(rows):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows}
 
 
-def test_a_region_that_was_cut_does_not_hide_a_later_one(spark):
-    found = near_dedup.candidates(crowded(spark, [8, 9]), near_dedup.Forest(wide=16), 16, near_dedup.spanning)
-    assert (0, 1) in {tuple(r) for r in found.collect()}
+@pytest.mark.parametrize("blocks", [False, True])
+def test_families_just_below_the_threshold(spark, monkeypatch, blocks):
+    # 200 and 400 documents whose pairs nearly all lie between 0.6 and 0.9: many are compared, few rows are made.
+    if blocks:
+        monkeypatch.setattr(pieces, "MOST_CLASSES", 64)
+    made, whole = [], pieces.piece_links
 
+    def counted(*args):
+        links = whole(*args)
+        made.append(links.count())
+        return links
 
-def test_a_region_above_wide_is_compared_whole(spark):
-    rows = crowded(spark, [])
-    assert rows.where("region <> 7").count() == 0
-    sigs = rows.select("node", "sig", "regions")
-    found = near_dedup.compared(rows.drop("sig", "regions"), sigs, near_dedup.Forest(wide=16)).collect()
-    assert [(r["a"], r["b"]) for r in found] == [(0, 1)]
+    monkeypatch.setattr(near_dedup, "piece_links", counted)
+    monkeypatch.setattr(jaccard_join, "piece_links", counted)
+    for size in (200,) if blocks else (200, 400):
+        texts = dict(enumerate(borderline(size, 4)))
+        table = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+        assert components(near_dedup.near_duplicates(table, FOUR).collect()) == groups(texts)
+        assert components(jaccard_join.jaccard_components(table).collect()) == groups(texts, percent=85)
+    if not blocks:
+        assert all(n < 3 * 400 for n in made)
 
 
-def test_estimates_lose_less_than_the_forest():
-    forest = near_dedup.Forest()
-    below = sum(math.comb(forest.sketch, k) * 0.8**k * 0.2 ** (forest.sketch - k) for k in range(math.ceil(forest.likely * forest.sketch)))
-    assert below < 0.1 * (1 - 0.8**forest.depth) ** forest.orders
+def test_jaccard_components_equal_brute_force(spark):
+    rng = random.Random(12)
+    texts = [text for size, edits in ((12, 2), (40, 6), (5, 0), (30, 12), (9, 1), (60, 4)) for text in family(rng, size, edits)]
+    texts += [*borderline(60, 3, words=120), "", "a", "A", "a b", "a b c d", "A b  c\nd", "a b c d e", None, " ".join(f"l{i}" for i in range(30_000))]
+    texts.append(texts[-1] + " more")
+    table = dict(enumerate(texts))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(list(table.items()), "doc_id bigint, text string").repartition(5))
+    assert components(got.collect()) == groups(table, percent=85)
+
+
+def test_answers_are_derived_from_close_sets():
+    rng = np.random.default_rng(3)
+    base = rng.integers(1 << 60, size=400, dtype=np.uint64)
+    sets = [base]
+    for changes in (2, 8, 8, 30, 31, 32, 33, 60, 90, 5, 7, 40):
+        one = base.copy()
+        one[rng.choice(400, changes, replace=False)] = rng.integers(1 << 60, size=changes, dtype=np.uint64)
+        sets.append(np.sort(one))
+    sets += [np.sort(base[:350]), np.sort(base[:339]), np.sort(base[:341]), rng.integers(1 << 60, size=400, dtype=np.uint64)]
+    own = [set(x.tolist()) for x in sets]
+    near = {(i, j) for i, x in enumerate(own) for j, y in enumerate(own) if i != j and 100 * len(x & y) >= 85 * len(x | y)}
+    pairs = jaccard_join.answers(sets, np.arange(len(sets)), jaccard_join.Join())
+    assert set(pairs) <= near and len(pairs) < len(sets)
+    group = list(range(len(sets)))
+    for i, j in near:
+        group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    linked = list(range(len(sets)))
+    for i, j in pairs:
+        linked = [min(linked[i], linked[j]) if g in (linked[i], linked[j]) else g for g in linked]
+    assert group == linked
+    index = jaccard_join.Index(sets, 77)
+    for i, x in enumerate(own):
+        wide = {j for j, y in enumerate(own) if i != j and 100 * len(x & y) >= 77 * len(x | y)}
+        assert wide <= set(index.candidates(i).tolist())
+
+
+def test_a_passage_in_every_document_makes_no_piece(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = {i: f"{passage} " + " ".join(f"o{i}x{j}" for j in range(300)) for i in range(120)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    levels = jaccard_join.sketch(table, FOUR_EXACT, "text")
+    rows = jaccard_join.prefixes(table, FOUR_EXACT, levels, "doc_id", "text").collect()
+    assert len({t for r in rows for t in r["tokens"]}) == sum(len(r["tokens"]) for r in rows)
+    assert components(jaccard_join.jaccard_components(table).collect()) == groups(texts, percent=85)
 
 
-def test_a_refused_sure_link_hides_no_other(spark):
-    texts = dict(enumerate(t for _ in range(6) for t in family(random.Random(21 + _), 8, 12)))
-    eager = near_dedup.Forest(width=4, depth=1, first=1, region=2, likely=0.3, sure=0.3)
-    table = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(table, eager).collect()}
-    assert got == groups(texts)
+def test_jaccard_components_of_odd_rows(odd, none):
+    rows = jaccard_join.jaccard_components(odd).collect()
+    assert len(rows) == 12
+    assert {r["doc_id"]: r["component_id"] for r in rows if r["doc_id"] is not None} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 6}
+    assert [r["component_id"] for r in rows if r["doc_id"] is None] == [None, None]
+    assert {r["n_shingles"] for r in rows if r["doc_id"] in (3, 4, 5)} == {0} and jaccard_join.jaccard_components(none).count() == 0
 
 
 def test_shingle_hashes_count_like_sets():
@@ -150,6 +197,12 @@ def test_heavy_digests(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(min(m) for m in members.values())
 
 
+def test_exact_dedup_leaves_clashing_columns_alone(odd):
+    before = {tuple(r) for r in odd.collect()}
+    kept = [tuple(r) for r in exact_dedup.deduplicate(odd).collect()]
+    assert kept and set(kept) <= before
+
+
 def test_exact_dedup_of_odd_rows(odd, none):
     kept = exact_dedup.deduplicate(odd)
     assert kept.columns == odd.columns
@@ -206,3 +259,5 @@ def test_registered_near_query_equals_brute_force(spark):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op1_near_dedup"](spark, sf).collect()}
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     assert got == groups(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op12_jaccard_join"](spark, sf).collect()}
+    assert got == groups(texts, percent=85)

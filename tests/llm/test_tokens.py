@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 import re
 import zlib
@@ -89,12 +91,29 @@ def test_shards_move_only_into_the_new_one(spark, odd, none):
         assert r["grown_shard"] in (r["shard"], 40) and 0 <= r["shard"] < 40
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert len(rows) == len(texts) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+    def bid(key, shard):
+        return -math.log((int(hashlib.md5(f"{key}:{shard}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52)
+
+    for r in rows:
+        bids = [bid(r["doc_id"], shard) for shard in range(41)]
+        assert bids[r["shard"]] == min(bids[:40]) and bids[r["grown_shard"]] == min(bids)
     odd_rows = sharding.shard_table(odd, "doc_id", [1.0, 2.0]).collect()
     assert len(odd_rows) == 12 and len({r["shard"] for r in odd_rows if r["doc_id"] is None}) == 1
     assert {r["size"] for r in odd_rows if r["doc_id"] in (3, 4)} == {16} and sharding.shard_table(none, "doc_id", [1.0]).count() == 0
     assert "shard" in sharding.assign_shards(odd, "doc_id", [1.0]).columns
 
 
+def test_slots_of_a_hot_key_are_spread(spark, odd):
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "id", "1 AS g", "id AS _row", "id AS _offset", "id AS _bucket")
+    got = sharding.number_slots(rows, "g", "k", "id", rows_per_bucket=100)
+    assert got.columns == [*rows.columns, "slot"]
+    found = got.collect()
+    assert sorted(r["slot"] for r in found) == list(range(3000)) and all(r["id"] == r["_row"] == r["_offset"] for r in found)
+    hot = sorted(r["slot"] for r in found if r["k"] == 7)
+    assert hot[0] < 100 and hot[-1] > 2900
+
+
 def test_shard_weights_are_shares(spark):
     placed = sharding.assign_shards(spark.range(20000), "id", [1.0, 3.0]).groupBy("shard").count()
     assert abs({r["shard"]: r["count"] for r in placed.collect()}[1] / 20000 - 0.75) < 0.02
@@ -158,6 +177,21 @@ def test_mix_meets_its_targets(spark):
     assert words == {k: r["taken"] for k, r in got.items() if r["taken"]}
 
 
+def test_small_sources_come_near_their_targets(spark):
+    rows = []
+    for source, docs, words in (("a", 15, 20), ("b", 15, 20), ("c", 400, 50), ("d", 3, 4000), ("e", 1, 7), ("f", 4, 4000), ("g", 60, 3), ("h", 2, 0)):
+        rows += [(len(rows) + i, " ".join(f"w{j}" for j in range(words)), source) for i in range(docs)]
+    got = mixing.mix_table(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    sums, aims = {}, {}
+    for r in got:
+        source = rows[r["doc_id"]][2]
+        sums[source], aims[source] = sums.get(source, 0) + r["taken"], r["target"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    assert all(abs(sums[s] - aims[s]) <= 32 for s in sums), (sums, aims)
+    total = sum(len(text.split()) for _, text, _ in rows)
+    assert abs(sum(sums.values()) - total) <= 0.01 * total
+
+
 def test_mix_of_odd_rows(odd, none):
     rows = mixing.mix_table(odd).collect()
     assert len(rows) == 12 and all(r["taken"] == 0 for r in rows if r["size"] == 0)
