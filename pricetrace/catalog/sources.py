@@ -9,8 +9,9 @@ from pricetrace.catalog.months import month_counts
 from pricetrace.catalog.registry import query
 from pricetrace.functions.columns import policy_label
 from pricetrace.operators import monthly
-from pricetrace.scratch import new_path, setting
+from pricetrace.scratch import Staged, new_path, setting
 from pricetrace.sinks import datasets
+from pricetrace.sources import archives
 from pricetrace.sources import articles as source
 from pricetrace.sources import trades as trade_source
 
@@ -32,6 +33,47 @@ def scan_headerless_csv(spark, sf):
     return source.read_headerless(spark, path)
 
 
+@query("scan_articles_csv_split", _ALL_ARTICLES)
+def scan_articles_csv_split(spark, sf):
+    path = new_path(spark, "articles-split-csv")
+    datasets.write_articles(articles(spark, sf), path)
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "262144"):
+        return Staged(source.read_articles(spark, path, splits=True), "split-articles").df
+
+
+def _cut_in_half(spark, path, pattern):
+    """Keep only the first half of the bytes of the files that fit a glob pattern."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs
+    for status in fs.Path(path).getFileSystem(conf).globStatus(fs.Path(f"{path}/{pattern}")):
+        system = status.getPath().getFileSystem(conf)
+        half = fs.Path(status.getPath().toString().replace(".csv.gz", "-half.csv.gz"))
+        whole, cut = system.open(status.getPath()), system.create(half)
+        jvm.org.apache.commons.io.IOUtils.copyLarge(whole, cut, 0, status.getLen() // 2)
+        whole.close()
+        cut.close()
+        system.delete(status.getPath(), False)
+
+
+@query("scan_damaged_files", """
+  SELECT section_id, section_id <> 'fr' AS whole, CASE WHEN section_id = 'fr' THEN 0 ELSE count(*) END AS n_articles,
+    CASE WHEN section_id = 'fr' THEN NULL ELSE sum(1 + length(title) - length(replace(title, chr(10), ''))
+      + 2 * (length(content_text) - length(replace(content_text, chr(10), '')))) END AS line_ends
+  FROM art GROUP BY section_id""")
+def scan_damaged_files(spark, sf):
+    path = new_path(spark, "damaged-csv")
+    rows = articles(spark, sf).select(*schemas.ARTICLE_COLUMNS)
+    datasets.csv_writer(rows.withColumn("section", F.col("section_id")).hint("rebalance", "section"), header=False).option("compression", "gzip").partitionBy("section").csv(path)
+    _cut_in_half(spark, path, "section=fr/*.csv.gz")
+    section = F.regexp_extract("file", "section=([a-z]+)/", 1).alias("section_id")
+    whole = F.bool_and(F.col("state") == archives.WHOLE)
+    states = archives.archive_states(spark, path).groupBy(section).agg(whole.alias("whole"), F.sum("line_ends").alias("line_ends"))
+    kept = source.read_articles(spark, path, header=False, skip_unreadable=True).groupBy("section_id").agg(F.count("*").alias("n"))
+    return states.join(kept, "section_id", "left").select(
+        "section_id", "whole", F.coalesce("n", F.lit(0)).alias("n_articles"), F.when(F.col("whole"), F.col("line_ends")).alias("line_ends")
+    )
+
+
 def _named_files(art, name, path):
     """Article files grouped into datasets with the given names."""
     rows = art.select(*schemas.ARTICLE_COLUMNS, name.alias("file"))

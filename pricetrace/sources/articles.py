@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricetrace import schemas
+from pricetrace.sources import archives, quoted
 
 # How the month (or day) key is written in file names.
 MONTH_PATTERNS = {
@@ -25,7 +26,7 @@ def csv_reader(spark: SparkSession, schema: T.StructType, header: bool = True, m
 
     A file with embedded line breaks is streamed by one task, so `pricetrace.sinks` bounds the rows
     per file; directories are read in one scan however many files they hold. `multi_line=False` splits
-    large files that are known to hold one record per line.
+    large files that are known to hold one record per line; `quoted.quoted_records` splits any.
     """
     return (
         spark.read.schema(schema)
@@ -39,40 +40,40 @@ def csv_reader(spark: SparkSession, schema: T.StructType, header: bool = True, m
 
 def read_articles(
     spark: SparkSession, path: str | list[str], on_bad: str = "keep", header: bool = True, multi_line: bool = True,
-    skip_unreadable: bool = False,
+    skip_unreadable: bool = False, splits: bool = False,
 ) -> DataFrame:
     """All article files below `path` in one scan.
 
     `on_bad` says what happens to lines with more fields than the header: `keep` cuts them to the
     eleven columns, `drop` removes them, `quarantine` adds a boolean column `is_bad`. Short lines are
-    always filled up with nulls. A file that cannot be read fails the job, unless `skip_unreadable` is set;
-    `unreadable_files` then names the files that were left out.
+    always filled up with nulls. `splits` reads large files in several tasks, whatever their quotes hold.
+    A file that cannot be read fails the job, unless `skip_unreadable` is set: then no row of a file that is not whole
+    is returned, and `archives.damaged_files` names these files.
     """
     if on_bad not in ("keep", "drop", "quarantine"):
         raise ValueError(f"unknown on_bad mode: {on_bad}")
+    schema = schemas.ARTICLES if on_bad == "keep" else T.StructType([*schemas.ARTICLES.fields, T.StructField(_OVERFLOW, T.StringType())])
+    if splits:
+        if skip_unreadable:
+            raise ValueError("splits=True reads all files; leave damaged ones out of the path")
+        rows = quoted.quoted_records(spark, path, header).select(quoted.parsed(F.col("record"), schema).alias("_row")).select("_row.*")
+    else:
+        # All columns are parsed, so that a line is judged the same whichever of them a query selects.
+        reader = csv_reader(spark, schema, header, multi_line).option("ignoreCorruptFiles", skip_unreadable)
+        rows = reader.option("columnPruning", on_bad == "keep").csv(path)
+    if skip_unreadable:
+        damaged = archives.damaged_files(spark, path).select("file")
+        rows = rows.join(damaged, F.col("_metadata.file_path") == F.col("file"), "left_anti")
     if on_bad == "keep":
-        return csv_reader(spark, schemas.ARTICLES, header, multi_line).option("ignoreCorruptFiles", skip_unreadable).csv(path)
-    wide = T.StructType([*schemas.ARTICLES.fields, T.StructField(_OVERFLOW, T.StringType())])
-    reader = csv_reader(spark, wide, header, multi_line).option("ignoreCorruptFiles", skip_unreadable)
-    # All columns are parsed, so that a line is judged the same whichever of them a query selects.
-    rows = reader.option("columnPruning", False).csv(path)
+        return rows
     if on_bad == "drop":
         return rows.where(F.col(_OVERFLOW).isNull()).drop(_OVERFLOW)
     return rows.withColumn("is_bad", F.col(_OVERFLOW).isNotNull()).drop(_OVERFLOW)
 
 
-def unreadable_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, length) of the files below `path` of which a reader that skips damage sees no byte although they are not empty.
-
-    Damage shows when a compressed file is opened; plain text cannot be damaged in this way.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), "length")
-    lines = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).text(path)
-    seen = lines.select(F.col("_metadata.file_path").alias("file")).distinct()
-    return files.where("length > 0").join(seen, "file", "left_anti")
-
-
-def read_headerless(spark: SparkSession, path: str, schema: T.StructType = schemas.ARTICLES) -> DataFrame:
+def read_headerless(spark: SparkSession, path: str, schema: T.StructType = schemas.ARTICLES, splits: bool = False) -> DataFrame:
+    if splits:
+        return quoted.quoted_records(spark, path, header=False).select(quoted.parsed(F.col("record"), schema).alias("_row")).select("_row.*")
     return csv_reader(spark, schema, header=False).csv(path)
 
 
