@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from pricetrace.functions.columns import let
 from pricetrace.functions.text import keep_words, tokens
 from pricetrace.keyword_sets import Keywords, all_words, keywords_df
+from pricetrace.scratch import stage
 
 TITLE_WEIGHT, BODY_WEIGHT = 2, 1  # fixed values
+#: Share of all tokens from which a word counts as frequent.
+FREQUENT = 0.001
 
 _PAIR = "array<struct<policy:int,cnt:bigint>>"
 
@@ -58,8 +61,8 @@ def keyword_counts(articles: DataFrame, keywords: Keywords | DataFrame, column:
     bodies = articles.where(F.col(column).isNotNull())
     words = bodies.select("month", F.explode(tokens(F.col(column))).alias("word")).groupBy("month", "word").agg(F.count("*").alias("n"))
     found = words.join(table, "word").groupBy("month", "policy").agg(F.sum("n").alias("cnt"))
-    policies = table.select("policy", F.lit(0).alias("_all")).distinct()
-    grid = articles.select("month", F.lit(0).alias("_all")).distinct().join(policies, "_all").select("month", "policy")
+    # Months times policies is the size of the result; every policy is a row of every month.
+    grid = articles.select("month").distinct().crossJoin(table.select("policy").distinct())
     return grid.join(found, ["month", "policy"], "left").select(
         "month", "policy", F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt")
     )
@@ -110,20 +113,39 @@ def label_articles(counts: DataFrame) -> DataFrame:
     )
 
 
+def frequent_words(words: DataFrame, total: int, share: float = FREQUENT) -> DataFrame:
+    """(word) of every word that makes up at least `share` of the `total` rows: at most 1 / share rows, whatever the input."""
+    return words.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("_n")).where(F.col("_n") >= share * total).select("word")
+
+
+def wanted_words(words: DataFrame, lexicon: DataFrame, total: int, share: float = FREQUENT) -> tuple[DataFrame, DataFrame]:
+    """The rows of `words` whose word is in the lexicon, in two parts: frequent words, and all others.
+
+    Frequent words are looked up first and their verdict is sent to every task (1 / share rows at most), so their rows are
+    settled where they are read. Only the others meet the lexicon in a join, in which no key is hot. Null words are dropped.
+    """
+    entries = lexicon.select("word").distinct()
+    known = frequent_words(words, total, share).join(entries.withColumn("_wanted", F.lit(True)), "word", "left").select("word", F.coalesce("_wanted", F.lit(False)).alias("_wanted"))
+    marked = words.join(F.broadcast(known), "word", "left")
+    settled = marked.where("_wanted").drop("_wanted")
+    rest = marked.where("_wanted IS NULL AND word IS NOT NULL").drop("_wanted")
+    return settled, rest.join(entries, "word", "left_semi")
+
+
 def tag_filter(articles: DataFrame, lexicon: DataFrame, tags: list[str], column: str = "title") -> DataFrame:
     """(month, article_id, tokens): tokens whose lexicon tag is wanted, in text order; articles without any keep an empty list.
 
-    A word with several tags passes once if one of them is wanted. Tokens meet the lexicon in a join,
-    so it may be of any size. Rows are put together by a row number, because ids may repeat; each task
-    does so for its own rows first, and one short list per article is shuffled.
+    A word with several tags passes once if one of them is wanted. Tokens meet the lexicon in `wanted_words`, so it may
+    be of any size and any word may stand in every title. Rows are put together by a row number, because ids may
+    repeat; each task does so for its own rows first, and one short list per article is shuffled.
     """
     row = F.monotonically_increasing_id().alias("_row")
-    words = articles.select("month", "article_id", row, tokens(F.col(column)).alias("_t")).select(
-        "month", "article_id", "_row", F.posexplode_outer("_t").alias("pos", "word")
-    )
-    wanted = lexicon.where(F.col("tag").isin(tags)).select("word").distinct().withColumn("_keep", F.lit(True))
-    kept = F.when(F.col("_keep"), F.struct("pos", "word"))
-    grouped = words.join(wanted, "word", "left").groupBy("_row", "month", "article_id").agg(
-        F.sort_array(F.collect_list(kept)).alias("found")
-    )
+    rows = stage(articles.select("month", "article_id", row, tokens(F.col(column)).alias("_t")), "titles")
+    total = rows.agg(F.sum(F.size("_t"))).head()[0] or 0
+    words = rows.select("month", "article_id", "_row", F.posexplode("_t").alias("pos", "word"))
+    settled, others = wanted_words(words, lexicon.where(F.col("tag").isin(tags)), total)
+    columns = ["_row", "month", "article_id"]
+    found = settled.select(*columns, F.struct("pos", "word").alias("one")).unionByName(others.select(*columns, F.struct("pos", "word").alias("one")))
+    empty = rows.select(*columns, F.lit(None).cast("struct<pos:int,word:string>").alias("one"))
+    grouped = empty.unionByName(found).groupBy(*columns).agg(F.sort_array(F.collect_list("one")).alias("found"))
     return grouped.select("month", "article_id", F.col("found.word").alias("tokens"))

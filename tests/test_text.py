@@ -10,6 +10,7 @@ from pricetrace import keyword_sets
 from pricetrace.functions import text
 from pricetrace.functions.columns import pad_id, parse_number, policy_label, policy_number
 from pricetrace.operators import clean, keywords
+from pricetrace.scratch import setting
 
 WORDS = {1: ["금리", "LTV", "of the"], 2: ["전세", "월세"], 3: ["금리"]}
 
@@ -110,6 +111,23 @@ def test_tag_filter_keeps_order_repeats_and_copies(spark, articles):
     assert sorted((r.article_id or "", r.tokens) for r in got) == [("", []), ("1", ["a"]), ("1", ["b", "a", "b"]), ("2", [])]
 
 
+def test_frequent_words_are_settled_before_the_join(spark):
+    titles = [("m", str(i), f"hot w{i} w{i + 1}" if i % 50 else None) for i in range(2000)]
+    art = spark.createDataFrame(titles, "month string, article_id string, title string")
+    lexicon = spark.createDataFrame([("hot", "NNG"), ("off", "JX")] + [(f"w{i}", "NNG" if i % 3 else "JX") for i in range(2001)], "word string, tag string")
+    words = art.select("article_id", F.explode(text.tokens(F.col("title"))).alias("word")).unionByName(spark.createDataFrame([("n", None)] * 50, "article_id string, word string"))
+    total = words.count()
+    assert [r.word for r in keywords.frequent_words(words, total).collect()] == ["hot"]
+    settled, others = keywords.wanted_words(words, lexicon.where("tag = 'NNG'"), total)
+    assert settled.select("word").distinct().collect() == [("hot",)] and settled.count() == 1960
+    assert others.groupBy("word").count().agg(F.max("count")).head()[0] <= 2
+    want = {str(i): [w for w in (f"hot w{i} w{i + 1}" if i % 50 else "").split() if w == "hot" or int(w[1:]) % 3] for i in range(2000)}
+    for size in ("-1", "10485760"):
+        with setting(spark, "spark.sql.autoBroadcastJoinThreshold", size):
+            got = keywords.tag_filter(art, lexicon, ["NNG"]).collect()
+        assert {r.article_id: r.tokens for r in got} == want
+
+
 def test_null_drop_modes_and_script_filter(spark, articles):
     assert clean.drop_required_nulls(articles, ["title", "content_text"]).count() == 4
     assert clean.drop_required_nulls(articles, ["title", "content_text"], "all").count() == 6
