@@ -1,12 +1,13 @@
 """End-to-end jobs."""
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from pricetrace.catalog.bindings import ARTICLE_LIST, TAGS, WORDS, articles, lexicon, trades
 from pricetrace.catalog.registry import cte, query
 from pricetrace.plans import jobs
 from pricetrace.schemas import ARTICLE_COLUMNS
-from pricetrace.scratch import new_path
+from pricetrace.scratch import Staged, new_path
 from pricetrace.sinks import datasets
 
 _PIVOT = ", ".join(f"CAST(sum(CASE WHEN policy = {p} THEN cnt ELSE 0 END) AS BIGINT) AS policy_{p}" for p in WORDS)
@@ -18,6 +19,14 @@ def trace_articles(spark, sf):
     return jobs.trace_articles(trades(spark, sf), articles(spark, sf), WORDS)
 
 
+@query("trace_row_counts", "SELECT count(*) AS articles, count(content_text) AS with_body FROM trc")
+def trace_row_counts(spark, sf):
+    """The row counts that the tracing job observes while its result is written."""
+    seen = Observation("traced")
+    Staged(jobs.trace_articles(trades(spark, sf), articles(spark, sf), WORDS, observation=seen), "traced").discard()
+    return spark.createDataFrame([(seen.get["articles"], seen.get["with_body"])], "articles bigint, with_body bigint")
+
+
 @query("trace_articles_month", f"""
   SELECT target_month, month, policy, rank, cnt, {ARTICLE_LIST}, article_url FROM trc WHERE target_month = '199801'""")
 def trace_articles_month(spark, sf):

@@ -50,6 +50,22 @@ def parse_article_scores(spark, sf):
     return source.parse_article_scores(spark, path)
 
 
+@query("parse_article_scores_rejects", """
+  SELECT DISTINCT month, CASE WHEN CAST(article_id AS BIGINT) % 7 = 0 THEN 'id' ELSE 'title' END AS reason,
+    CASE WHEN CAST(article_id AS BIGINT) % 7 = 0 THEN 'n' || article_id || ', 제목: ' || title ELSE article_id || ', 제목: ' END AS line
+  FROM psc4 WHERE CAST(article_id AS BIGINT) % 7 = 0 OR CAST(article_id AS BIGINT) % 11 = 0""")
+def parse_article_scores_rejects(spark, sf):
+    path = new_path(spark, "article-scores-report")
+    scored = stage(article_scores(spark, sf), "article-scores")
+    number = F.col("article_id").cast("bigint")
+    spoilt = scored.withColumns({
+        "article_id": F.when(number % 7 == 0, F.concat(F.lit("n"), "article_id")).otherwise(F.col("article_id")),
+        "title": F.when((number % 7 != 0) & (number % 11 == 0), "").otherwise(F.col("title")),
+    })
+    sink.write_report(sink.article_scores_report(spoilt, tfidf.article_tfidf_totals(scored)), path, "file")
+    return source.rejected_article_scores(spark, path)
+
+
 @query("parse_ranked_terms", "SELECT month, term FROM ttt")
 def parse_ranked_terms(spark, sf):
     path = new_path(spark, "ranked-terms")

@@ -5,7 +5,9 @@ All inputs hold one row per month (or per policy month), so the windows here sta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetrace.functions.columns import round_key
@@ -61,7 +63,7 @@ def join_lag_effect(
     A candidate is a policy month one to `periods` months before the target. It meets each occurrence
     of its policy with the same period, so rows multiply. Targets default to all months present.
     Effects may lie after the target; `as_of=True` keeps those that end no later than it. With `series`, all of it
-    happens within a series.
+    happens within a series; a null in their columns names a series like any other value.
     """
     keys = series or []
     if targets is None:
@@ -69,11 +71,14 @@ def join_lag_effect(
     targets = targets.select(*keys, F.col("month").alias("target_month"), F.col("month_idx").alias("target_idx"))
     back = targets.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(periods)))).withColumn("month_idx", F.col("target_idx") - F.col("lag"))
     policies = labelled.where(F.col("policy").isNotNull()).select(*keys, "month", "month_idx", "policy")
-    candidates = back.join(policies, [*keys, "month_idx"]).drop("month_idx").alias("c")
+
+    def same_series(left: str, right: str) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}")) for key in keys], F.lit(True))
+
+    met = back.alias("t").join(policies.alias("p"), (F.col("t.month_idx") == F.col("p.month_idx")) & same_series("t", "p"))
+    candidates = met.select(*[F.col(f"t.{key}") for key in keys], "target_month", "target_idx", "lag", "p.month", "p.policy").alias("c")
     known = effects.alias("e")
-    on = (F.col("c.policy") == F.col("e.policy")) & (F.col("c.lag") == F.col("e.period"))
-    for key in keys:
-        on = on & (F.col(f"c.{key}") == F.col(f"e.{key}"))
+    on = (F.col("c.policy") == F.col("e.policy")) & (F.col("c.lag") == F.col("e.period")) & same_series("c", "e")
     if as_of:
         on = on & (F.col("e.start_idx") + F.col("e.period") <= F.col("c.target_idx"))
     return candidates.join(known, on, "left").select(

@@ -35,8 +35,12 @@ def article_ranking(articles: DataFrame, words: Keywords) -> DataFrame:
 
 def best_articles_tfidf(articles: DataFrame, words: Keywords, n: int = 3) -> DataFrame:
     """(month, policy, article_id, title, score, rank): best-scored articles per month and policy."""
-    scores = stage(tfidf.long_scores(tfidf.article_policy_tfidf(articles, words)), "article-scores")
-    return ranking.top_rank(scores, n)
+    scored = tfidf.article_policy_tfidf(articles, words).withColumn("_row", F.monotonically_increasing_id())
+    scored = stage(scored, "article-scores")
+    # Ranks are decided on rows without texts; titles are fetched for the ranked ones.
+    ranked = ranking.top_rank(scored.select("_row", "month", F.inline("scores")), n)
+    found = ranked.join(scored.select("_row", "article_id", "title"), "_row")
+    return found.select("month", "policy", "article_id", "title", "score", "rank")
 
 
 def monthly_policy_tfidf(articles: DataFrame, words: Keywords, n: int = monthly.TOP_SCORES) -> DataFrame:

@@ -65,18 +65,20 @@ def parse_scores_report(spark: SparkSession, path: str) -> DataFrame:
     return _parse_file_blocks(spark, path, SCORE_LINE, "score", "double")
 
 
+def _article_records(spark: SparkSession, path: str) -> DataFrame:
+    """(month, value) per article of the score reports; what stands before the first article of a file is a record as well."""
+    raw = spark.read.option("recursiveFileLookup", True).option("lineSep", f"\n{ID_MARK}").text(path)
+    month = month_from_name(source_name(), MONTH_PATTERNS["score_report"], "unknown")
+    return raw.select(month.alias("month"), F.regexp_replace("value", rf"^\s*{ID_MARK}", "").alias("value"))
+
+
 def parse_article_scores(spark: SparkSession, path: str) -> DataFrame:
     """(month, article_id, title, policy, score) from per-article score reports.
 
     The whole title is kept. Scores that are not numbers are dropped before anything ranks them,
-    and the totals at the end of a file do not match a score line.
+    and the totals at the end of a file do not match a score line. `rejected_article_scores` has what is left out.
     """
-    raw = spark.read.option("recursiveFileLookup", True).option("lineSep", f"\n{ID_MARK}").text(path)
-    records = raw.select(
-        month_from_name(source_name(), MONTH_PATTERNS["score_report"], "unknown").alias("month"),
-        F.regexp_replace("value", rf"^\s*{ID_MARK}", "").alias("value"),
-    )
-    rows = records.where(F.col("value").rlike(ARTICLE_LINE)).select(
+    rows = _article_records(spark, path).where(F.col("value").rlike(ARTICLE_LINE)).select(
         "month",
         F.regexp_extract("value", ARTICLE_LINE, 1).alias("article_id"),
         F.regexp_extract("value", ARTICLE_LINE, 2).alias("title"),
@@ -88,6 +90,20 @@ def parse_article_scores(spark: SparkSession, path: str) -> DataFrame:
     ).where(F.col("score").isNotNull() & ~F.isnan("score"))
 
 
+def rejected_article_scores(spark: SparkSession, path: str) -> DataFrame:
+    """(month, reason, line) of everything that `parse_article_scores` leaves out of the score reports.
+
+    `reason` is `id` for a record whose first line has no id of digits, `title` for one with an id and no title, both
+    with that line; and `score` for a score line of a good record that holds no number.
+    """
+    records = _article_records(spark, path).where(F.trim("value") != "")
+    good, known = F.col("value").rlike(ARTICLE_LINE), F.col("value").rlike(r"^\d+, 제목:")
+    lines = records.where(~good).select("month", F.when(known, "title").otherwise("id").alias("reason"), F.split("value", "\n", 2)[0].alias("line"))
+    score = F.regexp_extract("line", ARTICLE_SCORE_LINE, 2).try_cast("double")
+    scores = records.where(good).select("month", F.explode(F.split("value", "\n")).alias("line")).where(F.col("line").rlike(ARTICLE_SCORE_LINE))
+    return lines.unionByName(scores.where(score.isNull() | F.isnan(score)).select("month", F.lit("score").alias("reason"), "line"))
+
+
 def parse_ranked_terms(lines: DataFrame) -> DataFrame:
     """Terms of `rank. term: score` lines, one row per line that holds both separators."""
     fits = lines.where(F.col("value").rlike(TERM_LINE))
