@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricetrace.llm.pieces import IDENTITY, Lists, Shelf, Union, class_table, grouped, identity, labelled, node_texts, piece_links, signed, similar, spread, star_links
+from pricetrace.llm.pieces import IDENTITY, Lists, Shelf, Union, apart, class_table, grouped, identity, labelled, node_texts, piece_links, signed, similar, spread, star_links
 from pricetrace.llm.shingles import shingle_sets
 from pricetrace.scratch import Staged
 
@@ -206,14 +206,20 @@ def jaccard_components(df: DataFrame, join: Join = Join(), key: str = "doc_id",
     sizes = classes.groupBy("node").agg(F.min("n").alias("least"), F.max("n").alias("n"))
     entries = table.join(classes, ["node", *IDENTITY], "left_semi").select("node", F.explode("tokens").alias("place"))
     first = shelf.put(listed(entries), "lists")
-    shares = F.col("tokens") * 10_000 >= join.more * join.percent * F.col("least")
-    usable = first.groupBy("node").agg(F.count("*").alias("tokens")).join(sizes, "node").where(shares).select("node")
-    places = shelf.put(listed(first.join(usable, "node", "left_semi")), "places")
+
+    def sharing(rows: DataFrame) -> DataFrame:
+        """The rows (place, node, ...) of nodes that have enough places to share with a similar one."""
+        shares = F.col("tokens") * 10_000 >= join.more * join.percent * F.col("least")
+        return rows.join(rows.groupBy("node").agg(F.count("*").alias("tokens")).join(sizes, "node").where(shares).select("node"), "node", "left_semi")
+
+    places = shelf.put(listed(sharing(first)), "places")
     texts = shelf.put(node_texts(df, places, key, text), "texts")
     shared = places.where("node <> hub").groupBy("node", "hub").agg(F.count("*").alias("tokens"))
     stars = shared.groupBy("node").agg(F.max_by("hub", F.struct("tokens", "hub")).alias("hub"))
     links = shelf.put(star_links(stars, texts, join.width, join.percent), "star-links")
     rows = grouped(places.select("place", "node").join(sizes.select("node", "n"), "node"), links, shelf)
+    # A node that has a link to another group shares as many places with that group alone.
+    rows = apart(sharing(shelf.put(rows.drop("hub"), "apart")))
     more = shelf.put(piece_links(rows, texts, join.width, lambda own, groups: answers(own, groups, join), shelf), "piece-links")
     found = Staged(labelled(table, classes, links.unionByName(more), key), "components").df
     shelf.clear()

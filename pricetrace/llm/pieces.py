@@ -125,8 +125,13 @@ def grouped(places: DataFrame, links: DataFrame, shelf: Shelf) -> DataFrame:
     """`places` (place, node, n) with the place's hub and `group`, the node's component by `links`; places of one group are left out."""
     known = connected_components(links)
     rows = shelf.put(places.join(known, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), "grouped")
-    apart = rows.groupBy("place").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.min("node").alias("hub")).where("lo <> hi")
-    return rows.join(apart.select("place", "hub"), "place")
+    return apart(rows)
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """Rows (place, node, n, group) of the places that hold more than one group, with the place's smallest node as `hub`."""
+    several = rows.groupBy("place").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.min("node").alias("hub")).where("lo <> hi")
+    return rows.join(several.select("place", "hub"), "place")
 
 
 def piece_links(rows: DataFrame, texts: DataFrame, width: int, links: Links, shelf: Shelf) -> DataFrame:
