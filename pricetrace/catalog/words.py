@@ -6,7 +6,7 @@ from pricetrace.catalog.bindings import TAGS, TOKEN, WORDS, articles, lexicon
 from pricetrace.catalog.registry import cte, query
 from pricetrace.functions import text
 from pricetrace.keyword_sets import all_words, keywords_from_labels
-from pricetrace.operators import clean, keywords, tfidf
+from pricetrace.operators import clean, keywords, tfidf, threshold
 from pricetrace.scratch import new_path
 from pricetrace.sources.reports import parse_labelled_words, read_lines
 
@@ -158,3 +158,10 @@ def word_ngrams(spark, sf):
 def vocab_cap(spark, sf):
     grams = tfidf.gram_counts(tfidf.title_tokens(articles(spark, sf)), 2, 3, min_length=2)
     return tfidf.vocab_cap(grams).select("month", "term", "freq", "df", "rank")
+
+
+@query("vocab_cap_threshold", """
+  SELECT month, term, CAST(freq AS BIGINT) AS freq, df, CAST(rank AS INTEGER) AS rank FROM gvoc""")
+def vocab_cap_threshold(spark, sf):
+    grams = tfidf.gram_counts(tfidf.title_tokens(articles(spark, sf)), 2, 3, min_length=2)
+    return threshold.vocab_cap_by_threshold(grams, tfidf.MAX_TERMS)
