@@ -8,6 +8,7 @@ from pricetrace.catalog.registry import cte, query
 from pricetrace.functions import columns
 from pricetrace.operators import prices
 from pricetrace.plans import jobs
+from pricetrace.sources.tables import read_table
 
 
 @query("parse_amount", """
@@ -46,6 +47,36 @@ def monthly_price_change(spark, sf):
     return _rounded(prices.monthly_price_change(trades(spark, sf)))
 
 
+_LEVELS = ["region", "district", "quarter"]
+
+
+def _level_sql(depth: int) -> str:
+    """Check SQL of one level: averages of the trimmed trades per region and month, and their changes."""
+    names = _LEVELS[:depth]
+    keys = "".join(f"{name}, " for name in names)
+    shown = "".join(f"{name}, " if name in names else f"NULL AS {name}, " for name in _LEVELS)
+    order = f"PARTITION BY {', '.join(names)} ORDER BY month" if names else "ORDER BY month"
+    return f"""SELECT {depth} AS level, {shown} month, round(a, 6) AS avg_unit_price, round((a / lag(a) OVER ({order}) - 1) * 100, 6) AS pct_change
+      FROM (SELECT {keys} month, avg(unit_price) AS a FROM (SELECT * FROM regions, bnd WHERE unit_price BETWEEN lo AND hi) GROUP BY ALL)"""
+
+
+cte(regions="""
+  SELECT l_returnflag AS region, l_linestatus AS district, CAST(l_linenumber AS VARCHAR) AS quarter, strftime(l_shipdate, '%Y%m') AS month,
+    l_extendedprice / nullif(l_quantity, 0) AS unit_price FROM lineitem""")
+
+
+@query("price_change_by_region_levels", "SELECT * FROM (" + " UNION ALL ".join(f"({_level_sql(depth)})" for depth in range(4)) + ")")
+def price_change_by_region_levels(spark, sf):
+    columns = "l_extendedprice double, l_quantity double, l_shipdate timestamp_ntz, l_returnflag string, l_linestatus string, l_linenumber int"
+    items = read_table(spark, f"{sf}/lineitem.parquet", columns)
+    regions = items.select(
+        F.col("l_extendedprice").alias("amount"), F.col("l_quantity").alias("area"), (F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("string").alias("month"),
+        F.col("l_returnflag").alias("region"), F.col("l_linestatus").alias("district"), F.col("l_linenumber").cast("string").alias("quarter"),
+    )
+    changes = prices.price_change_by_levels(regions, _LEVELS)
+    return changes.select("level", *_LEVELS, "month", F.round("avg_unit_price", 6).alias("avg_unit_price"), F.round("pct_change", 6).alias("pct_change"))
+
+
 @query("price_change_range", """
   SELECT month, month_idx, round(avg_unit_price, 6) AS avg_unit_price, round(pct_change, 6) AS pct_change FROM chg
   WHERE month BETWEEN '199601' AND '199912'""")

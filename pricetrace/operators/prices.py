@@ -81,22 +81,27 @@ def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> l
     return _interpolated(_edge_values(values, [], edges), rows, edges, probabilities)
 
 
-def trimmed_average(df: DataFrame, keys: list[str], column: str = "unit_price", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(*keys, avg_<column>) of the rows between two quantiles of the whole dataset, in the two passes that find them.
+def trimmed_sums(df: DataFrame, keys: list[str], column: str = "unit_price", low: float = LOW, high: float = HIGH) -> DataFrame:
+    """(*keys, n, total) of the rows between two quantiles of the whole dataset, in the two passes that find them.
 
-    Buckets between the quantiles' own are averaged from their sums; only the rows of those few are looked at again.
+    Buckets between the quantiles' own count with their sums; only the rows of those few are looked at again.
     """
-    values, name = _values(df, column, keys), f"avg_{column}"
+    values = _values(df, column, keys)
     cells = _cells(values, keys)
     rows, edges = _edge_buckets(cells, [low, high])
     if not rows:
-        return cells.select(*keys, F.col("total").alias(name))
+        return cells.select(*keys, "n", "total")
     near = _edge_values(values, keys, edges)
     bounds = _interpolated(near, rows, edges, [low, high])
     first, last = (_log_bucket(F.lit(x)) for x in bounds)
     inner = cells.where(~F.col("b").isin(list(edges)) & (F.col("b") >= first) & (F.col("b") <= last)).select(*keys, "n", "total")
     outer = near.where(F.col("v").between(*bounds)).select(*keys, "n", (F.col("v") * F.col("n")).alias("total"))
-    return inner.unionByName(outer).groupBy(*keys).agg((F.sum("total") / F.sum("n")).alias(name))
+    return inner.unionByName(outer)
+
+
+def trimmed_average(df: DataFrame, keys: list[str], column: str = "unit_price", low: float = LOW, high: float = HIGH) -> DataFrame:
+    """(*keys, avg_<column>) of the rows between two quantiles of the whole dataset."""
+    return trimmed_sums(df, keys, column, low, high).groupBy(*keys).agg((F.sum("total") / F.sum("n")).alias(f"avg_{column}"))
 
 
 def trim_quantiles(
@@ -140,6 +145,21 @@ def monthly_price_change(trades: DataFrame, series: list[str] | None = None, app
     return changes.select(*(series or []), "month", "month_idx", "avg_unit_price", "pct_change")
 
 
+def price_change_by_levels(trades: DataFrame, levels: list[str]) -> DataFrame:
+    """(level, *levels, month, month_idx, avg_unit_price, pct_change) of every region of a hierarchy, the whole being level 0.
+
+    `levels` name columns from the widest region to the narrowest. A region of level k is told by the first k of them, the
+    others are null there; a null among the first k names a region of its own. One pass over the trades gives the sums
+    per narrowest region and price bucket, from which all levels are added up; trimming is that of the whole dataset.
+    """
+    sums = trimmed_sums(with_unit_price(trades), [*levels, "month"])
+    sets = [[*[F.col(c) for c in levels[:depth]], F.col("month")] for depth in range(len(levels) + 1)]
+    level = sum((1 - F.grouping(c) for c in levels), F.lit(0)).cast("int")
+    monthly = sums.groupingSets(sets, *levels, "month").agg((F.sum("total") / F.sum("n")).alias("avg_unit_price"), level.alias("level"))
+    changes = percent_change(monthly.withColumn("month_idx", month_index(F.col("month"))), ["level", *levels])
+    return changes.select("level", *levels, "month", "month_idx", "avg_unit_price", "pct_change")
+
+
 def month_range(df: DataFrame, start: str, end: str, month: str = "month") -> DataFrame:
     """Rows with start ≤ month ≤ end."""
     if start > end:

@@ -193,3 +193,19 @@ def test_trace_meets_repeated_ids_once(spark):
         assert all(found.count(key) == copies[key] for key in found)
     one = jobs.trace_articles(trades, art, {1: ["x"], 2: ["y"]}, target_month=traced[0].target_month)
     assert {r.target_month for r in one.collect()} == {traced[0].target_month}
+
+
+def test_levels_keep_null_regions_apart(spark):
+    rows = [(r, d, m, 100.0 + 10 * i, 1.0) for i, (r, d, m) in enumerate([(r, d, m) for r in ("x", None) for d in ("1", None, "2") for m in ("202001", "202003")])]
+    trades = spark.createDataFrame(rows, "region string, district string, month string, amount double, area double")
+    got = {(r.level, r.region, r.district, r.month): r for r in prices.price_change_by_levels(trades, ["region", "district"]).collect()}
+    table = pd.DataFrame(rows, columns=["region", "district", "month", "amount", "area"])
+    bounds = table["amount"].quantile([0.01, 0.99])
+    kept = table[table["amount"].between(*bounds)].fillna("-")
+    want = {}
+    for level, names in enumerate([[], ["region"], ["region", "district"]]):
+        for key, part in kept.groupby([*names, "month"]):
+            shown = [None if x == "-" else x for x in key[:-1]]
+            want[(level, *shown, *[None] * (2 - level), key[-1])] = part["amount"].mean()
+    assert {k: round(r.avg_unit_price, 6) for k, r in got.items()} == {k: round(v, 6) for k, v in want.items()}
+    assert len(got) == len(want) and got[(0, None, None, "202001")].pct_change is None and got[(1, None, None, "202003")].pct_change is not None
