@@ -172,7 +172,29 @@ def sink_partitioned_month(spark, sf):
 @query("compact_months", _BY_MONTH + " WHERE month BETWEEN '199601' AND '199912'")
 def compact_months(spark, sf):
     daily, merged = new_path(spark, "daily-csv"), new_path(spark, "compacted")
-    day = F.when(F.col("section_id") == "en", "05").when(F.col("section_id") == "fr", "12").otherwise("26")
-    name = F.concat(F.lit("article_101_260_"), F.col("month"), day, F.lit("_0.csv"))
-    _named_files(articles(spark, sf), name, daily)
+    _daily_files(articles(spark, sf), daily)
     return datasets.compact_by_month(spark, daily, merged, "199601", "199912")
+
+
+def _daily_files(art, path):
+    day = F.when(F.col("section_id") == "en", "05").when(F.col("section_id") == "fr", "12").otherwise("26")
+    _named_files(art, F.concat(F.lit("article_101_260_"), F.col("month"), day, F.lit("_0.csv")), path)
+
+
+@query("compact_months_incremental", """
+  SELECT a.month, a.article_id, count(*) OVER (PARTITION BY a.month) AS n_articles,
+    a.month >= '199801' OR EXISTS (SELECT 1 FROM art l WHERE l.month = a.month AND l.section_id NOT IN ('en', 'fr')) AS updated
+  FROM art a WHERE a.month BETWEEN '199601' AND '199912'""")
+def compact_months_incremental(spark, sf):
+    """English and French articles to 1997 are compacted first, all others later; a monthly result is kept up to date."""
+    root = new_path(spark, "incremental")
+    art = articles(spark, sf)
+    early = F.col("section_id").isin("en", "fr") & (F.col("month") < "199801")
+    compacted, counts = f"{root}/compacted", f"{root}/counts"
+    for name, rows in (("a", art.where(early)), ("b", art.where(~early))):
+        _daily_files(rows, f"{root}/daily/{name}")
+        months = datasets.compact_new_files(spark, f"{root}/daily", compacted, "199601", "199912")
+        stored = datasets.read_months(spark, compacted)
+        datasets.update_months(stored.groupBy("month").agg(F.count("*").alias("n_articles")), counts, months)
+    totals = spark.read.schema("n_articles bigint, month string").parquet(counts)
+    return stored.join(totals, "month").select("month", "article_id", "n_articles", F.col("month").isin(months).alias("updated"))

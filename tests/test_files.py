@@ -86,3 +86,41 @@ def test_nothing_of_a_cut_archive_is_read_when_skipping(spark, tmp_path):
     assert [tuple(r) for r in rows.groupBy("month").count().collect()] == [("202002", 20_000)]
     with pytest.raises(Exception):
         articles.read_articles(spark, str(tmp_path)).count()
+
+
+def test_only_months_of_changed_files_are_opened(spark, tmp_path):
+    def write(day, *ids):
+        lines = [",".join(schemas.ARTICLE_COLUMNS)] + [f"{i}" + "," * 10 for i in ids]
+        (tmp_path / "daily").mkdir(exist_ok=True)
+        (tmp_path / "daily" / f"article_101_260_{day}_0.csv").write_text("\n".join(lines) + "\n")
+
+    source, target = str(tmp_path / "daily"), str(tmp_path / "compacted")
+
+    def run():
+        months = datasets.compact_new_files(spark, source, target, "202001", "202012")
+        rows = sorted((r["month"], r["article_id"]) for r in datasets.read_months(spark, target).collect())
+        full = datasets.compact_by_month(spark, source, str(tmp_path / f"full{len(list(tmp_path.iterdir()))}"), "202001", "202012")
+        assert rows == sorted((r["month"], r["article_id"]) for r in full.collect())
+        return months
+
+    write("20200105", 1, 2)
+    write("20200210", 3)
+    write("20191231", 9)
+    assert run() == ["202001", "202002"]
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "compacted" / "month=202002").iterdir()}
+    assert run() == []
+    write("20200120", 4, 5)
+    write("20200301", 6)
+    assert run() == ["202001", "202003"]
+    assert before == {p: p.stat().st_mtime_ns for p in (tmp_path / "compacted" / "month=202002").iterdir()}
+    (tmp_path / "daily" / "article_101_260_20200105_0.csv").unlink()
+    write("20200210", 3, 7, 8)
+    assert run() == ["202001", "202002"]
+
+
+def test_results_of_other_months_are_kept(spark, tmp_path):
+    table = spark.createDataFrame([("202001", 1), ("202002", 2), ("202003", 3)], "month string, n int")
+    path = str(tmp_path / "result")
+    datasets.update_months(table, path, ["202001", "202002"])
+    datasets.update_months(table.withColumn("n", table["n"] * 10), path, ["202002", "202003"])
+    assert sorted(tuple(r) for r in spark.read.schema("n int, month string").parquet(path).select("month", "n").collect()) == [("202001", 1), ("202002", 20), ("202003", 30)]
