@@ -74,6 +74,16 @@ def keyword_counts_weighted(spark, sf):
     return keywords.weighted_counts(keywords.article_counts(articles(spark, sf), WORDS))
 
 
+@query("keyword_counts_phrases", """
+  SELECT g.month, CAST(g.policy AS INTEGER) AS policy, CAST(coalesce(sum(h.cnt), 0) AS BIGINT) AS cnt
+  FROM grid g LEFT JOIN (
+    SELECT a.month, h.policy, h.cnt FROM ahit h JOIN art a ON a.article_id = h.article_id
+    UNION ALL SELECT month, 1, count(*) FROM (SELECT month, ws, unnest(range(1, len(ws))) AS i FROM bws) WHERE ws[i] = 'of' AND ws[i + 1] = 'the' GROUP BY month) h
+    ON h.month = g.month AND h.policy = g.policy GROUP BY ALL""")
+def keyword_counts_phrases(spark, sf):
+    return keywords.body_counts(keywords.article_counts(articles(spark, sf), WORDS, phrases=True))
+
+
 @query("keyword_counts_labelled", """
   SELECT g.month, CAST(g.policy AS INTEGER) AS policy, CAST(coalesce(h.cnt, 0) AS BIGINT) AS cnt FROM grid g LEFT JOIN (
     SELECT b.month, k.policy, count(*) AS cnt FROM btok b
@@ -131,6 +141,7 @@ def tag_filter_tokens(spark, sf):
 
 cte(
     # lowercased title words of two letters or more, their n-grams, and the monthly vocabulary
+    bws=f"SELECT month, regexp_extract_all(content_text, '{TOKEN}') AS ws FROM art",
     lw=f"""
       SELECT month, article_id, list_filter(regexp_extract_all(lower(title), '{TOKEN}'), lambda x: length(x) >= 2) AS ws FROM art""",
     gram="""

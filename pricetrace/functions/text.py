@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +37,35 @@ def keep_words(token_list: Column, words: Iterable[str]) -> Column:
     return F.filter(token_list, lambda t: t.isin(singles))
 
 
+def phrase_of(words: str) -> str | None:
+    """A keyword of several tokens in the form that `phrase_hits` gives; null for single tokens and for none."""
+    found = regex.findall(WORD_PATTERN, words)
+    return " ".join(found) if len(found) > 1 else None
+
+
+def phrase_hits(token_list: Column, words: Iterable[str]) -> Column:
+    """The phrases among `words` that occur as consecutive tokens, each occurrence once, in text order.
+
+    What stands between the tokens does not matter. Phrases are known by their first token; only where one of those stands
+    are the following tokens looked at, once per length of a phrase. Occurrences may overlap.
+    """
+    phrases = sorted({phrase for phrase in map(phrase_of, words) if phrase})
+    if not phrases:
+        return _no_strings()
+    firsts, lengths = sorted({p.split(" ")[0] for p in phrases}), sorted({p.count(" ") + 1 for p in phrases})
+
+    def found(toks: Column) -> Column:
+        starts = F.filter(F.transform(toks, lambda t, i: F.when(t.isin(firsts), i)), lambda i: i.isNotNull())
+
+        def at(i: Column) -> Column:
+            fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: i + n <= F.size(toks))
+            return F.filter(F.transform(fitting, lambda n: F.array_join(F.slice(toks, i + 1, n), " ")), lambda p: p.isin(phrases))
+
+        return F.flatten(F.transform(starts, at))
+
+    return let(token_list, found)
+
+
 def drop_words(token_list: Column, words: Iterable[str]) -> Column:
     """Stopword removal that keeps duplicates of the remaining tokens; null list entries go too."""
     unwanted = sorted(set(words))

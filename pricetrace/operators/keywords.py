@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetrace.functions.columns import let
-from pricetrace.functions.text import keep_words, tokens
+from pricetrace.functions.text import keep_words, phrase_hits, phrase_of, tokens
 from pricetrace.keyword_sets import Keywords, all_words, keywords_df
 from pricetrace.scratch import stage
 
@@ -17,24 +17,30 @@ FREQUENT = 0.001
 _PAIR = "array<struct<policy:int,cnt:bigint>>"
 
 
-def count_array(text: Column, keywords: Keywords) -> Column:
+def count_array(text: Column, keywords: Keywords, phrases: bool = False) -> Column:
     """array<struct<policy, cnt>>, one entry per policy, zeros included.
 
     The text is tokenised once and cut down to keyword tokens; the policies then count in that short
-    list. Everything stays inside the row, so no token is ever shuffled.
+    list. Everything stays inside the row, so no token is ever shuffled. With `phrases`, keywords of several tokens
+    count wherever these follow each other, besides the exact tokens; without it they never count.
     """
 
     def per_policy(hits: Column) -> Column:
-        entries = [
-            F.struct(F.lit(policy).alias("policy"), F.size(keep_words(hits, words)).cast("long").alias("cnt"))
-            for policy, words in sorted(keywords.items())
-        ]
+        def count(words: list[str]) -> Column:
+            found = F.size(keep_words(hits, words))
+            own = sorted({phrase for phrase in map(phrase_of, words) if phrase}) if phrases else []
+            return (found + F.size(F.filter(hits, lambda hit: hit.isin(own))) if own else found).cast("long")
+
+        entries = [F.struct(F.lit(policy).alias("policy"), count(words).alias("cnt")) for policy, words in sorted(keywords.items())]
         return F.array(*entries).cast(_PAIR)
 
-    return let(keep_words(tokens(text), all_words(keywords)), per_policy)
+    words = all_words(keywords)
+    if not phrases:
+        return let(keep_words(tokens(text), words), per_policy)
+    return let(tokens(text), lambda toks: let(F.concat(keep_words(toks, words), phrase_hits(toks, words)), per_policy))
 
 
-def article_counts(articles: DataFrame, keywords: Keywords) -> DataFrame:
+def article_counts(articles: DataFrame, keywords: Keywords, phrases: bool = False) -> DataFrame:
     """(month, article_id, has_title, has_body, title_counts, body_counts): one pass over the texts for all counting.
 
     Consumers choose their null rule by the two flags. The flags are plain null tests on the source
@@ -45,8 +51,8 @@ def article_counts(articles: DataFrame, keywords: Keywords) -> DataFrame:
         "article_id",
         F.col("title").isNotNull().alias("has_title"),
         F.col("content_text").isNotNull().alias("has_body"),
-        count_array(F.col("title"), keywords).alias("title_counts"),
-        count_array(F.col("content_text"), keywords).alias("body_counts"),
+        count_array(F.col("title"), keywords, phrases).alias("title_counts"),
+        count_array(F.col("content_text"), keywords, phrases).alias("body_counts"),
     )
 
 

@@ -1,6 +1,7 @@
 """Tokens, keyword counts and labels on hand-made articles."""
 
 import collections
+import random
 import re
 
 import pytest
@@ -61,6 +62,25 @@ def test_joined_and_inline_counts_agree(articles):
     assert by_join == by_row
 
 
+def test_phrases_count_as_consecutive_tokens(spark):
+    words = ["전매 제한", "a b", "a b c", "b a", "a a", "solo", "x-y", "  ", "z"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "b", "c", "x", "y", "solo", "전매", "제한"]) + rng.choice([" ", "-", ", ", "\n"]) for _ in range(rng.randrange(25))) for _ in range(200)] + ["", None, "a b", "a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [collections.Counter(r[0]) for r in df.select(text.phrase_hits(text.tokens(F.col("t")), words)).collect()]
+    want = []
+    for t in texts:
+        toks = re.findall(r"\w+", t or "")
+        counts = collections.Counter()
+        for phrase in ("전매 제한", "a b", "a b c", "b a", "a a", "x y"):
+            own = phrase.split()
+            counts[phrase] = sum(toks[i : i + len(own)] == own for i in range(len(toks)))
+        want.append(+counts)
+    assert got == want
+    counted = df.select(keywords.count_array(F.col("t"), {1: ["a b", "solo"], 2: ["z"]}, phrases=True).alias("c")).collect()
+    assert [r.c[0].cnt for r in counted] == [w["a b"] + len(re.findall(r"\bsolo\b", t or "")) for w, t in zip(want, texts)] and all(r.c[1].cnt == 0 for r in counted)
+
+
 def test_labels_take_lowest_policy_on_ties_and_none_without_words(articles):
     got = {r.article_id: (r.policy, r.cnt) for r in keywords.label_articles(keywords.article_counts(articles, WORDS)).collect()}
     assert got == {
