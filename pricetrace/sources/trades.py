@@ -11,19 +11,31 @@ from pricetrace import schemas
 from pricetrace.functions.columns import policy_number
 from pricetrace.scratch import setting, stage
 
-def header_groups(spark: SparkSession, paths: str | list[str]) -> list[list[str]]:
-    """Files grouped by their header line, in the order of the first file of each group; files without a line are left out.
 
-    The line is compared as it stands in the file, so the charset does not matter. Only one short line per file is fetched.
+def header_marks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, mark_a, mark_b): two hashes of each file's header line, equal for different lines only by a chance of 2 ** -128.
+
+    The line is taken as it stands in the file, so the charset does not matter. Hashes are numbers, of which a task keeps
+    one pair per file; for the line itself it would have to sort all lines of its files.
     """
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value"
     )
-    starts = lines.where("at = 0").withColumn("line", F.monotonically_increasing_id())
-    headers = starts.groupBy("file").agg(F.min_by("value", "line").alias("header")).orderBy("file").collect()
-    groups: dict[str, list[str]] = {}
-    for row in headers:
-        groups.setdefault(row["header"].rstrip("\r"), []).append(row["file"])
+    text = F.rtrim("value", F.lit("\r"))
+    starts = lines.where("at = 0").select(
+        "file", F.monotonically_increasing_id().alias("line"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")
+    )
+    return starts.groupBy("file").agg(F.min_by("a", "line").alias("mark_a"), F.min_by("b", "line").alias("mark_b"))
+
+
+def header_groups(spark: SparkSession, paths: str | list[str]) -> list[list[str]]:
+    """Files grouped by their header line, in the order of the first file of each group; files without a line are left out.
+
+    Only one short row per file is fetched.
+    """
+    groups: dict[tuple[int, int], list[str]] = {}
+    for row in header_marks(spark, paths).orderBy("file").collect():
+        groups.setdefault((row["mark_a"], row["mark_b"]), []).append(row["file"])
     return list(groups.values())
 
 

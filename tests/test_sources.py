@@ -221,3 +221,14 @@ def test_sections(spark):
     df = spark.createDataFrame([("부동산",), ("없는 이름",)], "section string")
     got = {tuple(r) for r in pages.with_section_ids(df, sections_df(spark)).collect()}
     assert got == {("부동산", "101", "260"), ("없는 이름", None, None)}
+
+
+def test_header_lines_are_compared_without_sorting_lines(spark, tmp_path):
+    from pricetrace.sources import trades
+
+    for name, text in (("a", "x,y\r\n1,2\r\n"), ("b", "y,x\n1,2\n"), ("c", "x,y\n3,4\n"), ("d", ""), ("e", "x,y")):
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    groups = trades.header_groups(spark, str(tmp_path))
+    assert [[path[-5] for path in group] for group in groups] == [["a", "c", "e"], ["b"]]
+    plan = trades.header_marks(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
