@@ -43,3 +43,14 @@ def test_fewer_rows_are_sent_than_there_are_terms(spark):
     sent = sum(df.count() for df in (rounds.leaders, rounds.large, rounds.survivors))
     assert sent < 0.1 * local.select("term").distinct().count()
     assert sorted(tuple(r)[:5] for r in rounds.result.select("month", "term", "freq", "df", "rank").collect()) == plain_top(documents, 20)
+
+
+def test_a_task_stores_many_terms_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(threshold, "_ADD_UP", 1000)
+    monkeypatch.setattr(threshold, "_PART_TERMS", 1000, raising=False)
+    documents = [(f"20200{1 + i % 2}", [f"t{i}x{j}" for j in range(30)] + ["all", f"t{i % 7}", f"t{i % 7}"]) for i in range(1500)]
+    local = threshold.local_counts(grams_of(spark, documents, 1))
+    sizes = [row["count"] for row in local.groupBy("part").count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 12_000
+    got = threshold.top_terms(local, 40).result.select("month", "term", "freq", "df", "rank").collect()
+    assert sorted(map(tuple, got)) == plain_top(documents, 40)
