@@ -7,14 +7,14 @@ fitted model scores sentences, so it also says which ones offend.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 TOKEN = re.compile(r"\w+")
 #: Words whose weight a task remembers.
 MEMORY = 300_000
+#: Feature numbers the fit handles at once, and counts by which it tells rare features.
+BLOCK, HASHES = 1 << 18, 1 << 24
 
 
 @dataclass(frozen=True)
@@ -59,51 +61,155 @@ def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
             yield found.start(), found.end(), words
 
 
-def noisy_or_fit(bags: list[list[np.ndarray]], labels: np.ndarray, size: int, fit: Fit) -> tuple[np.ndarray, float]:
+@dataclass
+class Bags:
+    """Documents as sentences of numbered features, flat: of each document the sentences, of each sentence the columns, then all columns in a row."""
+
+    sentences: np.ndarray
+    widths: np.ndarray
+    columns: np.ndarray
+
+
+@dataclass
+class Texts:
+    """Documents as sentences of numbered words; four bytes a word of text, and each different word once."""
+
+    words: dict[str, int] = field(default_factory=dict)
+    tokens: array = field(default_factory=lambda: array("i"))
+    lengths: array = field(default_factory=lambda: array("i"))
+    sentences: array = field(default_factory=lambda: array("i"))
+
+    def add(self, text: str) -> None:
+        before = len(self.lengths)
+        for _, _, words in sentences(text):
+            self.tokens.extend([self.words.setdefault(w, len(self.words)) for w in words])
+            self.lengths.append(len(words))
+        self.sentences.append(len(self.lengths) - before)
+
+    def documents(self) -> Iterator[np.ndarray]:
+        """The numbers of each document's different words."""
+        tokens = np.asarray(self.tokens)
+        ends = np.append(0, np.cumsum(self.lengths, dtype=np.int64))[np.cumsum(self.sentences, dtype=np.int64)]
+        for start, end in zip(np.append(0, ends), ends):
+            yield np.unique(tokens[start:end])
+
+
+@dataclass
+class Lists:
+    """One list of numbers per word, one after the other."""
+
+    starts: np.ndarray
+    sizes: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, lists: Iterator[list[int]]) -> Lists:
+        values, ends = array("i"), array("q", [0])
+        for found in lists:
+            values.extend(found)
+            ends.append(len(values))
+        return cls(np.asarray(ends)[:-1], np.diff(ends).astype(np.int32), np.asarray(values))
+
+    def joined(self, words: np.ndarray) -> np.ndarray:
+        """The lists of `words`, end to end."""
+        sizes = self.sizes[words]
+        before = np.cumsum(sizes, dtype=np.int64) - sizes
+        return self.values[np.repeat(self.starts[words] - before, sizes) + np.arange(sizes.sum())]
+
+
+def blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of entries whose sizes add up to `BLOCK` at most, or of one larger entry."""
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + BLOCK, "right")))
+        yield start, end
+        start = end
+
+
+def noisy_or_fit(bags: Bags, labels: np.ndarray, size: int, fit: Fit) -> tuple[np.ndarray, float]:
     """Weights and bias with the least cross-entropy of noisy-or over each bag of sentences, by full-batch Adam."""
-    sentence_of = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
-    lengths = [len(ids) for bag in bags for ids in bag]
-    rows, columns = np.repeat(np.arange(len(lengths)), lengths), np.concatenate([ids for bag in bags for ids in bag] or [np.array([], int)])
+    count, widths = len(bags.sentences), bags.widths
+    sentence_of = np.repeat(np.arange(count, dtype=np.int32), bags.sentences)
+    place = np.append(0, np.cumsum(widths, dtype=np.int64))
+    runs = [(start, end, place[start], place[end]) for start, end in blocks(widths)]
     value = np.append(np.zeros(size), -4.0)
     mean, spread = np.zeros(size + 1), np.zeros(size + 1)
     truth = labels[sentence_of]
+    z = np.zeros(len(widths))
     for turn in range(1, fit.rounds + 1):
-        z = np.clip(value[-1] + np.bincount(rows, value[columns], len(lengths)), -30, 30)
+        for start, end, first, last in runs:
+            rows = np.repeat(np.arange(end - start), widths[start:end])
+            z[start:end] = np.clip(value[-1] + np.bincount(rows, value[bags.columns[first:last]], end - start), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        none = np.bincount(sentence_of, np.log1p(np.exp(z)), len(bags))  # -log of no sentence being toxic
+        none = np.bincount(sentence_of, np.log1p(np.exp(z)), count)  # -log of no sentence being toxic
         pull = -1 / np.maximum(np.expm1(np.clip(none, 1e-9, 50)), 1e-9)
-        slope = np.where(truth == 1, p * pull[sentence_of], p) / len(bags)
-        gradient = np.append(np.bincount(columns, slope[rows], size), slope.sum())
+        slope = np.where(truth == 1, p * pull[sentence_of], p) / count
+        gradient = np.zeros(size + 1)
+        for start, end, first, last in runs:  # added one by one, so the sums are those of one block
+            np.add.at(gradient, bags.columns[first:last].astype(np.intp), np.repeat(slope[start:end], widths[start:end]))
+        gradient[-1] = slope.sum()
         gradient[:-1] += fit.penalty * value[:-1]
         mean, spread = 0.9 * mean + 0.1 * gradient, 0.99 * spread + 0.01 * gradient**2
         value -= 0.1 * (mean / (1 - 0.9**turn)) / (np.sqrt(spread / (1 - 0.99**turn)) + 1e-8)
     return value[:-1], float(value[-1])
 
 
-def train(texts: list[str], labels: list[int], fit: Fit = Fit()) -> Model:
-    """Model from document labels. Features are those whose documents differ most between the labels."""
+def frequent_features(texts: Texts, labels: np.ndarray, least: int) -> dict[str, tuple[int, int]]:
+    """(documents of label 0, of label 1) of the features in `least` documents or more.
+
+    Most features are rare, so a count per hash, which is never below that of a feature, first says which are worth a number.
+    """
+    hashes = Lists.of([hash(f) % HASHES for f in features(word)] for word in texts.words)
+    counts, enough = np.zeros(HASHES, np.uint8), min(least, 255)
+    for words in texts.documents():
+        seen = np.unique(hashes.joined(words))
+        counts[seen] += counts[seen] < enough
+    del hashes
+    number: dict[str, int] = {}
+
+    def numbered(word: str) -> list[int]:
+        return [number.setdefault(f, len(number)) for f in features(word) if counts[hash(f) % HASHES] >= enough]
+
+    lists = Lists.of(map(numbered, texts.words))
+    seen = np.zeros((2, len(number)), np.int64)
+    for words, label in zip(texts.documents(), labels, strict=True):
+        seen[label, np.unique(lists.joined(words))] += 1
+    return {name: (n0, n1) for name, n0, n1 in zip(number, *seen.tolist(), strict=True) if n0 + n1 >= least}
+
+
+def train(rows: Iterable[tuple[str, int]], fit: Fit = Fit()) -> Model:
+    """Model from texts and their labels. Features are those whose documents differ most between the labels.
+
+    The rows are read once. Of their texts four bytes a word are kept, then two more for each chosen feature of each word.
+    """
+    texts, labels = Texts(), array("b")
+    for text, label in rows:
+        texts.add(text)
+        labels.append(label)
     truth = np.array(labels, dtype=int)
-    if len(set(labels)) < 2:
-        return Model()
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    cache: dict[str, set[str]] = {}
-    read = [[words for _, _, words in sentences(text)] for text in texts]
-    for bag, label in zip(read, labels, strict=True):
-        for word in (words := {w for ws in bag for w in ws}):
-            if word not in cache:
-                cache[word] = features(word)
-        seen[label].update(set().union(*(cache[w] for w in words)))
     n0, n1 = int((truth == 0).sum()), int((truth == 1).sum())
+    if not n0 or not n1:
+        return Model()
+    seen = frequent_features(texts, truth, fit.least_documents)
 
     def contrast(name: str) -> float:
-        a, b = seen[1][name] / n1, seen[0][name] / n0
+        a, b = seen[name][1] / n1, seen[name][0] / n0
         return (a - b) ** 2 / (a + b)
 
-    common = (name for name in seen[0].keys() | seen[1].keys() if seen[0][name] + seen[1][name] >= fit.least_documents)
-    chosen = sorted(common, key=lambda name: (-contrast(name), name))[: fit.features]
+    chosen = heapq.nsmallest(fit.features, seen, key=lambda name: (-contrast(name), name))
     number = {name: i for i, name in enumerate(chosen)}
-    known = {word: [number[f] for f in found if f in number] for word, found in cache.items()}
-    bags = [[np.array([i for w in words for i in known[w]], dtype=int) for words in bag] for bag in read]
+    del seen
+    known = Lists.of([number[f] for f in features(word) if f in number] for word in texts.words)
+    tokens, lengths = np.asarray(texts.tokens), np.asarray(texts.lengths)
+    sizes = known.sizes[tokens]
+    columns = np.empty(sizes.sum(), np.min_scalar_type(len(chosen)))
+    place = 0
+    for start, end in blocks(sizes + 1):
+        found = known.joined(tokens[start:end])
+        columns[place : (place := place + len(found))] = found
+    bags = Bags(np.asarray(texts.sentences), np.add.reduceat(sizes, np.cumsum(lengths) - lengths), columns)
+    del texts, tokens, sizes
     weights, bias = noisy_or_fit(bags, truth, len(chosen), fit)
     return Model({name: float(w) for name, w in zip(chosen, weights, strict=True) if abs(w) > 1e-3}, bias)
 
@@ -116,19 +222,22 @@ def held_out(key: Column) -> Column:
 def fit_model(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit: Fit = Fit()) -> Model:
     """Model from the labelled documents that are not held out, at most `fit.sample_rows` of them, chosen by a hash of the key.
 
-    Only the sample's keys and the finished weights pass through the driver; the texts of the sample meet in one task.
+    Only the sample's keys and the finished weights pass through the driver; the texts of the sample meet in one task, which
+    reads them batch by batch.
     Null labels and keys are left out. Without labels of both kinds every sentence is taken as harmless.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
     sample = known.groupBy(key).agg(F.max(label).alias("_label")).orderBy(F.xxhash64(key), key).limit(fit.sample_rows)
     rows = documents.select(key, text).join(F.broadcast(sample), key).groupBy(key).agg(F.min(F.coalesce(text, F.lit(""))).alias("_text"), F.max("_label").alias("_label"))
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = pd.concat([pd.DataFrame({key: [], "_text": [], "_label": []}), *batches]).sort_values(key)
-        model = train(list(table["_text"]), [int(x > 0) for x in table["_label"]], fit)
-        yield pd.DataFrame({"feature": ["", *model.weights], "weight": [model.bias, *model.weights.values()]})
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = ((text.as_py(), int(label.as_py() > 0)) for batch in batches for text, label in zip(batch["_text"], batch["_label"], strict=True))
+        model = train(pairs, fit)
+        names, weights = ["", *model.weights], [model.bias, *model.weights.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(weights, pa.float64())], names=["feature", "weight"])
 
-    found = rows.repartition(1).mapInPandas(learn, "feature string, weight double").collect()  # at most fit.features + 1 rows
+    ordered = rows.repartition(1).sortWithinPartitions(key)
+    found = ordered.mapInArrow(learn, "feature string, weight double").collect()  # at most fit.features + 1 rows
     weights = {row["feature"]: row["weight"] for row in found}
     bias = weights.pop("", Model.bias)
     return Model(weights, bias)
@@ -169,9 +278,12 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            read = [scorer.read(value.as_py() or "") for value in batch.column(1)]
-            bad = [[{"start": s, "end": e, "score": p} for s, e, p in found if p >= threshold] for _, found in read]
-            columns = [batch.column(0), pa.array([total for total, _ in read], pa.float64()), pa.array(bad, spans)]
+            totals, bad = [], []
+            for value in batch.column(1):
+                total, found = scorer.read(value.as_py() or "")
+                totals.append(total)
+                bad.append([{"start": s, "end": e, "score": p} for s, e, p in found if p >= threshold])
+            columns = [batch.column(0), pa.array(totals, pa.float64()), pa.array(bad, spans)]
             yield pa.RecordBatch.from_arrays(columns, names=[key, "score", "offending"])
 
     return df.select(key, text).mapInArrow(run, schema)

@@ -1,6 +1,8 @@
 import random
 import re
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -46,6 +48,72 @@ def test_offending_sentences_are_found(spark, odd, none):
     assert toxicity.fit_model(docs, known.limit(0)).weights == {}
 
 
+def _labelled(documents, words, seed):
+    """Texts of sentences over a vocabulary of 3,000 words; one in eight is toxic and names a bad word."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(3_000)]
+    rows = []
+    for n in range(documents):
+        parts = rng.choices(vocabulary, k=words)
+        if n % 8 == 0:
+            parts[rng.randrange(words)] = "nitwit"
+        rows.append((" ".join(w + "." * (rng.random() < 0.1) for w in parts), int(n % 8 == 0)))
+    return [*rows, ("", 0), (" \n", 1), ("one", 0)]
+
+
+def plain_fit(rows, fit):
+    """The fit with every feature of every word in lists and one sum over all of them."""
+    bags = [[words for _, _, words in toxicity.sentences(text)] for text, _ in rows]
+    truth = np.array([label for _, label in rows])
+    seen = (Counter(), Counter())
+    for bag, label in zip(bags, truth, strict=True):
+        seen[label].update({f for words in bag for w in words for f in toxicity.features(w)})
+    share = {f: (seen[1][f] / truth.sum(), seen[0][f] / (1 - truth).sum()) for f in seen[0] | seen[1] if seen[0][f] + seen[1][f] >= fit.least_documents}
+    chosen = sorted(share, key=lambda f: (-((share[f][0] - share[f][1]) ** 2 / sum(share[f])), f))[: fit.features]
+    number = {f: i for i, f in enumerate(chosen)}
+    lines = [[number[f] for w in words for f in toxicity.features(w) if f in number] for bag in bags for words in bag]
+    rows, columns = np.repeat(np.arange(len(lines)), [len(x) for x in lines]), np.concatenate(lines).astype(int)
+    of, size = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags]), len(chosen)
+    value, mean, spread = np.append(np.zeros(size), -4.0), np.zeros(size + 1), np.zeros(size + 1)
+    for turn in range(1, fit.rounds + 1):
+        z = np.clip(value[-1] + np.bincount(rows, value[columns], len(lines)), -30, 30)
+        none = np.bincount(of, np.log1p(np.exp(z)), len(bags))
+        pull = -1 / np.maximum(np.expm1(np.clip(none, 1e-9, 50)), 1e-9)
+        slope = 1 / (1 + np.exp(-z)) * np.where(truth[of] == 1, pull[of], 1) / len(bags)
+        gradient = np.append(np.bincount(columns, slope[rows], size), slope.sum())
+        gradient[:-1] += fit.penalty * value[:-1]
+        mean, spread = 0.9 * mean + 0.1 * gradient, 0.99 * spread + 0.01 * gradient**2
+        value -= 0.1 * (mean / (1 - 0.9**turn)) / (np.sqrt(spread / (1 - 0.99**turn)) + 1e-8)
+    return dict(zip(chosen, value)), value[-1]
+
+
+def test_fit_equals_a_plain_one(monkeypatch):
+    rows, fit = _labelled(300, 60, 1), toxicity.Fit(features=700, rounds=40)
+    weights, bias = plain_fit(rows, fit)
+    for block, hashes in ((toxicity.BLOCK, toxicity.HASHES), (500, 1 << 10), (1, 1)):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        monkeypatch.setattr(toxicity, "HASHES", hashes)
+        model = toxicity.train(iter(rows[:40] if block == 1 else rows), fit)
+        if block == 1:
+            weights, bias = plain_fit(rows[:40], fit)
+        assert model.weights.keys() == {f for f, w in weights.items() if abs(w) > 1e-3} and np.isclose(model.bias, bias)
+        assert np.allclose([model.weights[f] for f in model.weights], [weights[f] for f in model.weights], rtol=1e-6)
+    assert toxicity.train(iter([("", 0), (" ", 1), ("", 0)])).weights == {}
+
+
+def test_fit_keeps_little_of_its_texts():
+    """What the fit holds grows with the text by a few bytes a character, not by a list of eight-byte numbers per feature."""
+    held = []
+    for documents in (100, 400):
+        rows = [*_labelled(documents, 1_000, 2)]
+        tracemalloc.start()
+        toxicity.train(rows, toxicity.Fit(rounds=2))
+        held.append((sum(len(text) for text, _ in rows), tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+    (small, less), (large, more) = held
+    assert (more - less) / (large - small) < 10
+
+
 def test_noisy_or_scores():
     scorer = toxicity.Scorer(toxicity.Model({"<bad>": 3.0}, -2.0))
     score, parts = scorer.read("Bad! fine. bad bad\nok")
